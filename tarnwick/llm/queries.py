@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tarnwick.llm.pair_defects import pair_defects
 from tarnwick.llm.rank_fusion import median_rank
 from tarnwick.llm.residual_packing import pack
 from tarnwick.llm.source_mixing import mix
@@ -44,6 +45,19 @@ def p2_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return _pieces(spark, folder)
 
 
+# 3. Broken pairs ------------------------------------------------------------------------------
+def _defects(spark: SparkSession, folder: str) -> DataFrame:
+    return pair_defects(load(spark, folder, "audit_logs"), "id", "question", "response", "ingested_at")
+
+
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _defects(spark, folder).filter("place = 1").select("id", "defect")
+
+
+def p3_defects(spark: SparkSession, folder: str) -> DataFrame:
+    return _defects(spark, folder)
+
+
 # 8. Filling containers ----------------------------------------------------------------------------
 def _containers(spark: SparkSession, folder: str) -> DataFrame:
     capacity = load(spark, folder, "pack_settings").select("capacity_tokens").first()[0]  # one row
