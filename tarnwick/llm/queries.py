@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tarnwick.llm.pair_defects import pair_defects
 from tarnwick.llm.rank_fusion import median_rank
+from tarnwick.llm.repeated_lines import repeated_lines, without_repeated_lines
 from tarnwick.llm.residual_packing import pack
 from tarnwick.llm.source_mixing import mix
 from tarnwick.llm.tokens import token_sizes
@@ -58,6 +59,15 @@ def p3_defects(spark: SparkSession, folder: str) -> DataFrame:
     return _defects(spark, folder)
 
 
+# 5. Repeated lines ----------------------------------------------------------------------------
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    return repeated_lines(load(spark, folder, "page_text"), "filename", "page_id", "text").select("page_id", "line_no")
+
+
+def p5_pages(spark: SparkSession, folder: str) -> DataFrame:
+    return without_repeated_lines(load(spark, folder, "page_text"), "filename", "page_id", "text")
+
+
 # 8. Filling containers ----------------------------------------------------------------------------
 def _containers(spark: SparkSession, folder: str) -> DataFrame:
     capacity = load(spark, folder, "pack_settings").select("capacity_tokens").first()[0]  # one row
