@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tarnwick.llm.bitslice_dedup import near_duplicates, record_pairs
 from tarnwick.llm.pair_defects import pair_defects
 from tarnwick.llm.rank_fusion import median_rank
 from tarnwick.llm.repeated_lines import repeated_lines, without_repeated_lines
@@ -68,6 +69,19 @@ def p5_pages(spark: SparkSession, folder: str) -> DataFrame:
     return without_repeated_lines(load(spark, folder, "page_text"), "filename", "page_id", "text")
 
 
+# 6. Near duplicates ---------------------------------------------------------------------------
+def _links(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    return near_duplicates(load(spark, folder, "text_chunk"), "chunk_key", "text", similarity=0.5, width=3)
+
+
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    return record_pairs(*_links(spark, folder), "chunk_key")
+
+
+def p6_members(spark: SparkSession, folder: str) -> DataFrame:
+    return _links(spark, folder)[1]
+
+
 # 8. Filling containers ----------------------------------------------------------------------------
 def _containers(spark: SparkSession, folder: str) -> DataFrame:
     capacity = load(spark, folder, "pack_settings").select("capacity_tokens").first()[0]  # one row
