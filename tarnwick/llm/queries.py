@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnwick.llm.bitslice_dedup import near_duplicates, record_pairs
+from tarnwick.llm.learned_partitions import nearest
 from tarnwick.llm.pair_defects import pair_defects
 from tarnwick.llm.rank_fusion import median_rank
 from tarnwick.llm.repeated_lines import repeated_lines, without_repeated_lines
@@ -60,6 +61,16 @@ def p3_defects(spark: SparkSession, folder: str) -> DataFrame:
     return _defects(spark, folder)
 
 
+# 4. Most similar vectors ------------------------------------------------------------------------
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    near = nearest(load(spark, folder, "document_chunks"), "vec_key", "embedding", k=10, min_similarity=0.85)
+    return near.select(F.least("vec_key", "neighbour").alias("key_a"), F.greatest("vec_key", "neighbour").alias("key_b")).distinct()
+
+
+def p4_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    return nearest(load(spark, folder, "document_chunks"), "vec_key", "embedding", k=10, queries="vec_key % 100 = 0")
+
+
 # 5. Repeated lines ----------------------------------------------------------------------------
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return repeated_lines(load(spark, folder, "page_text"), "filename", "page_id", "text").select("page_id", "line_no")
