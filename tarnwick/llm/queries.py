@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnwick.llm.bitslice_dedup import near_duplicates, record_pairs
+from tarnwick.llm.label_propagation import subject_areas
 from tarnwick.llm.learned_partitions import nearest
 from tarnwick.llm.pair_defects import pair_defects
 from tarnwick.llm.rank_fusion import median_rank
@@ -122,6 +123,25 @@ def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
     return _mix(spark, folder)[1]
 
 
+# 10. Subject areas ------------------------------------------------------------------------------
+def _areas(spark: SparkSession, folder: str) -> DataFrame:
+    return subject_areas(load(spark, folder, "documents"), "doc_id", "text", load(spark, folder, "subject_seed"))
+
+
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _areas(spark, folder).filter("main").select("doc_id", "subject")
+
+
+def p10_areas(spark: SparkSession, folder: str) -> DataFrame:
+    return _areas(spark, folder)
+
+
+def p10_composition(spark: SparkSession, folder: str) -> DataFrame:
+    """Make-up of the corpus: documents and sentences of each area."""
+    areas = _areas(spark, folder).filter("main")
+    return areas.groupBy("subject").agg(F.count("*").alias("documents"), F.sum("sentences").alias("sentences"), F.round(F.sum("share"), 6).alias("document_weight"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name[0] == "p" and name[1:2].isdigit()}
 
