@@ -77,27 +77,33 @@ def _line_hash(owner: np.ndarray, hashes: np.ndarray, count: int) -> np.ndarray:
 
 
 def _chunks(pages: DataFrame, mean: int) -> DataFrame:
-    """(source, page, at, hashes): for each page its chunks in order, and the lines they stand in."""
+    """(source, page, chunk, line, whole, lead): each page's distinct chunks, and its lines with letters.
+
+    Of a line there are its number, the hash of all its chunks, and its longest chunk.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            split = [[] if t is None else t.split("\n") for t in texts]
+            split = [[] if t is None else t.split("\n") for t in batch.column("text").to_pylist()]
             counts = np.fromiter(map(len, split), np.int64, len(split))
-            reduced = [letters(line) for page in split for line in page]
-            owner, hashes, _ = chunk_lines(reduced, mean)
-            whole = _line_hash(owner, hashes, len(reduced))
-            # chunks of each page
+            owner, hashes, sizes = chunk_lines([letters(line) for page in split for line in page], mean)
+            whole = _line_hash(owner, hashes, int(counts.sum()))
             page_of_line = np.repeat(np.arange(len(split)), counts)
             first_line = np.cumsum(counts) - counts
-            page = page_of_line[owner] if len(owner) else owner
-            per_page = np.bincount(page, minlength=len(split)).astype(np.int64)
-            edges = np.concatenate([[0], np.cumsum(per_page)]).astype(np.int32)
-            line_no = (owner - first_line[page] + 1).astype(np.int32) if len(owner) else owner.astype(np.int32)
-            arrays = [pa.ListArray.from_arrays(pa.array(edges), pa.array(v)) for v in (line_no, hashes, whole[owner] if len(owner) else hashes)]
-            yield pa.RecordBatch.from_arrays([batch.column("source"), batch.column("page"), *arrays], ["source", "page", "line", "chunk", "whole"])
-
-    kinds = [pages.schema["source"], pages.schema["page"], T.StructField("line", T.ArrayType(T.IntegerType())), T.StructField("chunk", T.ArrayType(T.LongType())), T.StructField("whole", T.ArrayType(T.LongType()))]
+            order = np.lexsort((-sizes, owner))
+            some, lead_at = np.unique(owner[order], return_index=True)
+            lead = hashes[order][lead_at]
+            page = page_of_line[some]
+            edges = np.concatenate([[0], np.cumsum(np.bincount(page, minlength=len(split)))]).astype(np.int32)
+            lines = [(some - first_line[page] + 1).astype(np.int32), whole[some], lead]
+            # distinct chunks of each page
+            pairs = np.unique(np.stack([page_of_line[owner], hashes]), axis=1) if len(owner) else np.zeros((2, 0), np.int64)
+            ends = np.concatenate([[0], np.cumsum(np.bincount(pairs[0], minlength=len(split)))]).astype(np.int32)
+            arrays = [pa.ListArray.from_arrays(pa.array(ends), pa.array(pairs[1])), *(pa.ListArray.from_arrays(pa.array(edges), pa.array(v)) for v in lines)]
+            yield pa.RecordBatch.from_arrays([batch.column("source"), batch.column("page"), *arrays], ["source", "page", "chunk", "line", "whole", "lead"])
+
+    longs = T.ArrayType(T.LongType())
+    kinds = [pages.schema["source"], pages.schema["page"], T.StructField("chunk", longs), T.StructField("line", T.ArrayType(T.IntegerType())), T.StructField("whole", longs), T.StructField("lead", longs)]
     return pages.mapInArrow(run, T.StructType(kinds))
 
 
@@ -113,12 +119,12 @@ def _excessive(seen: DataFrame, sizes: DataFrame, value: str, pages: int, share:
     return counted.join(sizes, "source").filter(F.col("on") >= F.col("of") * F.lit(share) - 1e-9).select("source", value, "on", "of")
 
 
-def repeated_lines(df: DataFrame, source: str, page: str, text: str, min_pages: int = 4, min_share: float = 0.3, mean_chunk: int = 8) -> DataFrame:
+def repeated_lines(df: DataFrame, source: str, page: str, text: str, min_pages: int = 4, min_share: float = 0.3, mean_chunk: int = 16) -> DataFrame:
     """Lines that come back on many of their source's pages: (source, page, line_no, on_pages, of_pages).
 
     Lines are the pieces of the text between newlines, counted from 1, and compared by their lower-cased letters;
     lines without letters are never repeated. Method: the letters are cut into content-defined chunks by a rolling
-    hash, distinct pages are counted for each chunk and source, and lines made of excessive chunks only are
+    hash, distinct pages are counted for each chunk and source, and lines whose longest chunk is excessive are
     candidates. Chunks depend on nothing but their line, so no line is lost; the candidates' whole lines are
     then counted the same way. All pages count, blank and null ones too, each page once: of repeated pages the
     one with the greatest source and text. Rows with a null page or source are left out; other columns are ignored.
@@ -133,18 +139,17 @@ def repeated_lines(df: DataFrame, source: str, page: str, text: str, min_pages:
 
 
 def _repeated(chunks: DataFrame, min_pages: int, min_share: float) -> DataFrame:
-    sizes = chunks.groupBy("source").agg(F.count(F.lit(1)).alias("of"))
-    seen = chunks.select("source", F.explode(F.array_distinct("chunk")).alias("chunk"))
-    often = _excessive(seen, sizes, "chunk", min_pages, min_share).select("source", "chunk").withColumn("often", F.lit(True))
-    parts = chunks.select("source", "page", F.explode(F.arrays_zip("line", "chunk", "whole")).alias("z")).select("source", "page", F.col("z.line").alias("line_no"), "z.chunk", "z.whole")
-    marked = parts.join(often, ["source", "chunk"], "left")
-    lines = marked.groupBy("source", "page", "line_no", "whole").agg(F.bool_and(F.coalesce("often", F.lit(False))).alias("all"))
-    lines = lines.filter("all").drop("all")
+    sizes = cut_lineage(chunks.groupBy("source").agg(F.count(F.lit(1)).alias("of")))
+    seen = chunks.select("source", F.explode("chunk").alias("chunk"))
+    often = _excessive(seen, sizes, "chunk", min_pages, min_share).select("source", F.col("chunk").alias("lead"))
+    parts = chunks.select("source", "page", F.explode(F.arrays_zip("line", "whole", "lead")).alias("z"))
+    lines = parts.select("source", "page", F.col("z.line").alias("line_no"), "z.whole", "z.lead").join(often, ["source", "lead"], "left_semi").drop("lead")
+    lines = cut_lineage(lines)
     whole = _excessive(lines.select("source", "page", "whole").distinct(), sizes, "whole", min_pages, min_share)
     return lines.join(whole, ["source", "whole"]).select("source", "page", "line_no", F.col("on").alias("on_pages"), F.col("of").alias("of_pages"))
 
 
-def without_repeated_lines(df: DataFrame, source: str, page: str, text: str, min_pages: int = 4, min_share: float = 0.3, mean_chunk: int = 8) -> DataFrame:
+def without_repeated_lines(df: DataFrame, source: str, page: str, text: str, min_pages: int = 4, min_share: float = 0.3, mean_chunk: int = 16) -> DataFrame:
     """Every page with the repeated lines cut: (page, source, kept_text, cut_lines). Null texts stay null.
 
     Parameters and the treatment of repeated rows and nulls as in `repeated_lines`.
