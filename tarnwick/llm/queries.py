@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tarnwick.llm.bitslice_dedup import near_duplicates, record_pairs
 from tarnwick.llm.label_propagation import subject_areas
 from tarnwick.llm.learned_partitions import nearest
+from tarnwick.llm.ocr_repair import Repair, repair_scans, scan_rows
 from tarnwick.llm.pair_defects import pair_defects
 from tarnwick.llm.rank_fusion import median_rank
 from tarnwick.llm.repeated_lines import repeated_lines, without_repeated_lines
@@ -94,6 +95,22 @@ def p6_members(spark: SparkSession, folder: str) -> DataFrame:
     return _links(spark, folder)[1]
 
 
+# 7. Scanned pages -----------------------------------------------------------------------------
+def _repair(spark: SparkSession, folder: str) -> Repair:
+    pages = scan_rows(load(spark, folder, "page_text"), "page_text", "page_id", "filename", "text", "ocr_used")
+    chunks = scan_rows(load(spark, folder, "text_chunk"), "text_chunk", "chunk_key", "filename", "text", "ocr_used")
+    return repair_scans([pages, chunks])
+
+
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    found = _repair(spark, folder).found
+    return found.select(F.col("table").alias("source_table"), F.col("key").alias("row_key"), "line_no", "kind", "word").distinct()
+
+
+def p7_texts(spark: SparkSession, folder: str) -> DataFrame:
+    return _repair(spark, folder).repaired().withColumnsRenamed({"table": "source_table", "key": "row_key"})
+
+
 # 8. Filling containers ----------------------------------------------------------------------------
 def _containers(spark: SparkSession, folder: str) -> DataFrame:
     capacity = load(spark, folder, "pack_settings").select("capacity_tokens").first()[0]  # one row
