@@ -18,7 +18,7 @@ from tarnwick.session import cut_lineage
 
 # Usual misreadings, as (read as, stands for) ------------------------------------------
 CONFUSIONS = (
-    ("rn", "m"), ("m", "rn"), ("ri", "n"), ("ii", "u"), ("cl", "d"), ("d", "cl"), ("vv", "w"), ("w", "vv"), ("li", "h"), ("lc", "k"), ("in", "m"), ("iii", "m"),
+    ("rn", "m"), ("m", "rn"), ("ri", "n"), ("ii", "u"), ("cl", "d"), ("d", "cl"), ("vv", "w"), ("w", "vv"), ("li", "h"), ("h", "li"), ("lc", "k"), ("in", "m"), ("iii", "m"),
     ("c", "e"), ("e", "c"), ("o", "a"), ("a", "o"), ("0", "o"), ("o", "0"), ("1", "l"), ("1", "i"), ("l", "i"), ("i", "l"), ("l", "1"), ("5", "s"), ("s", "5"), ("8", "b"), ("6", "b"), ("6", "g"),
     ("9", "g"), ("b", "h"), ("h", "b"), ("f", "t"), ("t", "f"), ("2", "z"), ("u", "v"), ("v", "u"), ("n", "u"), ("u", "n"), ("q", "g"), ("g", "q"), ("j", "i"), ("i", "j"), ("!", "l"), ("|", "l"), ("$", "s"),
 )
@@ -60,6 +60,10 @@ def words_of(line: str) -> list[tuple[str, str]]:
     return out
 
 
+#: Numbers that describe a line between its neighbours.
+FEATURES = 15
+
+
 # Line-pair classifiers ------------------------------------------------------------------------------
 def line_features(lines: list[str], i: int, again: int, voice: float) -> list[float]:
     """What tells furniture from text, of a line between its neighbours; `again`: pages of the file that have the line."""
@@ -74,6 +78,7 @@ def line_features(lines: list[str], i: int, again: int, voice: float) -> list[fl
         float(np.log1p(again)), voice, len(tokens), len(line) / 10, upper / max(1, len(some)), sum(t.isupper() for t in some) / max(1, len(some)),
         sum(bool(CODE.match(t)) for t in tokens), sum(c.isdigit() for c in line), float(bool(ENDED.search(line))), float(bool(re.match(r"^\d+\.\s", line))),
         float(broken), float(not before), float(not after), float(line.count("|") + line.count(" - ")),
+        float(not ENDED.search(line) and not after[:1].islower()),
     ]
 
 
@@ -97,11 +102,11 @@ def train_furniture(sample: list[tuple[str, str, str, int, bool]], most_words: i
     sums = [max(1, sum(f == k for *_, f in sample)) for k in (False, True)]
     words = [w for w, _ in (counts[0] + counts[1]).most_common(most_words)]
     voices = {w: float(np.clip(np.log((counts[1][w] + 0.5) / (sums[1] + 1)) - np.log((counts[0][w] + 0.5) / (sums[0] + 1)), -6, 6)) for w in words}
-    model = Furniture(boost(np.zeros((0, 14)), np.zeros(0)), voices)
+    model = Furniture(boost(np.zeros((0, FEATURES)), np.zeros(0)), voices)
     # The repeats that made the labels are hidden from half of the sample, so that the words and shapes are learned too.
     x = [line_features([a, line, b], 1, 1 if i % 2 else again, model.voice(line)) for i, (a, line, b, again, _) in enumerate(sample)]
     y = [float(f) for *_, f in sample]
-    return Furniture(boost(np.array(x).reshape(-1, 14), np.array(y)), voices)
+    return Furniture(boost(np.array(x).reshape(-1, FEATURES), np.array(y)), voices)
 
 
 def pair_features(joined: int, hyphened: int, left: int, right: int, a: str, b: str) -> list[float]:
@@ -410,7 +415,7 @@ def repair_scans(tables: list[DataFrame], sample: int = 12_000, words: int = 30_
     torn = unsettled.select("table", "key", "line_no", "kind", F.explode(F.array("word", "raw")).alias("word"), "raw", F.col("more").alias("before"), F.lit("").alias("after"))
     asked = odd.unionByName(torn)
     pairs = {(r["a"], r["b"]): r["n"] for r in follows.orderBy(F.desc("n"), "a", "b").limit(words * 4).collect()}
-    contexts = [(a, b, "") for a, b in list(pairs)[:words]]
+    contexts = _contexts(pairs, words)
     ranker = spark.sparkContext.broadcast(train_corrections(dictionary, pairs, contexts))
     best = _corrections(asked, known, follows, ranker, sure)
     misread = best.filter("kind = 'word'").select("table", "key", "line_no", F.lit("misread").alias("kind"), F.col("right").alias("word"), F.col("raw").alias("read"))
@@ -422,6 +427,18 @@ def repair_scans(tables: list[DataFrame], sample: int = 12_000, words: int = 30_
     return Repair(cut_lineage(found), scanned)
 
 
+def _contexts(pairs: dict[tuple[str, str], int], most: int) -> list[tuple[str, str, str]]:
+    """Words between neighbours, as pairs chain; some with one neighbour or none, as beside numbers and codes."""
+    after: dict[str, list[str]] = {}
+    for a, b in pairs:
+        after.setdefault(a, []).append(b)
+    out = []
+    for i, (a, b) in enumerate(list(pairs)[:most]):
+        c = after[b][i % len(after[b])] if b in after else ""
+        out.append(((a, b, c), (a, b, c), (a, b, ""), ("", b, c), ("", b, ""))[i % 5])
+    return out
+
+
 def scan_rows(df: DataFrame, table: str, key: str, source: str, text: str, scanned: str) -> DataFrame:
     """(table, key, source, scanned, text), one row for each key, for `repair_scans`."""
     return _rows(df, table, key, source, text, scanned)
@@ -447,12 +464,13 @@ def _labelled(drawn: list, seen: dict, sample: int) -> list[tuple[str, str, str,
         again = [seen.get((row["source"], reduced(x)), 1) for x in lines]
         for i, line in enumerate(lines):
             near = (lines[i - 1] if i else "", line, lines[i + 1] if i + 1 < len(lines) else "")
-            if again[i] >= 3:
+            short = bool(re.match(r"^\s*[a-z0-9].*[.]\s*$", line)) and len(line.split()) <= 4  # the end of a paragraph
+            if again[i] >= 3 and not short:
                 furniture.append((*near, again[i], True))
             elif again[i] == 1 and 2 <= i < len(lines) - 3 and again[i - 1] == again[i + 1] == 1:
                 body.append((*near, 1, False))
-            elif again[i] == 1 and re.match(r"^[a-z].*[.]$", line) and len(line.split()) <= 4:
-                body.append((*near, 1, False))
+            elif short:
+                body.append((*near, again[i], False))
     return furniture[:sample] + body[:sample]
 
 
