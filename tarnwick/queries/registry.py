@@ -38,6 +38,6 @@ def load_core() -> dict[str, Query]:
     import tarnwick.queries as folder
 
     for module in sorted(m.name for m in pkgutil.iter_modules(folder.__path__)):
-        if module != "registry":
+        if not module.startswith("registry"):
             importlib.import_module(f"{folder.__name__}.{module}")
     return dict(_QUERIES)
