@@ -189,7 +189,7 @@ def _edits(a: str, b: str) -> int:
     return row[-1]
 
 
-def train_corrections(words: dict[str, int], pairs: dict[tuple[str, str], int], contexts: list[tuple[str, str, str]], seed: int = 5, rounds: int = 4000) -> Boosted:
+def train_corrections(words: dict[str, int], pairs: dict[tuple[str, str], int], contexts: list[tuple[str, str, str]], seed: int = 5, rounds: int = 3000) -> Boosted:
     """Words of clean text are misread on purpose; the true word is ranked against others that share q-grams."""
     rng = np.random.default_rng(seed)
     index: dict[str, list[str]] = {}
@@ -327,7 +327,7 @@ def rewrite(text: str, found: list[tuple[int, str, str, str]]) -> str:
     return "\n\n".join(paragraphs)
 
 
-def repair_scans(tables: list[DataFrame], sample: int = 12_000, words: int = 30_000, sure: float = 0.5) -> Repair:
+def repair_scans(tables: list[DataFrame], sample: int = 6_000, words: int = 10_000, sure: float = 0.5) -> Repair:
     """Find what scanning left in texts. `tables` come from `scan_rows`; their clean rows teach, their scanned rows are repaired.
 
     Findings, of scanned rows only, each once: `header` and `page_number` lines, lines `hyphenated` within a word that
@@ -353,9 +353,10 @@ def repair_scans(tables: list[DataFrame], sample: int = 12_000, words: int = 30_
     again = cut_lineage(_again(scanned.filter(F.col("table") == "page_text")))
     lined = scanned.select("table", "key", "source", F.posexplode(F.split("text", "\n")).alias("at", "line"))
     around = Window.partitionBy("table", "key").orderBy("at")
-    drawn = scanned.filter(F.col("table") == "page_text").orderBy(F.xxhash64("key"), "key").limit(max(1, sample // 6)).select("key", "source", "text").collect()
+    drawn = scanned.filter(F.col("table") == "page_text").orderBy(F.xxhash64("key"), "key").limit(max(1, sample // 6)).select("source", "text").toArrow().to_pylist()
     some = spark.createDataFrame([(r["source"],) for r in drawn], "source string").distinct() if drawn else spark.createDataFrame([], "source string")
-    seen = {(r["source"], r["h"]): r["again"] for r in again.join(F.broadcast(some), "source", "left_semi").filter("again >= 2").orderBy(F.desc("again"), "source", "h").limit(sample * 4).collect()}
+    met = again.join(F.broadcast(some), "source", "left_semi").filter("again >= 2").orderBy(F.desc("again"), "source", "h").limit(sample * 4).toArrow().to_pydict()
+    seen = dict(zip(zip(met["source"], met["h"]), met["again"]))
     furniture = spark.sparkContext.broadcast(train_furniture(_labelled(drawn, seen, sample)))
 
     hashed = _line_hashes(scanned)
@@ -405,7 +406,8 @@ def repair_scans(tables: list[DataFrame], sample: int = 12_000, words: int = 30_
     parts = cut_lineage(parts)
     lines = parts.filter(F.col("kind").isin("header", "page_number")).select("table", "key", "line_no", "kind", F.lit("").alias("word"), F.lit("").alias("read"))
 
-    dictionary = {r["word"]: r["n"] for r in known.orderBy(F.desc("n"), "word").limit(words).collect()}
+    top = known.orderBy(F.desc("n"), "word").limit(words).toArrow().to_pydict()
+    dictionary = dict(zip(top["word"], top["n"]))
     joins = spark.sparkContext.broadcast(train_joins(dictionary))
     cuts = _settle_cuts(parts.filter("kind = 'cut'"), known, joins)
     whole = cuts.filter("keep IS NOT NULL").select("table", "key", "line_no", F.lit("hyphenated").alias("kind"), F.when(F.col("keep"), F.col("raw")).otherwise(F.col("word")).alias("word"), F.lit("").alias("read"))
@@ -414,7 +416,8 @@ def repair_scans(tables: list[DataFrame], sample: int = 12_000, words: int = 30_
     odd = parts.filter("kind = 'word'").select("table", "key", "line_no", "kind", "word", "raw", "before", "after")
     torn = unsettled.select("table", "key", "line_no", "kind", F.explode(F.array("word", "raw")).alias("word"), "raw", F.col("more").alias("before"), F.lit("").alias("after"))
     asked = odd.unionByName(torn)
-    pairs = {(r["a"], r["b"]): r["n"] for r in follows.orderBy(F.desc("n"), "a", "b").limit(words * 4).collect()}
+    top = follows.orderBy(F.desc("n"), "a", "b").limit(words * 4).toArrow().to_pydict()
+    pairs = dict(zip(zip(top["a"], top["b"]), top["n"]))
     contexts = _contexts(pairs, words)
     ranker = spark.sparkContext.broadcast(train_corrections(dictionary, pairs, contexts))
     best = _corrections(asked, known, follows, ranker, sure)
