@@ -27,17 +27,18 @@ HYPHENS = r"\-¬\u00ad\u2010\u2011"
 CODE = re.compile(r"^\W*[A-Za-z]{1,3}[-–]?\d[\w/.-]*\W*$")
 PAGE = re.compile(r"(?i)^[\W_]*(?:(?:page|pg|p|seite|s|sheet|folio|blatt|página|pág|no)\b[\W_]*)?(?:\d{1,5}|[ivxlc]{1,7})(?:\s*(?:of|/|von|de|sur)\s*\d{1,5})?[\W_]*$")
 ROMAN = re.compile(r"(?i)^[\W_]*(?:page|pg|p)?[\W_]*(?:c{0,3})(?:xc|xl|l?x{0,3})(?:ix|iv|v?i{0,3})[\W_]*$")
-TOKEN = re.compile(r"\S+")
 CORE = re.compile(r"^[^\w]*(.*?)[^\w]*$")
 LETTER = re.compile(r"[^\W\d_]")
 CUT = re.compile(rf"([^\W\d_][\w{HYPHENS}]*|[^\W_]+)[{HYPHENS}]\s*$")
 START = re.compile(rf"^\s*([^\W_][\w]*(?:[{HYPHENS}][^\W_]\w*)*)")
+NUMBERED = re.compile(r"^\d+\.\s")
+PLAIN = re.compile(r"[^\W\d_]+")
 ENDED = re.compile(r"[.!?:;…][\"')\]]*\s*$")
 
 
 def is_page_number(line: str) -> bool:
     """A line that is a page number only, in digits or Roman numerals, with or without a word for it."""
-    if not PAGE.match(line):
+    if len(line) > 40 or not PAGE.match(line):
         return False
     return any(c.isdigit() for c in line) or bool(ROMAN.match(line))
 
@@ -48,16 +49,21 @@ def reduced(line: str) -> int:
     return zlib.crc32(text.encode()) << 8 | min(len(text), 255) if text else 0
 
 
+_cores: dict[str, tuple[str, str]] = {}
+
+
+def _core(token: str) -> tuple[str, str]:
+    if len(_cores) > 200_000:
+        _cores.clear()
+    core = CORE.match(token).group(1)
+    found = _cores[token] = (core, core.lower() if LETTER.search(core) and not CODE.match(core) else "")
+    return found
+
+
 def words_of(line: str) -> list[tuple[str, str]]:
     """(core as written, lower-cased core) of each token; the core of a token without letters or of a code is ''."""
-    out = []
-    for token in TOKEN.findall(line):
-        core = CORE.match(token).group(1)
-        if not LETTER.search(core) or CODE.match(core):
-            out.append((core, ""))
-        else:
-            out.append((core, core.lower()))
-    return out
+    get = _cores.get
+    return [get(token) or _core(token) for token in line.split()]
 
 
 #: Numbers that describe a line between its neighbours.
@@ -69,16 +75,25 @@ def line_features(lines: list[str], i: int, again: int, voice: float) -> list[fl
     """What tells furniture from text, of a line between its neighbours; `again`: pages of the file that have the line."""
     line = lines[i].strip()
     tokens = line.split()
-    some = [t for t in tokens if LETTER.search(t)]
-    upper = sum(t[:1].isupper() for t in some)
-    before = next((x for x in reversed(lines[:i]) if x.strip()), "")
-    after = next((x for x in lines[i + 1 :] if x.strip()), "")
-    broken = bool(before) and not ENDED.search(before) and after[:1].islower()
+    some = [t for t in tokens if not t.isdigit()]
+    upper = sum(t[0].isupper() for t in some)
+    before = after = ""
+    for k in range(i - 1, -1, -1):
+        if lines[k].strip():
+            before = lines[k]
+            break
+    for k in range(i + 1, len(lines)):
+        if lines[k].strip():
+            after = lines[k]
+            break
+    ended = bool(ENDED.search(line))
+    broken = bool(before) and after[:1].islower() and not ENDED.search(before)
+    digits = [t for t in tokens if t[-1:].isdigit() or any(map(str.isdigit, t))]
     return [
-        float(np.log1p(again)), voice, len(tokens), len(line) / 10, upper / max(1, len(some)), sum(t.isupper() for t in some) / max(1, len(some)),
-        sum(bool(CODE.match(t)) for t in tokens), sum(c.isdigit() for c in line), float(bool(ENDED.search(line))), float(bool(re.match(r"^\d+\.\s", line))),
+        float(np.log1p(again)), voice, len(tokens), len(line) / 10, upper / max(1, len(some)), sum(map(str.isupper, some)) / max(1, len(some)),
+        sum(not t.isdigit() and bool(CODE.match(t)) for t in digits), len(digits), float(ended), float(bool(NUMBERED.match(line))),
         float(broken), float(not before), float(not after), float(line.count("|") + line.count(" - ")),
-        float(not ENDED.search(line) and not after[:1].islower()),
+        float(not ended and not after[:1].islower()),
     ]
 
 
@@ -90,8 +105,8 @@ class Furniture:
     voices: dict[str, float]
 
     def voice(self, line: str) -> float:
-        found = [self.voices.get(w, 0.0) for w in re.findall(r"[^\W\d_]+", line.lower())]
-        return float(np.mean(found)) if found else 0.0
+        found = PLAIN.findall(line.lower())
+        return sum(self.voices.get(w, 0.0) for w in found) / max(1, len(found))
 
 
 def train_furniture(sample: list[tuple[str, str, str, int, bool]], most_words: int = 20_000) -> Furniture:
@@ -136,34 +151,47 @@ def train_joins(words: dict[str, int], seed: int = 3) -> Boosted:
 
 # Ranking of corrections -----------------------------------------------------------------------------
 _COST = {(a, b): (0.25 if len(a) == len(b) else 0.3) for a, b in CONFUSIONS}
-_READ = sorted({len(a) for a, _ in CONFUSIONS})
+#: Misreadings by the first letter that is read.
+_FROM = {x: [(a, b, c) for (a, b), c in _COST.items() if a[0] == x] for x in {a[0] for a, _ in CONFUSIONS}}
+
 
+def misread_cost(read: str, right: str, most: float = 3.5) -> float:
+    """Least cost of reading `right` as `read`: usual misreadings are cheap, any other edit costs 1.
 
-def misread_cost(read: str, right: str) -> float:
-    """Least cost of reading `right` as `read`: usual misreadings are cheap, any other edit costs 1."""
+    What both begin and end with is left out, but for a letter that may be part of a misreading.
+    """
+    k, short = 0, min(len(read), len(right))
+    while k < short and read[k] == right[k]:
+        k += 1
+    k = max(0, k - 1)
+    e = 0
+    while e < short - k and read[-1 - e] == right[-1 - e]:
+        e += 1
+    e = max(0, e - 1)
+    read, right = read[k : len(read) - e], right[k : len(right) - e]
     n, m = len(read), len(right)
-    table = np.full((n + 1, m + 1), 99.0)
-    table[0, 0] = 0
+    table = [[99.0] * (m + 1) for _ in range(n + 1)]
+    table[0][0] = 0.0
     for i in range(n + 1):
-        for j in range(m + 1):
-            here = table[i, j]
-            if here > 4:
+        row = table[i]
+        for j in range(max(0, i - 4), min(m, i + 4) + 1):
+            here = row[j]
+            if here > most:
                 continue
-            if i < n and j < m:
-                step = here + (0.0 if read[i] == right[j] else 1.0)
-                if step < table[i + 1, j + 1]:
-                    table[i + 1, j + 1] = step
-            if i < n and here + 1 < table[i + 1, j]:
-                table[i + 1, j] = here + 1
-            if j < m and here + 1 < table[i, j + 1]:
-                table[i, j + 1] = here + 1
-            for la in (1, 2, 3):
-                if i + la > n:
-                    break
-                for lb in (1, 2):
-                    if j + lb <= m and (c := _COST.get((read[i : i + la], right[j : j + lb]))) is not None and here + c < table[i + la, j + lb]:
-                        table[i + la, j + lb] = here + c
-    return float(table[n, m])
+            if i < n:
+                below = table[i + 1]
+                if here + 1 < below[j]:
+                    below[j] = here + 1
+                if j < m:
+                    step = here if read[i] == right[j] else here + 1
+                    if step < below[j + 1]:
+                        below[j + 1] = step
+                for a, b, c in _FROM.get(read[i], ()):
+                    if right.startswith(b, j) and read.startswith(a, i) and here + c < table[i + len(a)][j + len(b)]:
+                        table[i + len(a)][j + len(b)] = here + c
+            if j < m and here + 1 < row[j + 1]:
+                row[j + 1] = here + 1
+    return table[n][m]
 
 
 def correction_features(cost: float, edits: int, shared: float, read: str, right: str, n: int, before: int, after: int) -> list[float]:
@@ -349,6 +377,10 @@ def repair_scans(tables: list[DataFrame], sample: int = 6_000, words: int = 10_0
     known = counts.filter("b IS NULL").select(F.col("a").alias("word"), "n")
     follows = counts.filter("b IS NOT NULL")
 
+    top = known.orderBy(F.desc("n"), "word").limit(words).toArrow().to_pydict()
+    dictionary = dict(zip(top["word"], top["n"]))
+    common = spark.sparkContext.broadcast(frozenset(dictionary))  # at most `words`: spares the join of most tokens
+
     # Furniture: lines that come back teach; a bounded sample of lines with their neighbours.
     again = cut_lineage(_again(scanned.filter(F.col("table") == "page_text")))
     lined = scanned.select("table", "key", "source", F.posexplode(F.split("text", "\n")).alias("at", "line"))
@@ -363,7 +395,7 @@ def repair_scans(tables: list[DataFrame], sample: int = 6_000, words: int = 10_0
     met = hashed.join(again, ["source", "h"]).groupBy("table", "key").agg(F.collect_list(F.struct("line_no", "again")).alias("again"))  # no more than a row's lines
 
     def tag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = furniture.value
+        model, usual = furniture.value, common.value
         for batch in batches:
             take, out = [], [[], [], [], [], [], [], []]
 
@@ -390,7 +422,7 @@ def repair_scans(tables: list[DataFrame], sample: int = 6_000, words: int = 10_0
                     first, last = (1 if begun else 0), len(tokens) - (1 if goes else 0)
                     for t in range(first, last):
                         raw, word = tokens[t]
-                        if word:
+                        if word and word not in usual:
                             add(i, n + 1, "word", word, raw, tokens[t - 1][1] if t else "", tokens[t + 1][1] if t + 1 < last else "", "")
                     if goes:
                         a, b = cut.group(1).lower(), start.group(1).lower()
@@ -406,8 +438,6 @@ def repair_scans(tables: list[DataFrame], sample: int = 6_000, words: int = 10_0
     parts = cut_lineage(parts)
     lines = parts.filter(F.col("kind").isin("header", "page_number")).select("table", "key", "line_no", "kind", F.lit("").alias("word"), F.lit("").alias("read"))
 
-    top = known.orderBy(F.desc("n"), "word").limit(words).toArrow().to_pydict()
-    dictionary = dict(zip(top["word"], top["n"]))
     joins = spark.sparkContext.broadcast(train_joins(dictionary))
     cuts = _settle_cuts(parts.filter("kind = 'cut'"), known, joins)
     whole = cuts.filter("keep IS NOT NULL").select("table", "key", "line_no", F.lit("hyphenated").alias("kind"), F.when(F.col("keep"), F.col("raw")).otherwise(F.col("word")).alias("word"), F.lit("").alias("read"))
@@ -532,6 +562,9 @@ def _corrections(asked: DataFrame, known: DataFrame, follows: DataFrame, ranker,
     near = near.filter(F.abs(F.char_length("word") - F.char_length("right")) <= 2).select("word", "right").distinct()
     edits = F.levenshtein("word", "right")
     near = near.withColumn("edits", edits).filter(F.col("edits") <= F.when(F.char_length("word") <= 4, 2).otherwise(3))
+    # Of the candidates within the fewest edits and one more; a misread letter is at most two edits.
+    fewest = F.min("edits").over(Window.partitionBy("word"))
+    near = near.withColumn("fewest", fewest).filter(F.col("edits") <= F.col("fewest") + 1).drop("fewest")
 
     def cost(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
