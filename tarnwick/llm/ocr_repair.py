@@ -404,10 +404,9 @@ def repair_scans(tables: list[DataFrame], sample: int = 6_000, words: int = 10_0
                 for column, value in zip(out, values):
                     column.append(value)
 
-            for i, (text, met) in enumerate(zip(batch.column("text").to_pylist(), batch.column("again").to_pylist())):
-                often = {m["line_no"]: m["again"] for m in met or []}
-                lines = text.split("\n")
-                kinds = kinds_of(lines, often, model)
+            split = [text.split("\n") for text in batch.column("text").to_pylist()]
+            often = [{m["line_no"]: m["again"] for m in met or []} for met in batch.column("again").to_pylist()]
+            for i, (lines, kinds) in enumerate(zip(split, kinds_of(split, often, model))):
                 body = [n for n, kind in enumerate(kinds) if kind == "text" and lines[n].strip()]
                 for n, kind in enumerate(kinds):
                     if kind in ("header", "page_number"):
@@ -477,15 +476,15 @@ def scan_rows(df: DataFrame, table: str, key: str, source: str, text: str, scann
     return _rows(df, table, key, source, text, scanned)
 
 
-def kinds_of(lines: list[str], often: dict[int, int], model: Furniture) -> list[str]:
-    """header, page_number or text for each line."""
-    kinds = ["page_number" if line.strip() and is_page_number(line) else "text" for line in lines]
-    some = [i for i, line in enumerate(lines) if kinds[i] == "text" and line.strip()]
-    if some:
-        x = np.array([line_features(lines, i, often.get(i + 1, 1), model.voice(lines[i])) for i in some])
-        for i, p in zip(some, model.trees.probability(x)):
+def kinds_of(texts: list[list[str]], often: list[dict[int, int]], model: Furniture) -> list[list[str]]:
+    """header, page_number or text for each line of each text; the trees see the lines of all texts at once."""
+    kinds = [["page_number" if line.strip() and is_page_number(line) else "text" for line in lines] for lines in texts]
+    places = [(t, i) for t, lines in enumerate(texts) for i, line in enumerate(lines) if kinds[t][i] == "text" and line.strip()]
+    if places:
+        x = np.array([line_features(texts[t], i, often[t].get(i + 1, 1), model.voice(texts[t][i])) for t, i in places])
+        for (t, i), p in zip(places, model.trees.probability(x)):
             if p > 0.5:
-                kinds[i] = "header"
+                kinds[t][i] = "header"
     return kinds
 
 
