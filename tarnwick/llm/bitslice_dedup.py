@@ -102,8 +102,8 @@ def planes(sketch: np.ndarray) -> np.ndarray:
     bits = np.unpackbits(np.ascontiguousarray(sketch).view(np.uint8), axis=1, bitorder="little")
     padded = np.zeros((blocks * 64, BITS), np.uint8)
     padded[:rows] = bits
-    lanes = padded.reshape(blocks, 64, BITS).transpose(2, 0, 1)
-    return np.packbits(lanes, axis=2, bitorder="little").view(np.uint64).reshape(BITS, blocks)
+    lanes = np.ascontiguousarray(padded.reshape(blocks, 64, BITS).transpose(2, 0, 1))
+    return np.packbits(lanes.reshape(-1), bitorder="little").view(np.uint64).reshape(BITS, blocks)
 
 
 def within(sketch: np.ndarray, vertical: np.ndarray, query: np.ndarray, block: np.ndarray, radius: int) -> np.ndarray:

@@ -117,6 +117,9 @@ def train_furniture(sample: list[tuple[str, str, str, int, bool]], most_words: i
     sums = [max(1, sum(f == k for *_, f in sample)) for k in (False, True)]
     words = [w for w, _ in (counts[0] + counts[1]).most_common(most_words)]
     voices = {w: float(np.clip(np.log((counts[1][w] + 0.5) / (sums[1] + 1)) - np.log((counts[0][w] + 0.5) / (sums[0] + 1)), -6, 6)) for w in words}
+    if not all(any(f == k for *_, f in sample) for k in (False, True)):
+        # Nothing to learn from: lines that come back on three pages are furniture, others are not.
+        return Furniture(Boosted(np.zeros((1, 1), np.int64), np.full((1, 1), np.log1p(2.5)), np.array([[-8.0, 8.0]]), 0.0), {})
     model = Furniture(boost(np.zeros((0, FEATURES)), np.zeros(0)), voices)
     # The repeats that made the labels are hidden from half of the sample, so that the words and shapes are learned too.
     x = [line_features([a, line, b], 1, 1 if i % 2 else again, model.voice(line)) for i, (a, line, b, again, _) in enumerate(sample)]

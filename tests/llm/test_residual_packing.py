@@ -22,7 +22,7 @@ def check(rows, capacity):
 
 
 def test_pack_through_several_rounds(spark):
-    df = spark.range(4000).selectExpr("id", "cast(pmod(hash(id), 97) + 1 as long) n", "'x' container_id", "0 piece")
+    df = spark.range(4000).selectExpr("id", "cast(pmod(hash(id), 30) + 1 as long) n", "'x' container_id", "0 piece")
     rows = pack(df, "id", "n", 100, bins_per_part=16, fan_in=4).collect()
     bins = check(rows, 100)
     assert sorted(r["id"] for r in rows) == list(range(4000))
