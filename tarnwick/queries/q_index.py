@@ -83,9 +83,9 @@ def t26_scope_labels(spark, d):
     return rows.select("id", F.array_join(I.scope_labels(c("text")), ",").alias("scopes"))
 
 
-@query("f25_explicit_year", "F25", sql="SELECT * FROM (VALUES (1, 1998), (2, NULL), (3, 1999), (4, NULL), (5, NULL), (6, 2010)) v(id, year)")
+@query("f25_explicit_year", "F25", sql="SELECT * FROM (VALUES (1, '1998'), (2, NULL), (3, '1999'), (4, NULL), (5, NULL), (6, '2010')) v(id, year)")
 def f25_explicit_year(spark, d):
-    return spark.createDataFrame(QUESTIONS, "id int, question string").select("id", T.explicit_year(c("question")).alias("year"))
+    return spark.createDataFrame(QUESTIONS, "id int, question string").select("id", T.explicit_year(c("question")).cast("string").alias("year"))
 
 
 @query("r4_authority_adjust", "R4", "R11", "F23", sql=f"""WITH {S.CANDIDATES}, x AS (SELECT qid, chunk_key, coalesce(vector_score, 0) AS s, authority_sensitive AS a, CASE chunk_key % 4 WHEN 0 THEN 'current_explicit' WHEN 1 THEN 'superseded_explicit' WHEN 2 THEN 'historical_appended' ELSE 'unknown' END AS st FROM candidates JOIN query_plans USING (qid))

@@ -43,10 +43,10 @@ def j7_parent_neighbours(spark, d):
 
 
 @query("j5_as_of_anchor", "J5", "T58", sql=f"""WITH {S.CHUNKS}, a AS (SELECT chunk_key, document_id, chunk_index, CASE WHEN regexp_matches(text, '^(Entry|Unless)') THEN chunk_key END AS anchor FROM chunks)
-SELECT chunk_key, (SELECT arg_max(b.anchor, b.chunk_index) FROM a b WHERE b.document_id = a.document_id AND b.anchor IS NOT NULL AND b.chunk_index BETWEEN a.chunk_index - 6 AND a.chunk_index) AS anchor FROM a""")
+SELECT chunk_key, CAST((SELECT arg_max(b.anchor, b.chunk_index) FROM a b WHERE b.document_id = a.document_id AND b.anchor IS NOT NULL AND b.chunk_index BETWEEN a.chunk_index - 6 AND a.chunk_index) AS VARCHAR) AS anchor FROM a""")
 def j5_as_of_anchor(spark, d):
     rows = C.chunks(spark, d, "document_id", "chunk_index", "text").withColumn("is_anchor", c("text").rlike("^(Entry|Unless)"))
-    return N.latest_anchor(rows, ["document_id"], "chunk_index", c("is_anchor"), c("chunk_key"), 6, "anchor").select("chunk_key", "anchor")
+    return N.latest_anchor(rows, ["document_id"], "chunk_index", c("is_anchor"), c("chunk_key").cast("string"), 6, "anchor").select("chunk_key", "anchor")
 
 
 @query("j14_span_join", "J13", "J14", sql=f"""WITH {S.CHUNKS}, spans AS (SELECT document_id, chunk_index AS span_start, chunk_index + 5 AS span_end, chunk_key AS directive FROM chunks WHERE regexp_matches(text, '^Instead of'))

@@ -149,7 +149,7 @@ def t45_token_estimate(spark, d):
 
 @query("t39_filename_identity", "T38", "T39", "T37", "W27", "A10", sql=f"""WITH {S.FILES}, x AS (
   SELECT document_id, status, lower(regexp_replace(regexp_replace(filename, '\\.[Pp][Dd][Ff]$', ''), '\\s+', ' ', 'g')) AS identity, regexp_extract(filename, '^([A-Z]+) ', 1) AS family, regexp_extract(filename, '([0-9]+)', 1) AS num FROM files)
-SELECT document_id, identity, CASE WHEN count(*) OVER (PARTITION BY family) >= 2 AND family != '' THEN family ELSE 'other' END AS family, TRY_CAST(num AS BIGINT) AS sequence_no,
+SELECT document_id, identity, CASE WHEN count(*) OVER (PARTITION BY family) >= 2 AND family != '' THEN family ELSE 'other' END AS family, CAST(TRY_CAST(num AS BIGINT) AS VARCHAR) AS sequence_no,
   regexp_replace(identity, '([0-9]+)', lpad(coalesce(nullif(num, ''), '0'), 12, '0')) AS natural_key FROM x""")
 def t39_filename_identity(spark, d):
     name = F.regexp_replace(F.regexp_replace("filename", r"(?i)\.pdf$", ""), r"\s+", " ")
@@ -160,7 +160,7 @@ def t39_filename_identity(spark, d):
     first = F.regexp_extract("identity", "^([^0-9]*)", 1)
     rest = F.substring(c("identity"), F.length(first) + F.length("number") + 1, F.length("identity"))
     key = F.when(c("number") == "", c("identity")).otherwise(F.concat(first, F.lpad("number", 12, "0"), rest))
-    return rows.select("document_id", "identity", family.alias("family"), F.when(c("number") != "", c("number").cast("long")).alias("sequence_no"), key.alias("natural_key"))
+    return rows.select("document_id", "identity", family.alias("family"), F.when(c("number") != "", c("number").cast("long").cast("string")).alias("sequence_no"), key.alias("natural_key"))
 
 
 @query("w28_sequence_gaps", "W28", sql=f"""WITH {S.FILES}, n AS (SELECT DISTINCT regexp_extract(filename, '^([A-Z]+) ', 1) AS family, TRY_CAST(regexp_extract(filename, '([0-9]+)', 1) AS BIGINT) AS num FROM files),
