@@ -23,10 +23,10 @@ def f2_typed_filters(spark, d):
     return rows.filter(hit & (c("page_number") <= 5) & (F.coalesce("page_end", "page_number") >= 2)).select("chunk_key", "page_number")
 
 
-@query("f4_exact_and", "F4", "F8", sql=f"""WITH {S.CHUNKS}, q AS (SELECT qid, list_slice(list_filter({S.terms_v5('question')}, lambda t: length(t) >= 3), 1, 3) AS t FROM query_plans WHERE substr(qid, -1) = '7')
+@query("f4_exact_and", "F4", "F8", sql=f"""WITH {S.CHUNKS}, q AS (SELECT qid, list_slice(list_filter({S.terms_v5('question')}, lambda t: length(t) >= 3), 1, 3) AS t FROM query_plans)
 SELECT qid, chunk_key FROM q JOIN chunks ON len(t) > 0 AND contains(lower(text), t[1]) AND (len(t) < 2 OR contains(lower(text), t[2])) AND (len(t) < 3 OR contains(lower(text), t[3]))""")
 def f4_exact_and(spark, d):
-    asked = C.plans(spark, d).filter(F.substring("qid", -1, 1) == "7").select("qid", F.slice(F.filter(T.terms_v5(c("question")), lambda t: F.length(t) >= 3), 1, 3).alias("terms"))
+    asked = C.plans(spark, d).select("qid", F.slice(F.filter(T.terms_v5(c("question")), lambda t: F.length(t) >= 3), 1, 3).alias("terms"))
     return X.all_substrings(asked, C.chunks(spark, d, "text"), "chunk_key", "text")
 
 
@@ -94,12 +94,12 @@ def f19_low_information(spark, d):
     return C.chunks(spark, d, "text").select("chunk_key", alnum.alias("alnum"), (alnum < 120).alias("low"))
 
 
-@query("t17_fuzzy_vocabulary", "T17", sql=f"""WITH {S.CHUNKS}, {S.PAGES}, good AS (SELECT w, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM pages WHERE NOT ocr_used AND text IS NOT NULL) WHERE length(w) BETWEEN 5 AND 8 GROUP BY w HAVING count(*) >= 5),
-odd AS (SELECT DISTINCT w FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM pages WHERE ocr_used AND text IS NOT NULL) WHERE length(w) BETWEEN 5 AND 8 AND w NOT IN (SELECT w FROM good))
+@query("t17_fuzzy_vocabulary", "T17", sql=f"""WITH {S.CHUNKS}, {S.PAGES}, good AS (SELECT w, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM pages WHERE NOT ocr_used AND text IS NOT NULL) WHERE length(w) >= 4 GROUP BY w HAVING count(*) >= 5),
+odd AS (SELECT DISTINCT w FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM pages WHERE ocr_used AND text IS NOT NULL) WHERE length(w) >= 4 AND w NOT IN (SELECT w FROM good))
 SELECT odd.w AS token, good.w AS candidate, levenshtein(odd.w, good.w) AS distance FROM odd JOIN good ON left(odd.w, 1) = left(good.w, 1) AND abs(length(odd.w) - length(good.w)) <= 2 AND levenshtein(odd.w, good.w) <= 1""")
 def t17_fuzzy_vocabulary(spark, d):
     rows = C.pages(spark, d).filter("text IS NOT NULL")
-    words = lambda df: df.select(F.explode(T.tokens(c("text"), "[a-z]+")).alias("w")).filter(F.length("w").between(5, 8))
+    words = lambda df: df.select(F.explode(T.tokens(c("text"), "[a-z]+")).alias("w")).filter(F.length("w") >= 4)
     good = words(rows.filter("NOT ocr_used")).groupBy("w").agg(F.count("*").alias("n")).filter("n >= 5").select("w")
     odd = words(rows.filter("ocr_used")).distinct().join(good, "w", "left_anti")
     return X.fuzzy_matches(odd, good, "w", 1)

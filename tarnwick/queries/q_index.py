@@ -88,11 +88,11 @@ def f25_explicit_year(spark, d):
     return spark.createDataFrame(QUESTIONS, "id int, question string").select("id", T.explicit_year(c("question")).cast("string").alias("year"))
 
 
-@query("r4_authority_adjust", "R4", "R11", "F23", sql=f"""WITH {S.CANDIDATES}, x AS (SELECT qid, chunk_key, coalesce(vector_score, 0) AS s, authority_sensitive AS a, CASE chunk_key % 4 WHEN 0 THEN 'current_explicit' WHEN 1 THEN 'superseded_explicit' WHEN 2 THEN 'historical_appended' ELSE 'unknown' END AS st FROM candidates JOIN query_plans USING (qid))
+@query("r4_authority_adjust", "R4", "R11", "F23", sql=f"""WITH {S.CANDIDATES}, {S.CHUNKS}, x AS (SELECT qid, chunk_key, coalesce(vector_score, 0) AS s, authority_sensitive AS a, CASE content_type WHEN 'list' THEN 'current_explicit' WHEN 'table_row' THEN 'superseded_explicit' WHEN 'figure' THEN 'historical_appended' ELSE 'unknown' END AS st FROM candidates JOIN query_plans USING (qid) JOIN (SELECT chunk_key, content_type FROM chunks) USING (chunk_key))
 SELECT qid, chunk_key, st AS status, round(CASE WHEN st LIKE 'current%' THEN least(1.0, s + CASE WHEN a THEN 0.16 ELSE 0.12 END) WHEN st LIKE 'superseded%' THEN greatest(0.0, s - 0.45) WHEN st = 'historical_appended' THEN greatest(0.0, s - 0.30) ELSE s END, 6) AS score FROM x""")
 def r4_authority_adjust(spark, d):
-    rows = C.candidates(spark, d).join(C.plans(spark, d).select("qid", "authority_sensitive"), "qid")
-    kind = c("chunk_key") % 4
-    status = F.when(kind == 0, "current_explicit").when(kind == 1, "superseded_explicit").when(kind == 2, "historical_appended").otherwise("unknown")
+    rows = C.candidates(spark, d).join(C.plans(spark, d).select("qid", "authority_sensitive"), "qid").join(C.chunks(spark, d, "content_type"), "chunk_key")
+    kind = c("content_type")  # stands in for the status, which the corpus does not hold
+    status = F.when(kind == "list", "current_explicit").when(kind == "table_row", "superseded_explicit").when(kind == "figure", "historical_appended").otherwise("unknown")
     score = T.authority_adjust(F.coalesce("vector_score", F.lit(0.0)), c("status"), c("authority_sensitive"), F.lit(None).cast("int"))
     return rows.withColumn("status", status).select("qid", "chunk_key", "status", F.round(score, 6).alias("score"))

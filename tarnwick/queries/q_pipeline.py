@@ -50,11 +50,12 @@ def w32_forced_tiers(spark, d):
     return R.rank_in(kept, ["qid"], [c("tier"), c("al")], "place").select("qid", "chunk_key", c("place").cast("long").alias("place"))
 
 
-@query("q13_rerank_merge", "Q13", "R35", sql=f"""WITH {S.CANDIDATES}, j AS (SELECT qid, chunk_key, (chunk_key % 10) / 10.0 AS relevance FROM candidates WHERE chunk_key % 3 != 0)
+@query("q13_rerank_merge", "Q13", "R35", sql=f"""WITH {S.CANDIDATES}, j AS (SELECT qid, chunk_key, keyword_score / (keyword_score + 1) AS relevance FROM candidates WHERE keyword_score IS NOT NULL)
 SELECT qid, chunk_key, CAST(round(CASE WHEN relevance IS NULL THEN coalesce(vector_score, 0) - 0.12 ELSE 0.32 * coalesce(vector_score, 0) + 0.68 * relevance END, 6) AS DOUBLE) AS score FROM candidates LEFT JOIN j USING (qid, chunk_key)""")
 def q13_rerank_merge(spark, d):
-    rows = C.candidates(spark, d).select("qid", "chunk_key", F.coalesce("vector_score", F.lit(0.0)).alias("s"))
-    judged = rows.filter("chunk_key % 3 != 0").select("qid", "chunk_key", ((c("chunk_key") % 10) / 10.0).alias("relevance"))
+    rows = C.candidates(spark, d).select("qid", "chunk_key", F.coalesce("vector_score", F.lit(0.0)).alias("s"), "keyword_score")
+    # Judgments of a reranker are an input; keyword scores stand in for them.
+    judged = rows.filter("keyword_score IS NOT NULL").select("qid", "chunk_key", R.squash(c("keyword_score"), 1.0).alias("relevance"))
     score = F.when(c("relevance").isNull(), c("s") - 0.12).otherwise(0.32 * c("s") + 0.68 * c("relevance"))
     return rows.join(judged, ["qid", "chunk_key"], "left").select("qid", "chunk_key", F.round(score, 6).alias("score"))
 

@@ -80,7 +80,7 @@ _SEC = S.canonical_phrase("x")
 
 @query("t12_section_match", "T12", "T13", "F16", sql=f"""WITH {S.CHUNKS}, heads AS (SELECT DISTINCT section_path[len(section_path)] AS h FROM chunks WHERE len(section_path) > 0),
 asked AS (SELECT regexp_replace(h, '^[0-9.]+ ', '') AS question FROM heads), q AS (SELECT DISTINCT question, {S.canonical_phrase('question')} AS n FROM asked),
-parts AS (SELECT chunk_key, unnest(section_path) AS x FROM chunks WHERE len(section_path) > 1), norm AS (SELECT chunk_key, {_SEC} AS p FROM parts),
+parts AS (SELECT chunk_key, unnest(section_path) AS x FROM chunks), norm AS (SELECT chunk_key, {_SEC} AS p FROM parts),
 scored AS (SELECT chunk_key, question, max(CASE WHEN p = '' THEN 0 WHEN p = n THEN 1 WHEN len(string_split(n, ' ')) >= 2 AND contains(' ' || p || ' ', ' ' || n || ' ') THEN 0.88
   WHEN len(string_split(n, ' ')) >= 2 AND contains(' ' || n || ' ', ' ' || p || ' ') THEN 0.72 ELSE 0 END) AS score FROM norm, q WHERE length(n) >= 3 GROUP BY ALL)
 SELECT chunk_key, question, CAST(score AS DOUBLE) AS score FROM scored WHERE score > 0""")
@@ -90,7 +90,7 @@ def t12_section_match(spark, d):
     # Headings meet paths through the words they share: an equi-join on a word, not a product.
     word = lambda phrase: F.explode(F.array_distinct(F.split(phrase, " "))).alias("word")
     asked = heads.select("question", T.canonical_phrase(c("question")).alias("n")).filter("length(n) >= 3").select("question", F.element_at(F.split("n", " "), 1).alias("first"), "n", F.split("n", " ").alias("all"))
-    paths = chunks.filter(F.size("section_path") > 1).select("chunk_key", "section_path", word(T.canonical_phrase(F.array_join("section_path", " "))))
+    paths = chunks.select("chunk_key", "section_path", word(T.canonical_phrase(F.array_join("section_path", " "))))
     near = asked.select("question", F.explode(F.array_distinct("all")).alias("word")).join(paths, "word").select("question", "chunk_key", "section_path").dropDuplicates(["question", "chunk_key"])
     return near.select("chunk_key", "question", T.section_match(c("question"), c("section_path")).alias("score")).filter("score > 0")
 
