@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tarnwick.llm.arrow import bounded
 from tarnwick.session import cut_lineage, shuffle_partitions
 
 WORD = re.compile(r"[^\W_]+")
@@ -235,7 +236,7 @@ def _sets(df: DataFrame, key: str, text: str, width: int) -> DataFrame:
     kind = rows.schema["key"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in bounded(batches, "text"):
             runs, counts = shingle_sets(batch.column("text").to_pylist(), width)
             edges = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
             sets = pa.ListArray.from_arrays(pa.array(edges), pa.array(runs))
@@ -295,7 +296,7 @@ def near_duplicates(df: DataFrame, key: str, text: str, similarity: float = 0.8,
     radius, at_least = radius_for(similarity), similarity
 
     def block_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in bounded(batches, "shingles", 500_000):
             lists = batch.column("shingles")
             flat = lists.flatten().to_numpy(zero_copy_only=False)
             counts = np.diff(lists.offsets.to_numpy())

@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tarnwick.llm.arrow import bounded
 from tarnwick.llm.boosting import Boosted, boost
 from tarnwick.session import cut_lineage
 
@@ -264,7 +265,7 @@ def _counts(clean: DataFrame) -> DataFrame:
             b = [*([None] * len(single)), *(p[1] for p in double)]
             return pa.RecordBatch.from_arrays([pa.array(a, pa.string()), pa.array(b, pa.string()), pa.array([*single.values(), *double.values()], pa.int64())], ["a", "b", "n"])
 
-        for batch in batches:
+        for batch in bounded(batches, "text"):
             for text in batch.column("text").to_pylist():
                 for line in text.split("\n"):
                     words = [w for _, w in words_of(line)]
@@ -284,7 +285,7 @@ def _again(pages: DataFrame) -> DataFrame:
     """(source, h, again): on how many rows of a source a line stands, by its letters."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in bounded(batches, "text"):
             take, found = [], []
             for i, text in enumerate(batch.column("text").to_pylist()):
                 some = {reduced(line) for line in text.split("\n")} - {0}
@@ -308,7 +309,7 @@ class Repair:
         rows = self.scanned.join(per, ["table", "key"], "left")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in bounded(batches, "text"):
                 texts, counts = [], []
                 for text, found in zip(batch.column("text").to_pylist(), batch.column("found").to_pylist()):
                     texts.append(rewrite(text, [(f["line_no"], f["kind"], f["word"], f["read"]) for f in found or []]))
@@ -399,7 +400,7 @@ def repair_scans(tables: list[DataFrame], sample: int = 6_000, words: int = 10_0
 
     def tag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, usual = furniture.value, common.value
-        for batch in batches:
+        for batch in bounded(batches, "text", 2_000_000):
             take, out = [], [[], [], [], [], [], [], []]
 
             def add(i: int, *values) -> None:
@@ -511,7 +512,7 @@ def _labelled(drawn: list, seen: dict, sample: int) -> list[tuple[str, str, str,
 
 def _line_hashes(rows: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in bounded(batches, "text"):
             take, numbers, found = [], [], []
             for i, text in enumerate(batch.column("text").to_pylist()):
                 for n, line in enumerate(text.split("\n"), 1):

@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tarnwick.llm.arrow import bounded
 from tarnwick.session import cut_lineage
 
 #: In order: of several defects of one pair the first is the leading one.
@@ -206,7 +207,7 @@ def pair_defects(df: DataFrame, key: str, question: str, response: str, delivere
     kind = rows.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in bounded(batches, "response"):
             found, words, ends = [], [], []
             for q, r in zip(batch.column("question").to_pylist(), batch.column("response").to_pylist()):
                 defects, word = judge(q, r)

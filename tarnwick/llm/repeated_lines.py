@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tarnwick.llm.arrow import bounded
 from tarnwick.session import cut_lineage
 
 #: Rolling hash: letters of the window, multiplier; fixed values.
@@ -64,6 +65,20 @@ def chunk_lines(lines: list[str], mean: int) -> tuple[np.ndarray, np.ndarray, np
     return owner[ends], hashes, ends - starts + 1
 
 
+def _chunk_some(lines: list[str], mean: int, most: int = 1_000_000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The same for many lines, about `most` letters at a time: the work arrays take some 100 bytes a letter."""
+    ends = np.cumsum(np.fromiter(map(len, lines), np.int64, len(lines)))
+    parts, start, before = [], 0, 0
+    while start < len(lines):
+        stop = max(start + 1, int(np.searchsorted(ends, before + most, "right")))
+        owner, hashes, sizes = chunk_lines(lines[start:stop], mean)
+        parts.append((owner + start, hashes, sizes))
+        start, before = stop, int(ends[stop - 1])
+    if not parts:
+        return chunk_lines([], mean)
+    return tuple(np.concatenate(c) for c in zip(*parts))
+
+
 def _line_hash(owner: np.ndarray, hashes: np.ndarray, count: int) -> np.ndarray:
     """One hash for each line from its chunks in order; 0 for a line without letters."""
     out = np.zeros(count, np.uint64)
@@ -83,10 +98,10 @@ def _chunks(pages: DataFrame, mean: int) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in bounded(batches, "text"):
             split = [[] if t is None else t.split("\n") for t in batch.column("text").to_pylist()]
             counts = np.fromiter(map(len, split), np.int64, len(split))
-            owner, hashes, sizes = chunk_lines([letters(line) for page in split for line in page], mean)
+            owner, hashes, sizes = _chunk_some([letters(line) for page in split for line in page], mean)
             whole = _line_hash(owner, hashes, int(counts.sum()))
             page_of_line = np.repeat(np.arange(len(split)), counts)
             first_line = np.cumsum(counts) - counts

@@ -76,6 +76,7 @@ def mix(
     targets: DataFrame,
     share: str = "target_share",
     repeats: str = "max_repeats",
+    target_source: str = "source",
     total: int | None = None,
     shards: int = 64,
     block: int | None = None,
@@ -98,7 +99,7 @@ def mix(
     rows = sizes.select(F.col(item).alias("item"), F.col(source).alias("source"), F.col(size).cast("long").alias("n"))
     rows = cut_lineage(rows.filter("item IS NOT NULL AND source IS NOT NULL AND n > 0"))
     spark = sizes.sparkSession
-    wanted = {r[0]: (r[1], r[2]) for r in targets.select(source, share, repeats).filter(F.col(source).isNotNull()).collect()}
+    wanted = {r[0]: (r[1], r[2]) for r in targets.select(target_source, share, repeats).filter(F.col(target_source).isNotNull()).collect()}
     names = spark.createDataFrame([(s,) for s in wanted], "source string") if wanted else spark.createDataFrame([], "source string")
     have = {r[0]: (r[1], r[2]) for r in rows.join(F.broadcast(names), "source", "left_semi").groupBy("source").agg(F.sum("n"), F.count("*")).collect()}  # no more rows than targets
     quotas = plan_quotas({s: t for s, (t, _) in have.items()}, wanted, total)
@@ -146,7 +147,7 @@ def mix(
     used = uses.groupBy("source").agg(F.sum(F.col("n") * F.col("uses")).alias("size_used"), F.sum("uses").alias("items_used"), F.max("uses").alias("most_uses"))
     whole = Window.partitionBy()
     there = spark.createDataFrame([(s, t) for s, (t, _) in have.items()] or [], "source string, size_available long")
-    asked = targets.filter(F.col(source).isNotNull()).select(F.col(source).alias("source"), F.col(share).alias("target_share"), F.col(repeats).alias("max_repeats"))
+    asked = targets.filter(F.col(target_source).isNotNull()).select(F.col(target_source).alias("source"), F.col(share).alias("target_share"), F.col(repeats).alias("max_repeats"))
     report = asked.join(there, "source", "left").join(used, "source", "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)
     report = report.select("source", "target_share", zero("size_available"), zero("size_used"), zero("items_used"), zero("most_uses"), "max_repeats")

@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tarnwick.llm.arrow import bounded
+
 Span = tuple[int, int]
 
 HEADING = re.compile(r"(?m)^(?=[ \t]*(?:#{1,6}[ \t]+\S|(?:\d+\.)*\d+\.?[ \t]+[A-ZÀ-Þ][^.!?\n]{0,80}$|[A-ZÀ-Þ][A-ZÀ-Þ0-9 ,&/()'-]{2,80}$|<h[1-6][ >]))")
@@ -117,7 +119,7 @@ def split_oversized(df: DataFrame, key: str, text: str, limit: str, overlap: str
     kinds = [pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in bounded(batches, "_text"):
             take, columns = [], [[], [], [], [], []]
             for i, (t, size, lap) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("_text", "_limit", "_overlap")))):
                 for n, (start, end, level) in enumerate(split_text(t, size, lap)):
