@@ -1,4 +1,5 @@
 import importlib.util
+from pathlib import Path
 
 import pytest
 
@@ -27,7 +28,7 @@ def test_query(spark, duck, name):
 
 
 def test_entry_module(spark):
-    spec = importlib.util.spec_from_file_location("entry_module", "/root/repo/__spark_entry__.py")
+    spec = importlib.util.spec_from_file_location("entry_module", Path(__file__).parent.parent / "__spark_entry__.py")
     entry = importlib.util.module_from_spec(spec)
     spec.loader.exec_module(entry)
     assert entry.entry(spark).count() > 0
