@@ -100,3 +100,38 @@ def paragraphs(text: str, size: int, overlap: int) -> list[str]:
                 current = tail if sum(map(len, tail)) + 2 * len(tail) + len(unit) <= size else []
             current.append(unit)
     return ["\n\n".join(p) for p in [*pieces, current] if p]
+
+
+def table_pieces(text: str, size: int, headers: int = 2) -> list[str]:
+    """Rows of a table packed up to `size`; each piece begins with the header lines, and no row is cut."""
+    lines = [x for x in text.split("\n") if x.strip()]
+    head, rows = lines[:headers], lines[headers:]
+    if not rows:
+        return ["\n".join(head)] if head else []
+    pieces, current = [], []
+    room = size - sum(len(x) + 1 for x in head)
+    for row in rows:
+        if current and sum(len(x) + 1 for x in current) + len(row) > room:
+            pieces.append(current)
+            current = []
+        current.append(row)
+    return ["\n".join([*head, *p]) for p in [*pieces, current]]
+
+
+def long_unit(text: str, target: int, overlap: int) -> list[str]:
+    """Sentences packed up to `target`; a sentence above it is cut into steps that overlap."""
+    pieces: list[str] = []
+    current = ""
+    for sentence in re.split(r"(?<=[.!?;])\s+", text.strip()):
+        if len(sentence) > target:
+            if current:
+                pieces.append(current)
+                current = ""
+            step = max(1, target - overlap)
+            pieces += [sentence[i : i + target] for i in range(0, max(1, len(sentence) - overlap), step)]
+        elif current and len(current) + 1 + len(sentence) > target:
+            pieces.append(current)
+            current = sentence
+        else:
+            current = f"{current} {sentence}" if current else sentence
+    return [*pieces, current] if current else pieces

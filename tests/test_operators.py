@@ -144,3 +144,10 @@ def test_merge_ignores_order(spark):
     df = spark.createDataFrame(rows, "qid string, k int, s double, m string")
     out = {r["k"]: round(r["s"], 6) for r in R.merge_best(df, ["qid", "k"], "s", "m").collect()}
     assert out == {1: 0.515, 2: 1.0}
+
+
+def test_splitters():
+    pieces = P.table_pieces("h1\nh2\n" + "\n".join(f"row {i}" for i in range(9)), 30)
+    assert all(p.startswith("h1\nh2\n") and len(p) <= 30 for p in pieces) and sum(p.count("row") for p in pieces) == 9
+    units = P.long_unit("One two. Three four five. " + "x" * 50, 20, 5)
+    assert units[0] == "One two." and all(len(u) <= 20 for u in units) and units[-1].endswith("x")
