@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tarnwick.session import cut_lineage
+
 K1, B = 1.5, 0.75  # fixed values of the keyword score
 RRF = 60.0
 
@@ -29,7 +31,7 @@ def bm25(index: DataFrame, asked: DataFrame, key: str, total: DataFrame, most: i
     the scores are computed behind a semi-join. `most` keeps the best of each query.
     """
     wanted = asked.select("term").distinct()
-    used = index.join(wanted, "term", "left_semi")
+    used = cut_lineage(index.join(wanted, "term", "left_semi"))  # the texts are read once for both uses
     frequency = used.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log(1 + (F.col("chunks") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weighed = asked.join(frequency, "term").join(F.broadcast(total)).select("qid", "term", (F.col("weight") * idf).alias("w"), "weight", "avgdl")  # total: one row

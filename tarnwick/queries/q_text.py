@@ -65,8 +65,10 @@ SELECT qid, chunk_key, round(CASE WHEN len(q) = 0 THEN 0 ELSE len(list_intersect
   round(CASE WHEN len(p) = 0 THEN CASE WHEN len(q) = 0 THEN 0 ELSE len(list_intersect(q, b)) / len(q) END
     ELSE least(1.0, len(list_intersect(p, b)) / len(p) * 0.74 + len(list_intersect(q, b)) / len(q) * 0.26) END, 6) AS weighted FROM t""")
 def t10_weighted_lexical(spark, d):
-    lexical = T.coverage(T.terms_smart(c("question")), T.terms_smart(F.substring("text", 1, 12000)))
-    return _pairs(spark, d).select("qid", "chunk_key", F.round(lexical, 6).alias("lexical"), F.round(T.weighted_lexical(c("question"), c("text")), 6).alias("weighted"))
+    q = c("question")
+    rows = _pairs(spark, d).select("qid", "chunk_key", T.terms_smart(q).alias("terms"), T.priority_terms(q).alias("first"), T.terms_smart(F.substring("text", 1, 12000)).alias("source"))
+    weighted = T.weighted_lexical(c("terms"), c("first"), c("source"))
+    return rows.select("qid", "chunk_key", F.round(T.coverage(c("terms"), c("source")), 6).alias("lexical"), F.round(weighted, 6).alias("weighted"))
 
 
 @query("t14_jaccard", "T14", "L23", sql=f"""WITH {PAIRS}, t AS (SELECT qid, chunk_key, {S.terms_smart('question')} AS q, {S.terms_smart('body')} AS b FROM pairs)
