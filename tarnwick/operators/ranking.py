@@ -24,11 +24,12 @@ def postings(chunks: DataFrame, key: str, terms: Column) -> DataFrame:
     return rows.select(key, "dl", F.explode("terms").alias("term")).groupBy("term", key, "dl").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def bm25(index: DataFrame, asked: DataFrame, key: str, total: DataFrame, most: int | None = None) -> DataFrame:
+def bm25(index: DataFrame, asked: DataFrame, key: str, total: DataFrame, most: int | None = None, pairs: DataFrame | None = None) -> DataFrame:
     """(qid, key, bm25, matched): keyword scores of chunks for queries given as (qid, term, weight).
 
     `total` is one row (chunks, avgdl). Only terms that are asked leave the index: the document frequencies and
-    the scores are computed behind a semi-join. `most` keeps the best of each query.
+    the scores are computed behind a semi-join. `most` keeps the best of each query. `pairs` of (qid, key) are
+    scored alone, each of them that has a term; frequencies stay those of all chunks.
     """
     wanted = asked.select("term").distinct()
     used = cut_lineage(index.join(wanted, "term", "left_semi"))  # the texts are read once for both uses
@@ -36,7 +37,8 @@ def bm25(index: DataFrame, asked: DataFrame, key: str, total: DataFrame, most: i
     idf = F.log(1 + (F.col("chunks") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weighed = asked.join(frequency, "term").join(F.broadcast(total)).select("qid", "term", (F.col("weight") * idf).alias("w"), "weight", "avgdl")  # total: one row
     part = F.col("w") * (F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.greatest("avgdl", F.lit(1.0)))))
-    scores = used.join(weighed, "term").groupBy("qid", key).agg(F.sum(part).alias("bm25"), F.sum("weight").alias("matched"))
+    met = used.join(weighed, "term") if pairs is None else used.join(pairs.select("qid", key).join(weighed, "qid"), ["term", key])
+    scores = met.groupBy("qid", key).agg(F.sum(part).alias("bm25"), F.sum("weight").alias("matched"))
     if most is None:
         return scores
     order = Window.partitionBy("qid").orderBy(F.round("bm25", 9).desc(), key)

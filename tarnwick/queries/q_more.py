@@ -74,8 +74,9 @@ y AS (SELECT *, CASE WHEN len(q) = 0 THEN 0 ELSE len(list_intersect(q, b)) / len
 
 # Scores have few decimals, so that half a unit of the last one kept may occur: 1e-10 settles how it is rounded.
 def _blend(spark, d):
-    keyword = _scores(spark, d, 40).select("qid", "chunk_key", R.squash(c("bm25"), 4.0).alias("kw"))
-    rows = C.candidates(spark, d).select("qid", "chunk_key", F.coalesce("vector_score", F.lit(0.0)).alias("v")).join(keyword, ["qid", "chunk_key"], "left")
+    candidates = C.candidates(spark, d).select("qid", "chunk_key", F.coalesce("vector_score", F.lit(0.0)).alias("v"))
+    keyword = _scores(spark, d, pairs=candidates).select("qid", "chunk_key", R.squash(c("bm25"), 4.0).alias("kw"))
+    rows = candidates.join(keyword, ["qid", "chunk_key"], "left")
     rows = rows.join(C.plans(spark, d).select("qid", "question"), "qid").join(C.chunks(spark, d, "text"), "chunk_key")
     lex = T.coverage(T.terms_smart(c("question")), T.terms_smart(F.substring("text", 1, 12000)))
     return rows.select("qid", "chunk_key", "v", F.coalesce("kw", F.lit(0.0)).alias("kw"), lex.alias("lex"))
