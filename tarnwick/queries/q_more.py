@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from tarnwick.functions import patterns as P
 from tarnwick.functions import text as T
+from tarnwick.functions import words as W
 from tarnwick.operators import ranking as R
+from tarnwick.operators import search as X
 from tarnwick.queries import registry_sql as S
 from tarnwick.queries.q_rank import INDEX_SQL, ORDER_SQL, _scores
 from tarnwick.queries.registry import query
@@ -72,27 +74,63 @@ x AS (SELECT qid, chunk_key, coalesce(vector_score, 0) AS v, coalesce(kw, 0) AS
 y AS (SELECT *, CASE WHEN len(q) = 0 THEN 0 ELSE len(list_intersect(q, b)) / len(q) END AS lex FROM x)"""
 
 
+def _stemmed(text):
+    """Tokens of the keyword index under the light stemmer."""
+    return F.transform(T.bm25_tokens(text), lambda t: T.stem(t, W.STEM_V5))
+
+
 # Scores have few decimals, so that half a unit of the last one kept may occur: 1e-10 settles how it is rounded.
-def _blend(spark, d):
+def _blend(spark, d, stemmed=False):
     candidates = C.candidates(spark, d).select("qid", "chunk_key", F.coalesce("vector_score", F.lit(0.0)).alias("v"))
-    keyword = _scores(spark, d, pairs=candidates).select("qid", "chunk_key", R.squash(c("bm25"), 4.0).alias("kw"))
-    rows = candidates.join(keyword, ["qid", "chunk_key"], "left")
-    rows = rows.join(C.plans(spark, d).select("qid", "question"), "qid").join(C.chunks(spark, d, "text"), "chunk_key")
-    lex = T.coverage(T.terms_smart(c("question")), T.terms_smart(F.substring("text", 1, 12000)))
-    return rows.select("qid", "chunk_key", "v", F.coalesce("kw", F.lit(0.0)).alias("kw"), lex.alias("lex"))
+    rows, scores = candidates, {"kw": T.bm25_tokens} | ({"stem_kw": _stemmed} if stemmed else {})
+    for name, tokens in scores.items():
+        rows = rows.join(_scores(spark, d, pairs=candidates, tokens=tokens).select("qid", "chunk_key", R.squash(c("bm25"), 4.0).alias(name)), ["qid", "chunk_key"], "left")
+    rows = rows.join(C.plans(spark, d).select("qid", "question"), "qid").join(C.chunks(spark, d, "text", "section_path"), "chunk_key")
+    q, text = c("question"), c("text")
+    lex = T.coverage(T.terms_smart(q), T.terms_smart(F.substring("text", 1, 12000)))
+    more = [T.phrase_match(q, text).alias("phrase"), T.section_match(q, c("section_path")).alias("section")] if stemmed else []
+    return rows.select("qid", "chunk_key", "v", *[F.coalesce(name, F.lit(0.0)).alias(name) for name in scores], lex.alias("lex"), *more)
+
 
+def _five_arms():
+    """The weighted sum of v, kw, lex, phrase and section; a section that matches sets a floor."""
+    blended = F.least(F.lit(1.0), F.greatest(F.lit(0.0), c("v") * 0.36 + c("kw") * 0.24 + c("lex") * 0.18 + c("phrase") * 0.10 + c("section") * 0.12))
+    return F.when(c("section") > 0, F.greatest(blended, 0.78 + c("section") * 0.18)).otherwise(blended)
 
-@query("r5_five_arm_blend", "R5", "R6", "R15", sql=BLEND + " SELECT qid, chunk_key, round(least(1.0, greatest(0.0, v * 0.36 + kw * 0.24 + lex * 0.18)), 6) AS score, round(least(0.93, 0.36 + 0.38 * kw + 0.20 * lex), 6) AS stemmed FROM y")
+
+@query("r5_five_arm_blend", "R5", sql=BLEND + " SELECT qid, chunk_key, round(least(1.0, greatest(0.0, v * 0.36 + kw * 0.24 + lex * 0.18)), 6) AS score, round(least(0.93, 0.36 + 0.38 * kw + 0.20 * lex), 6) AS stemmed FROM y")
 def r5_five_arm_blend(spark, d):
-    score = F.least(F.lit(1.0), F.greatest(F.lit(0.0), c("v") * 0.36 + c("kw") * 0.24 + c("lex") * 0.18))
-    return _blend(spark, d).select("qid", "chunk_key", F.round(score, 6).alias("score"), F.round(F.least(F.lit(0.93), 0.36 + 0.38 * c("kw") + 0.20 * c("lex")), 6).alias("stemmed"))
+    return _blend(spark, d, True).select("qid", "chunk_key", F.round(_five_arms() + 1e-10, 6).alias("score"), F.round(F.least(F.lit(0.93), 0.36 + 0.38 * c("stem_kw") + 0.20 * c("lex")), 6).alias("stemmed"))
 
 
-@query("r8_smart_blend", "R8", "R9", "R25", sql=BLEND + " SELECT qid, chunk_key, round(least(1.0, v * 0.46 + kw * 0.30 + lex * 0.24 + 1e-10), 6) AS score, round(least(1.0, 0.42 + 0.38 * kw + 0.20 * lex + 1e-10), 6) AS scan FROM y")
+@query("r8_smart_blend", "R8", "R25", sql=BLEND + " SELECT qid, chunk_key, round(least(1.0, v * 0.46 + kw * 0.30 + lex * 0.24 + 1e-10), 6) AS score, round(least(1.0, 0.42 + 0.38 * kw + 0.20 * lex + 1e-10), 6) AS scan FROM y")
 def r8_smart_blend(spark, d):
     return _blend(spark, d).select("qid", "chunk_key", F.round(F.least(F.lit(1.0), c("v") * 0.46 + c("kw") * 0.30 + c("lex") * 0.24 + 1e-10), 6).alias("score"), F.round(F.least(F.lit(1.0), 0.42 + 0.38 * c("kw") + 0.20 * c("lex") + 1e-10), 6).alias("scan"))
 
 
+_PRIORITY = f"list_slice(list_sort({S.priority_terms('question')}), 1, 5)"
+
+
+@query("r9_corpus_scan", "R9", sql=f"""WITH {INDEX_SQL}, k AS (SELECT qid, chunk_key, bm25, bm25 / (bm25 + 4.0) AS kw, row_number() OVER (PARTITION BY qid ORDER BY round(bm25, 9) DESC, chunk_key) AS n FROM scored),
+t AS (SELECT qid, {S.terms_smart('question')} AS q, {S.priority_terms('question')} AS p, {_PRIORITY} AS need FROM query_plans), b AS (SELECT chunk_key, {S.terms_smart('text')} AS b FROM chunks),
+w AS (SELECT qid, chunk_key, kw, CASE WHEN len(q) = 0 THEN 0 ELSE len(list_intersect(q, b)) / len(q) END AS lex, CASE WHEN len(p) = 0 THEN NULL ELSE len(list_intersect(p, b)) / len(p) END AS first FROM k JOIN t USING (qid) JOIN b USING (chunk_key) WHERE n <= 160),
+s AS (SELECT qid, chunk_key, least(1.0, 0.42 + 0.38 * kw + 0.20 * coalesce(least(1.0, first * 0.74 + lex * 0.26), lex)) AS score FROM w
+  UNION ALL SELECT qid, chunk_key, least(1.0, 0.82 + 0.16 * kw) FROM (SELECT qid, chunk_key, coalesce(kw, 0) AS kw, row_number() OVER (PARTITION BY qid ORDER BY round(coalesce(bm25, 0), 9) DESC, chunk_key) AS n FROM t JOIN b ON len(need) > 0 AND list_has_all(b, need) LEFT JOIN k USING (qid, chunk_key)) WHERE n <= 80)
+SELECT qid, chunk_key, round(max(score) + 1e-10, 6) AS score FROM s GROUP BY qid, chunk_key""")
+def r9_corpus_scan(spark, d):
+    """The reference's fallback over the whole corpus: its limits are 160 chunks by keyword and 80 with all of the first five priority terms."""
+    plans, chunks = C.plans(spark, d).select("qid", "question"), C.chunks(spark, d, "text")
+    q, kw = c("question"), R.squash(c("bm25"), 4.0)
+    found = _scores(spark, d, 160).join(plans, "qid").join(chunks, "chunk_key")
+    lexical = T.weighted_lexical(T.terms_smart(q), T.priority_terms(q), T.terms_smart(c("text")))
+    found = found.select("qid", "chunk_key", F.least(F.lit(1.0), 0.42 + 0.38 * kw + 0.20 * lexical).alias("score"))
+    needed = plans.select("qid", F.slice(F.array_sort(T.priority_terms(q)), 1, 5).alias("terms"))
+    both = X.all_terms(needed, chunks, "chunk_key", T.terms_smart(c("text")))
+    both = both.join(_scores(spark, d, pairs=both), ["qid", "chunk_key"], "left").withColumn("bm25", F.coalesce("bm25", F.lit(0.0)))
+    best = R.top_in(both, ["qid"], [F.round("bm25", 9).desc(), c("chunk_key")], 80).select("qid", "chunk_key", F.least(F.lit(1.0), 0.82 + 0.16 * kw).alias("score"))
+    return found.unionByName(best).groupBy("qid", "chunk_key").agg(F.round(F.max("score") + 1e-10, 6).alias("score"))
+
+
 @query("r18_scoped_candidates", "R18", "R20", sql=f"""WITH {S.CANDIDATES}, r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY {ORDER_SQL}) AS rank FROM candidates), d AS (SELECT qid, document_id, max(coalesce(vector_score, 0)) AS route FROM candidates GROUP BY ALL)
 SELECT qid, chunk_key, round(0.54 * coalesce(vector_score, 0) + 0.24 * route + 0.22 / (1 + rank / 8.0), 6) AS score FROM r JOIN d USING (qid, document_id)""")
 def r18_scoped_candidates(spark, d):

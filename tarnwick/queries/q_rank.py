@@ -25,11 +25,11 @@ scored AS (
 """
 
 
-def _scores(spark, d, most=None, pairs=None):
+def _scores(spark, d, most=None, pairs=None, tokens=T.bm25_tokens):
     chunks = C.chunks(spark, d, "text")
-    index = R.postings(chunks, "chunk_key", T.bm25_tokens(F.col("text")))
-    total = chunks.select(F.size(T.bm25_tokens(F.col("text"))).alias("n")).agg(F.count("*").alias("chunks"), F.avg("n").alias("avgdl"))
-    asked = C.plans(spark, d).select("qid", F.explode(F.array_distinct(T.bm25_tokens(F.col("question")))).alias("term"), F.lit(1.0).alias("weight"))
+    index = R.postings(chunks, "chunk_key", tokens(F.col("text")))
+    total = chunks.select(F.size(tokens(F.col("text"))).alias("n")).agg(F.count("*").alias("chunks"), F.avg("n").alias("avgdl"))
+    asked = C.plans(spark, d).select("qid", F.explode(F.array_distinct(tokens(F.col("question")))).alias("term"), F.lit(1.0).alias("weight"))
     return R.bm25(index, asked, "chunk_key", total, most, pairs)
 
 

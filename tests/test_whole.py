@@ -2,6 +2,7 @@
 
 import pytest
 
+from tarnwick.functions import words as W
 from tarnwick.queries import registry_sql as S
 from tarnwick.queries.q_rank import INDEX_SQL
 from tarnwick.queries.registry import load_core
@@ -24,3 +25,30 @@ def test_keyword_scores_of_all_candidates(spark, duck):
 
     found = _blend(spark, SMALL).filter("kw > 0").selectExpr("qid", "chunk_key", "round(kw, 6) AS kw").toPandas()
     assert len(expected) > 50 and rows(found) == rows(expected)
+
+
+def test_five_arms(spark, duck):
+    """R5 with its phrase, section and floor; R6 under the stemmer."""
+    n, words = S.canonical_phrase("question"), "len(string_split(n, ' ')) >= 2"
+    stems = lambda text: f"list_transform({S.bm25_tokens(text)}, lambda t: {S.stem('t', W.STEM_V5)})"
+    stemmed = INDEX_SQL.replace(S.bm25_tokens("text"), stems("text")).replace(S.bm25_tokens("question"), stems("question"))
+    plain = f"""WITH {INDEX_SQL}, {S.CANDIDATES}, parts AS (SELECT chunk_key, {S.canonical_phrase('x')} AS p FROM (SELECT chunk_key, unnest(section_path) AS x FROM chunks)),
+        a AS (SELECT qid, chunk_key, coalesce(vector_score, 0) AS v, coalesce(bm25 / (bm25 + 4.0), 0) AS kw, {S.terms_smart('question')} AS q, {S.terms_smart('text')} AS b, {n} AS n, {S.canonical_phrase('text')} AS t
+          FROM candidates LEFT JOIN scored USING (qid, chunk_key) JOIN query_plans USING (qid) JOIN chunks USING (chunk_key)),
+        s AS (SELECT qid, chunk_key, max(CASE WHEN p = '' OR length(n) < 3 THEN 0 WHEN p = n THEN 1 WHEN {words} AND contains(' ' || p || ' ', ' ' || n || ' ') THEN 0.88
+          WHEN {words} AND contains(' ' || n || ' ', ' ' || p || ' ') THEN 0.72 ELSE 0 END) AS section FROM a JOIN parts USING (chunk_key) GROUP BY ALL)
+        SELECT qid, chunk_key, v, kw, CASE WHEN len(q) = 0 THEN 0 ELSE len(list_intersect(q, b)) / len(q) END AS lex, CASE WHEN length(n) >= 4 AND contains(t, n) THEN 1 ELSE 0 END AS phrase, CAST(coalesce(section, 0) AS DOUBLE) AS section FROM a LEFT JOIN s USING (qid, chunk_key)"""
+    other = f"WITH {stemmed}, {S.CANDIDATES} SELECT qid, chunk_key, bm25 / (bm25 + 4.0) AS kw FROM scored JOIN candidates USING (qid, chunk_key)"
+    expected = duck.execute(f"""WITH x AS (SELECT *, least(1.0, greatest(0.0, v * 0.36 + kw * 0.24 + lex * 0.18 + phrase * 0.10 + section * 0.12)) AS blend FROM ({plain}))
+        SELECT qid, chunk_key, round(CASE WHEN section > 0 THEN greatest(blend, 0.78 + section * 0.18) ELSE blend END + 1e-10, 6) AS score, round(least(0.93, 0.36 + 0.38 * coalesce(o.kw, 0) + 0.20 * lex), 6) AS stemmed
+        FROM x LEFT JOIN ({other}) o USING (qid, chunk_key)""").df()
+    found = QUERIES["r5_five_arm_blend"].run(spark, SMALL).toPandas()
+    assert rows(found) == rows(expected)
+
+
+def test_section_sets_a_floor(spark):
+    from tarnwick.queries.q_more import _five_arms
+
+    given = [(1, 0.1, 0.0, 0.0, 0.0, 0.88), (2, 0.1, 0.0, 0.0, 1.0, 0.0), (3, 1.0, 1.0, 1.0, 1.0, 1.0)]
+    found = spark.createDataFrame(given, "id int, v double, kw double, lex double, phrase double, section double").select("id", _five_arms().alias("s")).collect()
+    assert {r.id: round(r.s, 6) for r in found} == {1: 0.9384, 2: 0.136, 3: 1.0}
