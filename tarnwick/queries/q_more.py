@@ -87,7 +87,7 @@ def _blend(spark, d, stemmed=False):
         rows = rows.join(_scores(spark, d, pairs=candidates, tokens=tokens).select("qid", "chunk_key", R.squash(c("bm25"), 4.0).alias(name)), ["qid", "chunk_key"], "left")
     rows = rows.join(C.plans(spark, d).select("qid", "question"), "qid").join(C.chunks(spark, d, "text", "section_path"), "chunk_key")
     q, text = c("question"), c("text")
-    lex = T.coverage(T.terms_smart(q), T.terms_smart(F.substring("text", 1, 12000)))
+    lex = T.coverage(T.terms_smart(q), T.terms_smart(text))
     more = [T.phrase_match(q, text).alias("phrase"), T.section_match(q, c("section_path")).alias("section")] if stemmed else []
     return rows.select("qid", "chunk_key", "v", *[F.coalesce(name, F.lit(0.0)).alias(name) for name in scores], lex.alias("lex"), *more)
 

@@ -66,7 +66,7 @@ SELECT qid, chunk_key, round(CASE WHEN len(q) = 0 THEN 0 ELSE len(list_intersect
     ELSE least(1.0, len(list_intersect(p, b)) / len(p) * 0.74 + len(list_intersect(q, b)) / len(q) * 0.26) END, 6) AS weighted FROM t""")
 def t10_weighted_lexical(spark, d):
     q = c("question")
-    rows = _pairs(spark, d).select("qid", "chunk_key", T.terms_smart(q).alias("terms"), T.priority_terms(q).alias("first"), T.terms_smart(F.substring("text", 1, 12000)).alias("source"))
+    rows = _pairs(spark, d).select("qid", "chunk_key", T.terms_smart(q).alias("terms"), T.priority_terms(q).alias("first"), T.terms_smart(c("text")).alias("source"))
     weighted = T.weighted_lexical(c("terms"), c("first"), c("source"))
     return rows.select("qid", "chunk_key", F.round(T.coverage(c("terms"), c("source")), 6).alias("lexical"), F.round(weighted, 6).alias("weighted"))
 

@@ -52,3 +52,21 @@ def test_section_sets_a_floor(spark):
     given = [(1, 0.1, 0.0, 0.0, 0.0, 0.88), (2, 0.1, 0.0, 0.0, 1.0, 0.0), (3, 1.0, 1.0, 1.0, 1.0, 1.0)]
     found = spark.createDataFrame(given, "id int, v double, kw double, lex double, phrase double, section double").select("id", _five_arms().alias("s")).collect()
     assert {r.id: round(r.s, 6) for r in found} == {1: 0.9384, 2: 0.136, 3: 1.0}
+
+
+def test_long_texts_are_read_to_their_end(spark, tmp_path):
+    """Terms and phrases after character 12,000 count in lexical coverage and phrase match."""
+    import datetime as dt
+
+    at, path = dt.datetime(2026, 1, 1), str(tmp_path)
+    text = "filler word " * 1100 + "pantograph interlock"
+    write = lambda name, row, kind: spark.createDataFrame([row], kind).write.parquet(f"{path}/{name}.parquet")
+    write("text_chunk", (1, text, ["1. Pantograph interlock"], at), "chunk_key long, text string, section_path array<string>, created_at timestamp")
+    write("query_plans", ("q1", "pantograph interlock"), "qid string, question string")
+    write("retrieved_chunk", ("q1", 1, 0.5, at), "qid string, chunk_key long, vector_score double, ingested_at timestamp")
+    lexical = QUERIES["t10_weighted_lexical"].run(spark, path).collect()
+    assert [(r.lexical, r.weighted) for r in lexical] == [(1.0, 1.0)]
+    assert QUERIES["t11_phrase_match"].run(spark, path).first().match
+    from tarnwick.queries.q_more import _blend
+
+    assert _blend(spark, path).first().lex == 1.0
