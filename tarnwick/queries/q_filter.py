@@ -26,8 +26,12 @@ def f2_typed_filters(spark, d):
 @query("f4_exact_and", "F4", "F8", sql=f"""WITH {S.CHUNKS}, q AS (SELECT qid, list_slice(list_filter({S.terms_v5('question')}, lambda t: length(t) >= 3), 1, 3) AS t FROM query_plans)
 SELECT qid, chunk_key FROM q JOIN chunks ON len(t) > 0 AND contains(lower(text), t[1]) AND (len(t) < 2 OR contains(lower(text), t[2])) AND (len(t) < 3 OR contains(lower(text), t[3]))""")
 def f4_exact_and(spark, d):
-    asked = C.plans(spark, d).select("qid", F.slice(F.filter(T.terms_v5(c("question")), lambda t: F.length(t) >= 3), 1, 3).alias("terms"))
-    return X.all_substrings(asked, C.chunks(spark, d, "text"), "chunk_key", "text")
+    """Chunks with the first six terms of a question, table rows first, then by place."""
+    asked = C.plans(spark, d).select("qid", F.slice(F.filter(T.terms_v5(c("question")), lambda t: F.length(t) >= 3), 1, 6).alias("terms"))
+    found = X.all_substrings(asked, C.chunks(spark, d, "text"), "chunk_key", "text")
+    places = C.chunks(spark, d, "content_type", "filename", "page_number", "chunk_index")
+    order = [F.when(c("content_type") == "table_row", 0).otherwise(1), F.lower("filename"), c("page_number"), c("chunk_index"), c("chunk_key")]
+    return found.join(places, "chunk_key").orderBy("qid", *order).select("qid", "chunk_key")
 
 
 @query("f5_prefix_or", "F5", "R7", sql=f"""WITH {S.CHUNKS}, q AS (SELECT qid, unnest({S.terms_v5('question')}) AS t FROM query_plans), w AS (SELECT chunk_key, unnest(list_distinct({S.tokens('text', '[a-z0-9]+')})) AS w FROM chunks)
@@ -41,7 +45,7 @@ def f5_prefix_or(spark, d):
 @query("f6_boolean_and", "F6", sql=f"""WITH {S.CHUNKS}, q AS (SELECT qid, list_slice(list_sort({S.priority_terms('question')}), 1, 3) AS t FROM query_plans), w AS (SELECT chunk_key, {S.terms_smart('text')} AS w FROM chunks)
 SELECT qid, chunk_key FROM q JOIN w ON len(t) > 0 AND list_has_all(w, t)""")
 def f6_boolean_and(spark, d):
-    asked = C.plans(spark, d).select("qid", F.slice(F.array_sort(T.priority_terms(c("question"))), 1, 3).alias("terms"))
+    asked = C.plans(spark, d).select("qid", F.slice(F.array_sort(T.priority_terms(c("question"))), 1, 5).alias("terms"))
     return X.all_terms(asked, C.chunks(spark, d, "text"), "chunk_key", T.terms_smart(c("text")))
 
 

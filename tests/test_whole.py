@@ -70,3 +70,25 @@ def test_long_texts_are_read_to_their_end(spark, tmp_path):
     from tarnwick.queries.q_more import _blend
 
     assert _blend(spark, path).first().lex == 1.0
+
+
+def test_and_asks_for_every_term(spark, tmp_path):
+    """F4 asks for six terms and gives table rows first; F6 asks for five."""
+    import datetime as dt
+
+    at, path, words = dt.datetime(2026, 1, 1), str(tmp_path), ["brake", "door", "lamp", "motor", "relay", "valve"]
+    texts = [" ".join(words), " ".join(words[:5]), " ".join(words[:3]), " ".join(words)]
+    kinds = ["text", "text", "text", "table_row"]
+    chunks = [(k + 1, t, kinds[k], "a.pdf", 1, k, at) for k, t in enumerate(texts)]
+    spark.createDataFrame(chunks, "chunk_key long, text string, content_type string, filename string, page_number int, chunk_index int, created_at timestamp").write.parquet(f"{path}/text_chunk.parquet")
+    spark.createDataFrame([("q1", " ".join(words))], "qid string, question string").write.parquet(f"{path}/query_plans.parquet")
+    assert [r.chunk_key for r in QUERIES["f4_exact_and"].run(spark, path).collect()] == [4, 1]
+    assert sorted(r.chunk_key for r in QUERIES["f6_boolean_and"].run(spark, path).collect()) == [1, 2, 4]
+
+
+@pytest.mark.parametrize(("name", "most"), [("f4_exact_and", 6), ("f6_boolean_and", 5)])
+def test_and_over_whole_tables(spark, duck, name, most):
+    sql = QUERIES[name].sql.replace("1, 3)", f"1, {most})")
+    if name == "f4_exact_and":
+        sql = sql.replace("contains(lower(text), t[3]))", "contains(lower(text), t[3]))" + "".join(f" AND (len(t) < {n} OR contains(lower(text), t[{n}]))" for n in range(4, most + 1)))
+    assert rows(QUERIES[name].run(spark, SMALL).toPandas()) == rows(duck.execute(sql).df())
