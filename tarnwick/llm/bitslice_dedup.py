@@ -22,6 +22,7 @@ WORDS = BITS // 64
 CELLS = 1 << 18
 #: Rows of a block that are compared with each other at once; larger blocks are tiled.
 TILE = 4096
+SKETCH = tuple(f"s{w}" for w in range(WORDS))
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 _words: dict[str, int] = {}
@@ -71,28 +72,41 @@ def shingle_sets(texts: list[str | None], width: int) -> tuple[np.ndarray, np.nd
     return runs, np.bincount(owner, minlength=len(texts)).astype(np.int64)
 
 
-def sketches(runs: np.ndarray, counts: np.ndarray) -> np.ndarray:
+def sketches(runs: np.ndarray, counts: np.ndarray, most: int = 1 << 15) -> np.ndarray:
     """(rows, WORDS) uint64: bit b is one bit of the least of the b-th permutation's hashes of the set.
 
-    Of two sets with Jaccard similarity s each bit differs with probability (1 - s) / 2.
+    Of two sets with Jaccard similarity s each bit differs with probability (1 - s) / 2. Sets are taken together until
+    they have about `most` shingles, so that the work arrays stay in a processor's cache.
     """
-    rows = len(counts)
-    out = np.zeros((rows, WORDS), np.uint64)
+    out = np.zeros((len(counts), WORDS), np.uint64)
     some = np.flatnonzero(counts)
     if not len(some):
         return out
-    starts = (np.cumsum(counts) - counts)[some]
-    base = runs.view(np.uint64)
+    base = (_mix(runs.view(np.uint64)) >> np.uint64(32)).astype(np.uint32)
     rng = np.random.default_rng(11)
-    factors = rng.integers(1, 2**63, BITS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    shifts = rng.integers(0, 2**63, BITS, dtype=np.uint64)
+    factors = rng.integers(0, 2**31, BITS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+    shifts = rng.integers(0, 2**32, BITS, dtype=np.uint32)
+    sizes = counts[some]
+    ends = np.cumsum(sizes)
+    least = np.zeros((BITS, len(some)), np.uint32)
+    at = 0
     with np.errstate(over="ignore"):
-        for b in range(BITS):
-            h = (base ^ shifts[b]) * factors[b]
-            h ^= h >> np.uint64(32)
-            least = np.minimum.reduceat(h * _ODD, starts)
-            bit = _mix(least) & np.uint64(1)
-            out[some, b // 64] |= bit << np.uint64(b % 64)
+        while at < len(some):
+            before = int(ends[at] - sizes[at])
+            stop = max(at + 1, int(np.searchsorted(ends, before + most, "right")))
+            part = base[before : ends[stop - 1]]
+            starts = ends[at:stop] - sizes[at:stop] - before
+            h, turned = np.empty_like(part), np.empty_like(part)
+            for b in range(BITS):
+                np.multiply(part, factors[b], out=h)
+                np.add(h, shifts[b], out=h)
+                np.right_shift(h, np.uint32(16), out=turned)
+                np.bitwise_xor(h, turned, out=h)
+                np.multiply(h, np.uint32(0x45D9F3B), out=h)
+                least[b, at:stop] = np.minimum.reduceat(h, starts)
+            at = stop
+    bits = (_mix(least.astype(np.uint64) + np.uint64(1)) & np.uint64(1)).astype(np.uint8)
+    out[some] = np.packbits(np.ascontiguousarray(bits.T), axis=1, bitorder="little").view(np.uint64)
     return out
 
 
@@ -174,45 +188,63 @@ def _at_most(counters: np.ndarray, radius: int) -> np.ndarray:
     return less | equal
 
 
-def near_pairs(group: np.ndarray, side: np.ndarray, sketch: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rows i < j of one group (groups are runs of equal numbers) whose sketches are within the radius.
+def partners(group: np.ndarray, n: np.ndarray, place: np.ndarray, similarity: float) -> np.ndarray:
+    """For rows sorted by (group, n): one past the last row that may be linked to each as the larger set.
+
+    Of a pair's first shared shingle, each set has n - place - 1 shingles after it, so the sets share at most one more
+    than the smaller of these numbers. The larger set may thus have at most (n - place) (1 + s) / s - n shingles, and no
+    more than n / s. A pair that is linked passes at its first shared shingle, if not at later ones.
+    """
+    most = np.floor((n - place) * (1 + similarity) / similarity - n + 1e-9)
+    most = np.minimum(most, np.floor(n / similarity + 1e-9)).astype(np.int64)
+    wide = int(n.max(initial=0)) + 2
+    order = group.astype(np.int64) * wide
+    return np.searchsorted(order + n, order + np.minimum(most, wide - 1), "right")
+
+
+def near_pairs(group: np.ndarray, n: np.ndarray, place: np.ndarray, side: np.ndarray, sketch: np.ndarray, radius: int, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Rows i < j of one group whose sketches are within the radius, sizes and places permitting.
 
-    Where `side` differs within a group, only rows of unlike sides are compared.
+    Rows are sorted by (group, n), groups are numbered from 0. Where `side` differs within a group, only rows of unlike sides
+    are compared.
     """
-    n = len(group)
-    if n < 2:
-        none = np.zeros(0, np.int64)
+    rows = len(group)
+    none = np.zeros(0, np.int64)
+    if rows < 2:
         return none, none
-    last = np.flatnonzero(np.concatenate([group[1:] != group[:-1], [True]]))
-    end = last[np.searchsorted(last, np.arange(n))]  # last row of each row's group
+    end = partners(group, n, place, similarity)  # one past
     vertical = planes(sketch)
-    first_block, last_block = np.arange(n) // 64, end // 64
-    busy = np.flatnonzero(end > np.arange(n))
+    # Equal sets of shingles have equal n, so the smaller set of a pair is the earlier row, or the rows have one size.
+    busy = np.flatnonzero(end > np.arange(rows) + 1)
+    first_block = (busy + 1) // 64
+    spans = (end[busy] - 1) // 64 - first_block + 1
+    two = _two_sided(group, side)
     out_i, out_j = [], []
-    step = 200_000
-    spans = (last_block - first_block + 1)[busy]
+    step = 50_000
     edges = np.concatenate([[0], np.cumsum(spans)])
     at = 0
     while at < len(busy):
         stop = max(at + 1, int(np.searchsorted(edges, edges[at] + step, "right")) - 1)
         some, count = busy[at:stop], spans[at:stop]
         query = np.repeat(some, count)
-        offset = np.arange(len(query)) - np.repeat(np.cumsum(count) - count, count)
-        block = first_block[query] + offset
+        block = np.repeat(first_block[at:stop], count) + np.arange(len(query)) - np.repeat(np.cumsum(count) - count, count)
         lanes = within(sketch, vertical, query, block, radius)
         hit = np.flatnonzero(lanes)
         if len(hit):
             bits = np.unpackbits(lanes[hit].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
             k, lane = np.nonzero(bits)
             i, j = query[hit[k]], block[hit[k]] * 64 + lane
-            good = (j > i) & (j <= end[i])
+            good = (j > i) & (j < end[i])
             i, j = i[good], j[good]
-            mixed = (side[i] != side[j]) | ~_two_sided(group, side)[i]
-            out_i.append(i[mixed])
-            out_j.append(j[mixed])
+            # The larger set's place counts as well.
+            shared = np.minimum(n[i] - place[i], n[j] - place[j])
+            good = shared >= (n[i] + n[j]) * (similarity / (1 + similarity)) - 1e-6
+            good &= (side[i] != side[j]) | ~two[i]
+            out_i.append(i[good])
+            out_j.append(j[good])
         at = stop
     if not out_i:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return none, none
     return np.concatenate(out_i), np.concatenate(out_j)
 
 
@@ -231,21 +263,35 @@ def radius_for(similarity: float, deviations: float = 4.5) -> int:
 
 
 def _sets(df: DataFrame, key: str, text: str, width: int) -> DataFrame:
+    """(key, id, other, n, s0..., shingles): the shingles of every row, two hashes of the whole set, and its sketch."""
     rows = df.filter(F.col(key).isNotNull()).select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
-    rows = rows.groupBy("key").agg(F.max("text").alias("text"))
     kind = rows.schema["key"].dataType.simpleString()
+    names = ["key", "id", "other", "n", *SKETCH, "shingles"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in bounded(batches, "text"):
+        for batch in bounded(batches, "text", 4_000_000):
             runs, counts = shingle_sets(batch.column("text").to_pylist(), width)
             edges = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
             sets = pa.ListArray.from_arrays(pa.array(edges), pa.array(runs))
-            yield pa.RecordBatch.from_arrays([batch.column("key"), sets], ["key", "shingles"])
+            ids = [pa.array(_set_hash(runs, counts, salt)) for salt in (1, 2)]
+            sketch = sketches(runs, counts).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("key"), *ids, pa.array(counts.astype(np.int32)), *(pa.array(sketch[:, w]) for w in range(WORDS)), sets], names)
+
+    return rows.mapInArrow(run, f"key {kind}, id long, other long, n int, {', '.join(f'{s} long' for s in SKETCH)}, shingles array<long>")
 
-    return rows.mapInArrow(run, f"key {kind}, shingles array<long>")
+
+def _set_hash(runs: np.ndarray, counts: np.ndarray, salt: int) -> np.ndarray:
+    """A hash of each set; the sum over its mixed shingles does not depend on their order."""
+    out = np.zeros(len(counts), np.uint64)
+    some = np.flatnonzero(counts)
+    if len(some):
+        with np.errstate(over="ignore"):
+            mixed = _mix(_mix(runs.view(np.uint64) + np.uint64(salt)) * _ODD + np.uint64(salt))
+            out[some] = _mix(np.add.reduceat(mixed, (np.cumsum(counts) - counts)[some]) + counts[some].astype(np.uint64))
+    return out.view(np.int64)
 
 
-def _cells(classes: DataFrame) -> np.ndarray:
+def _cells(sets: DataFrame) -> np.ndarray:
     """How often shingles fall into each of CELLS cells; a driver-side array of fixed size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -258,7 +304,7 @@ def _cells(classes: DataFrame) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([slices[i].tolist() for i in some], pa.list_(pa.int64()))], ["slice", "counts"])
 
     wide = CELLS // 64
-    local = classes.select("shingles").coalesce(shuffle_partitions(classes.sparkSession)).mapInArrow(run, "slice int, counts array<long>")
+    local = sets.select("shingles").coalesce(shuffle_partitions(sets.sparkSession)).mapInArrow(run, "slice int, counts array<long>")
     cells = local.select("slice", F.posexplode("counts").alias("at", "n")).filter("n > 0").groupBy("slice", "at").agg(F.sum("n").alias("n"))
     out = np.zeros(CELLS, np.int64)
     for batch in cells.select((F.col("slice") * wide + F.col("at")).alias("cell"), "n").toArrow().to_batches():  # at most CELLS rows
@@ -275,72 +321,90 @@ def near_duplicates(df: DataFrame, key: str, text: str, similarity: float = 0.8,
     smallest key and members of one class are linked to each other. A record without a full run has no links and its class is null.
 
     Blocks are exact: of each set only the rarest shingles that a similar set cannot all miss are block keys. Within
-    a block 256-bit sketches are compared bit-sliced; what is within a radius that a linked pair exceeds in about 3
-    of a million cases is settled by the exact sets. Blocks above TILE rows become tiles, each pair of tiles a unit of
-    its own. Of repeated keys the greatest text counts; null keys are left out, null texts have no runs. Ties do not
-    occur; other columns are ignored; empty tables give empty results. Whole texts are read.
+    a block 256-bit sketches are compared bit-sliced, where the sizes of two sets and the places of the shared shingle allow a
+    link; what is within a radius that a linked pair exceeds in about 3 of a million cases is settled by the exact sets. Blocks
+    above TILE rows become tiles, each pair of tiles a unit of its own; nothing that grows with the records is broadcast.
+    Of repeated keys with unlike texts the one whose set has the greater hash counts; null keys are left out, null texts have no
+    runs. Ties do not occur; other columns are ignored; empty tables give empty results. Whole texts are read.
     """
     if not 0 < similarity <= 1:
         raise ValueError("similarity must be in (0, 1]")
-    kind = dict(df.dtypes)[key]
+    spark = df.sparkSession
     sets = cut_lineage(_sets(df, key, text, width))
-    full = sets.filter(F.size("shingles") > 0)
-    # Classes of equal sets by two independent hashes of the whole set: 128 bits.
-    named = full.select("key", "shingles", F.xxhash64("shingles").alias("h1"), F.xxhash64(F.lit(7), F.reverse("shingles")).alias("h2"))
-    # Of a class its smallest key; the sets themselves are joined back, not carried through the aggregate.
-    heads = named.groupBy("h1", "h2").agg(F.min("key").alias("class"), F.count(F.lit(1)).alias("copies"))
-    salted = named.select("key", "h1", "h2").join(heads, ["h1", "h2"]).select("key", "class", "copies")
-    members = cut_lineage(salted)
-    classes = full.join(members.filter("key = class").select("key"), "key", "left_semi")
-    cells = df.sparkSession.sparkContext.broadcast(_cells(classes))
+    # One row for each key, without its set; classes of equal sets by 128 bits of hash.
+    one = F.max(F.struct("id", "other", "n")).alias("r")
+    named = cut_lineage(sets.groupBy("key").agg(one).select("key", "r.*"))
+    heads = named.filter("n > 0").groupBy("id", "other").agg(F.min("key").alias("class"), F.count(F.lit(1)).alias("copies"))
+    heads = cut_lineage(heads)
+    members = named.join(heads.hint("merge"), ["id", "other"], "left").select(F.col("key").alias(key), "class", F.coalesce("copies", F.lit(1)).cast("long").alias("copies"))
+
+    table = _cells(sets)
+    cells = spark.sparkContext.broadcast(table)  # CELLS numbers
     radius, at_least = radius_for(similarity), similarity
+    # Only a shingle in a cell with more than `full` entries can have a block above TILE rows, or above the cells' usual load.
+    full = max(TILE, 4 * int(table.mean()))
 
     def block_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in bounded(batches, "shingles", 500_000):
+            ids = batch.column("id").to_numpy()
+            first = np.unique(ids, return_index=True)[1]  # copies of one set are one row
+            batch = batch.take(pa.array(np.sort(first)))
             lists = batch.column("shingles")
             flat = lists.flatten().to_numpy(zero_copy_only=False)
-            counts = np.diff(lists.offsets.to_numpy())
-            sketch = sketches(flat, counts)
+            counts = batch.column("n").to_numpy().astype(np.int64)
             owner = np.repeat(np.arange(len(counts)), counts)
-            order = np.lexsort((flat, cells.value[flat & (CELLS - 1)], owner))
+            load = cells.value[flat & (CELLS - 1)]
+            order = np.lexsort((flat, load, owner))
             need = counts - np.ceil(at_least * counts - 1e-9).astype(np.int64) + 1
             place = np.arange(len(flat)) - np.repeat(np.cumsum(counts) - counts, counts)
-            rare = order[place < need[owner]]
-            who = owner[rare]
-            columns = [pa.array(flat[rare]), batch.column("key").take(pa.array(who)), pa.array(counts[who].astype(np.int32))]
-            yield pa.RecordBatch.from_arrays([*columns, *(pa.array(sketch[who, w].view(np.int64)) for w in range(WORDS))], ["block", "key", "n", *(f"s{w}" for w in range(WORDS))])
-
-    stored = ", ".join(f"s{w} long" for w in range(WORDS))
-    keyed = classes.mapInArrow(block_keys, f"block long, key {kind}, n int, {stored}")
-    keyed = cut_lineage(keyed)
-    sizes = keyed.groupBy("block").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1")
-    tiles = F.ceil(F.col("rows") / TILE).cast("int")
-    placed = keyed.join(sizes, "block").withColumn("tiles", tiles)
-    plain = placed.filter("tiles = 1").select("block", F.lit(0).alias("ti"), F.lit(0).alias("tj"), F.lit(0).alias("side"), "key", "n", *[f"s{w}" for w in range(WORDS)])
-    own = F.pmod(F.xxhash64("key"), F.col("tiles")).cast("int")
-    split = placed.filter("tiles > 1").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    split = split.select("block", F.least("own", "other").alias("ti"), F.greatest("own", "other").alias("tj"), F.when(F.col("own") > F.col("other"), 1).otherwise(0).alias("side"), "key", "n", *[f"s{w}" for w in range(WORDS)])
-    units = plain.unionByName(split).withColumn("unit", F.xxhash64("block", "ti", "tj"))
-    # Rows of one unit follow each other; no unit is larger than two tiles.
-    ordered = units.select("unit", "side", "key", "n", *[f"s{w}" for w in range(WORDS)]).repartition(shuffle_partitions(df.sparkSession), "unit").sortWithinPartitions("unit")
+            early = place < need[owner]
+            rare, who = order[early], owner[early]
+            at = pa.array(who)
+            size = (counts[who] << 32) | place[early]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(flat[rare]), pa.array(load[rare] > full), batch.column("id").take(at), pa.array(size), *(batch.column(s).take(at) for s in SKETCH)], ["block", "maybe", "id", "size", *SKETCH]
+            )
+
+    stored = ", ".join(f"{s} long" for s in SKETCH)
+    keyed = sets.select("id", "n", *SKETCH, "shingles").filter("n > 0").mapInArrow(block_keys, f"block long, maybe boolean, id long, size long, {stored}")
+    row = ["id", "size", *SKETCH]
+    plain = keyed.filter("NOT maybe").select(F.col("block").alias("unit"), F.lit(0).alias("side"), *row)
+    crowded = keyed.filter("maybe")
+    sizes = crowded.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("tiles"))
+    placed = crowded.join(sizes.hint("merge"), "block")
+    own = F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int")
+    split = placed.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    unit = F.when(F.col("tiles") == 1, F.col("block")).otherwise(F.xxhash64("block", F.least("own", "other"), F.greatest("own", "other")))
+    split = split.select(unit.alias("unit"), F.when(F.col("own") > F.col("other"), 1).otherwise(0).alias("side"), *row)
+    # Rows of one unit follow each other; no unit is larger than two tiles, or than the cells' usual load.
+    ordered = plain.unionByName(split).repartition(shuffle_partitions(spark), "unit").sortWithinPartitions("unit")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         rows = 0
 
         def flush(table: pa.Table) -> pa.RecordBatch:
-            unit, side, n = (table.column(c).to_numpy() for c in ("unit", "side", "n"))
-            sketch = np.stack([table.column(f"s{w}").to_numpy().view(np.uint64) for w in range(WORDS)], axis=1)
-            i, j = near_pairs(unit, side, sketch, radius)
-            fits = np.minimum(n[i], n[j]) >= at_least * np.maximum(n[i], n[j]) - 1e-9
-            i, j = i[fits], j[fits]
-            keys = table.column("key").combine_chunks()
-            return pa.RecordBatch.from_arrays([keys.take(pa.array(i)), keys.take(pa.array(j))], ["x", "y"])
+            unit, side, ids, size = (table.column(c).to_numpy() for c in ("unit", "side", "id", "size"))
+            n, place = size >> 32, size & 0xFFFFFFFF
+            order = np.lexsort((place, ids, n, unit))
+            unit, side, ids, n, place = unit[order], side[order], ids[order], n[order], place[order]
+            group = np.cumsum(np.concatenate([[0], unit[1:] != unit[:-1]]))
+            fresh = np.concatenate([[True], (group[1:] != group[:-1]) | (ids[1:] != ids[:-1]) | (side[1:] != side[:-1])])  # a set once in a unit
+            alone = np.bincount(group[fresh])[group] < 2
+            keep = np.flatnonzero(fresh & ~alone)
+            if not len(keep):
+                return pa.RecordBatch.from_arrays([pa.array([], pa.int64())] * 2, ["x", "y"])
+            group, side, ids, n, place = np.unique(group[keep], return_inverse=True)[1], side[keep], ids[keep], n[keep], place[keep]
+            sketch = np.stack([table.column(s).to_numpy().view(np.uint64)[order[keep]] for s in SKETCH], axis=1)
+            i, j = near_pairs(group, n, place, side, sketch, radius, at_least)
+            x, y = np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])
+            pairs = np.unique(np.stack([x, y])[:, x < y], axis=1)
+            return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["x", "y"])
 
         for batch in batches:
             held.append(batch)
             rows += batch.num_rows
-            if rows < 50_000:
+            if rows < 100_000:
                 continue
             table = pa.Table.from_batches(held)
             unit = table.column("unit").to_numpy()
@@ -352,16 +416,15 @@ def near_duplicates(df: DataFrame, key: str, text: str, similarity: float = 0.8,
         if rows:
             yield flush(pa.Table.from_batches(held))
 
-    pairs = ordered.mapInArrow(compare, f"x {kind}, y {kind}")
-    pairs = pairs.select(F.least("x", "y").alias("class_a"), F.greatest("x", "y").alias("class_b")).filter("class_a < class_b").distinct()
-    left = classes.select(F.col("key").alias("class_a"), F.col("shingles").alias("sa"))
-    right = classes.select(F.col("key").alias("class_b"), F.col("shingles").alias("sb"))
-    both = pairs.join(left, "class_a").join(right, "class_b")
+    pairs = ordered.mapInArrow(compare, "x long, y long").distinct()
+    # Sets are joined by merging, whatever their estimated size; of the copies of a set, the head's row.
+    known = sets.select("key", "id", "other", "shingles").join(heads.select(F.col("class").alias("key"), "id", "other").hint("merge"), ["key", "id", "other"]).dropDuplicates(["key"])
+    left = known.select(F.col("key").alias("a"), F.col("id").alias("x"), F.col("shingles").alias("sa"))
+    right = known.select(F.col("key").alias("b"), F.col("id").alias("y"), F.col("shingles").alias("sb"))
+    both = pairs.join(left.hint("merge"), "x").join(right.hint("merge"), "y")
     shared = F.size(F.array_intersect("sa", "sb"))
-    exact = both.select("class_a", "class_b", (shared / (F.size("sa") + F.size("sb") - shared)).alias("similarity"))
-    links = exact.filter(F.col("similarity") >= at_least - 1e-12)
-    everyone = sets.select("key").join(members, "key", "left")
-    return links, everyone.select(F.col("key").alias(key), "class", F.coalesce("copies", F.lit(1)).cast("long").alias("copies"))
+    exact = both.select(F.least("a", "b").alias("class_a"), F.greatest("a", "b").alias("class_b"), (shared / (F.size("sa") + F.size("sb") - shared)).alias("similarity"))
+    return exact.filter(F.col("similarity") >= at_least - 1e-12), members
 
 
 def record_pairs(links: DataFrame, members: DataFrame, key: str, star: int = 1000) -> DataFrame:

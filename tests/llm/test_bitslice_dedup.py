@@ -73,6 +73,31 @@ def test_bit_sliced_distances():
     sketch[50] = sketch[10] ^ np.uint64(5)
     distance = lambda i, j: int(sum(bin(int(a ^ b)).count("1") for a, b in zip(sketch[i], sketch[j])))
     group = np.repeat([0, 1, 2], [90, 30, 80])
-    i, j = B.near_pairs(group, np.zeros(200, int), sketch, 120)
+    flat = np.full(200, 100)
+    i, j = B.near_pairs(group, flat, np.zeros(200, int), np.zeros(200, int), sketch, 120, 0.5)
     true = {(a, b) for a in range(200) for b in range(a + 1, 200) if group[a] == group[b] and distance(a, b) <= 120}
     assert set(zip(i.tolist(), j.tolist())) == true and (10, 50) in true
+
+
+def test_a_link_passes_at_its_first_shared_shingle():
+    rng = np.random.default_rng(2)
+    for _ in range(300):
+        a, b = (np.unique(rng.integers(0, 60, rng.integers(4, 40))) for _ in range(2))
+        n, m = sorted((a, b), key=len)
+        shared = np.intersect1d(n, m)
+        if not len(shared) or len(shared) < 0.5 * len(np.union1d(n, m)):
+            continue
+        place = np.array([np.searchsorted(x, shared[0]) for x in (n, m)])
+        sizes = np.array([len(n), len(m)])
+        assert B.partners(np.zeros(2, int), sizes, place, 0.5)[0] == 2
+
+
+def test_sketches_differ_as_often_as_they_should():
+    rng = np.random.default_rng(3)
+    sets = []
+    for _ in range(400):
+        both = rng.integers(1, 2**63, 60)
+        sets += [np.sort(np.concatenate([both, rng.integers(1, 2**63, 30)])) for _ in range(2)]
+    sketch = B.sketches(np.concatenate(sets).astype(np.int64), np.full(800, 90))
+    distance = np.bitwise_count(sketch[::2] ^ sketch[1::2]).sum(axis=1)
+    assert abs(distance.mean() - 64) < 1.5 and 6 < distance.std() < 8 and distance.max() <= B.radius_for(0.5)
