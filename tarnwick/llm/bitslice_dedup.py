@@ -416,11 +416,13 @@ def near_duplicates(df: DataFrame, key: str, text: str, similarity: float = 0.8,
         if rows:
             yield flush(pa.Table.from_batches(held))
 
-    pairs = ordered.mapInArrow(compare, "x long, y long").distinct()
-    # Sets are joined by merging, whatever their estimated size; of the copies of a set, the head's row.
-    known = sets.select("key", "id", "other", "shingles").join(heads.select(F.col("class").alias("key"), "id", "other").hint("merge"), ["key", "id", "other"]).dropDuplicates(["key"])
-    left = known.select(F.col("key").alias("a"), F.col("id").alias("x"), F.col("shingles").alias("sa"))
-    right = known.select(F.col("key").alias("b"), F.col("id").alias("y"), F.col("shingles").alias("sb"))
+    pairs = cut_lineage(ordered.mapInArrow(compare, "x long, y long").distinct())
+    # Sets are joined by merging, whatever their estimated size: once shuffled by id, only those of pairs go on.
+    asked = pairs.select(F.col("x").alias("id")).unionByName(pairs.select(F.col("y").alias("id"))).distinct()
+    known = sets.select("id", "other", "shingles").join(asked.hint("merge"), "id", "left_semi").dropDuplicates(["id", "other"])
+    known = known.join(heads.select("id", "other", "class").hint("merge"), ["id", "other"])
+    left = known.select(F.col("class").alias("a"), F.col("id").alias("x"), F.col("shingles").alias("sa"))
+    right = known.select(F.col("class").alias("b"), F.col("id").alias("y"), F.col("shingles").alias("sb"))
     both = pairs.join(left.hint("merge"), "x").join(right.hint("merge"), "y")
     shared = F.size(F.array_intersect("sa", "sb"))
     exact = both.select(F.least("a", "b").alias("class_a"), F.greatest("a", "b").alias("class_b"), (shared / (F.size("sa") + F.size("sb") - shared)).alias("similarity"))
@@ -437,9 +439,9 @@ def record_pairs(links: DataFrame, members: DataFrame, key: str, star: int = 100
     shown = named.filter((F.col("copies") <= star) | (F.col("key") == F.col("class")))
     a = shown.select(F.col("class").alias("class_a"), F.col("key").alias("ka"))
     b = shown.select(F.col("class").alias("class_b"), F.col("key").alias("kb"))
-    across = links.join(a, "class_a").join(b, "class_b").select(F.least("ka", "kb").alias("key_a"), F.greatest("ka", "kb").alias("key_b"))
+    across = links.join(a.hint("merge"), "class_a").join(b.hint("merge"), "class_b").select(F.least("ka", "kb").alias("key_a"), F.greatest("ka", "kb").alias("key_b"))
     small = named.filter((F.col("copies") > 1) & (F.col("copies") <= star))
-    same = small.alias("l").join(small.alias("r"), (F.col("l.class") == F.col("r.class")) & (F.col("l.key") < F.col("r.key")))
+    same = small.alias("l").hint("merge").join(small.alias("r"), (F.col("l.class") == F.col("r.class")) & (F.col("l.key") < F.col("r.key")))
     same = same.select(F.col("l.key").alias("key_a"), F.col("r.key").alias("key_b"))
     large = named.filter((F.col("copies") > star) & (F.col("key") != F.col("class"))).select(F.col("class").alias("key_a"), F.col("key").alias("key_b"))
     return across.unionByName(same).unionByName(large)
