@@ -13,7 +13,7 @@ from tarnwick.llm.learned_partitions import nearest
 from tarnwick.llm.ocr_repair import Repair, repair_scans, scan_rows
 from tarnwick.llm.pair_defects import pair_defects
 from tarnwick.llm.rank_fusion import median_rank
-from tarnwick.llm.repeated_lines import repeated_lines, without_repeated_lines
+from tarnwick.llm.repeated_lines import repeated_lines, without_repeated_chunks, without_repeated_lines
 from tarnwick.llm.residual_packing import pack
 from tarnwick.llm.source_mixing import mix
 from tarnwick.llm.tokens import token_sizes
@@ -82,6 +82,10 @@ def p5_pages(spark: SparkSession, folder: str) -> DataFrame:
     return without_repeated_lines(load(spark, folder, "page_text"), "filename", "page_id", "text")
 
 
+def p5_chunks(spark: SparkSession, folder: str) -> DataFrame:
+    return without_repeated_chunks(load(spark, folder, "page_text"), "filename", "page_id", "text")
+
+
 # 6. Near duplicates ---------------------------------------------------------------------------
 def _links(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     return near_duplicates(load(spark, folder, "text_chunk"), "chunk_key", "text", similarity=0.5, width=3)
@@ -181,6 +185,20 @@ def oracle_sql() -> dict[str, str]:
     )
     """
     return {
+        "p5_found": """
+    WITH pages AS (
+      SELECT page_id, max(filename) AS filename, max(text) AS text FROM page_text WHERE filename IS NOT NULL GROUP BY page_id
+    ), split AS (
+      SELECT page_id, filename, string_split(text, chr(10)) AS parts FROM pages
+    ), lines AS (
+      SELECT page_id, filename, unnest(range(1, len(parts) + 1)) AS n, lower(regexp_replace(unnest(parts), '[^\\p{L}]+', '', 'g')) AS line FROM split WHERE len(parts) > 0
+    ), totals AS (SELECT filename, count(*) AS pages FROM pages GROUP BY filename),
+    often AS (
+      SELECT filename, line FROM lines JOIN totals USING (filename) WHERE line <> '' GROUP BY filename, line, pages
+      HAVING count(DISTINCT page_id) >= 4 AND count(DISTINCT page_id) >= 0.3 * pages
+    )
+    SELECT page_id, CAST(n AS INTEGER) AS line_no FROM lines JOIN often USING (filename, line)
+    """,
         "p1_found": places + "SELECT qid, chunk_key FROM final WHERE rank <= 3",
         "p1_ranking": places + "SELECT qid, chunk_key, a AS place_score, b AS place_vector_score, c AS place_keyword_score, m AS median_place, mean AS mean_place, rank FROM final",
         "p2_found": "SELECT DISTINCT chunk_key FROM text_chunk JOIN chunk_settings USING (settings_profile) WHERE length(text) > chunk_size_chars",
