@@ -14,6 +14,12 @@ Q = "Which signal has to be proved first near the yard?"
         (Q, "The yard master cannot release the signal until it has been proved.", []),
         (Q, "Sobald die Signale wieder bereit sind, gibt der Schichtleiter den Betrieb frei.", ["other_language"]), (Q, "Сигнал должен быть проверен первым.", ["other_language"]),
         (Q, "The home signal is proved first. The distant signal must be", ["truncated"]), (Q, "1. The home signal (see", ["truncated"]), (Q, "The first one is proved.\n2.", ["truncated"]),
+        (Q, "Non posso rispondere a questa domanda perché non ho le informazioni.", ["refusal", "other_language"]), (Q, "Não posso responder a essa pergunta.", ["refusal", "other_language"]),
+        (Q, "Das darf ich leider nicht beantworten, weil die Frage nicht zu meinen Aufgaben gehört.", ["refusal", "other_language"]), (Q, "Ik kan deze vraag niet beantwoorden.", ["refusal", "other_language"]),
+        (Q, "К сожалению, я не могу ответить на этот вопрос.", ["refusal", "other_language"]), (Q, "很抱歉，我无法回答这个问题。", ["refusal", "other_language"]), (Q, "申し訳ありませんが、お答えできません。", ["refusal", "other_language"]),
+        (Q, "لا أستطيع الإجابة عن هذا السؤال.", ["refusal", "other_language"]), (Q, "This request cannot be answered (see", ["refusal", "truncated"]), (Q, Q + " (", ["copied_question", "truncated"]), (Q, "```", ["empty", "truncated"]),
+        (Q, "The rules prevent us from sharing that.", ["refusal"]), (Q, "We do not have enough evidence for that.", ["refusal"]), (Q, "Drivers may not pass the signal until the guard has said that nothing stands beyond it.", []),
+        (Q, "No answer from the signal box means that it must not be passed.", []),
         (Q, "Under AB-1234", []), (Q, "The yard master", []), (Q, "71 minutes", []), (Q, "Yes.", []),
     ],
 )
