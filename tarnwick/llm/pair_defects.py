@@ -135,7 +135,7 @@ CUE = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?")
 _CUES = frozenset(REFUSAL_CUES.split())
 FILLING = re.compile("|".join(f"(?:{p})" for p in FILLERS), re.I)
 LONG = re.compile(r"([^\W\d_]+\W+){4}[^\W\d_]+")
-FINAL_WORD = re.compile(r"([^\W_][\w'’/-]*)[\"'”»)*]*(?:\s*\[S?\d+\])*[.!?](?:\s|$)")
+FINAL_WORD = re.compile(r"([^\W_][\w'’/-]*)[\s\"'”»)*]*[.!?]+[\s\"'”»)*]*$")
 ENDED = re.compile(r"[.!?…。！？][\"'”»)\]*_]*$")
 OPENING = re.compile(r"^(pls|please|urgent|hi|hello|question|bitte|svp|porfavor)+")
 ECHO = re.compile(r"^(question|answer|q|a|pls|please|urgent|frage|antwort|réponse|pregunta|respuesta)*$")
@@ -223,8 +223,9 @@ def _breaks_off(text: str, r: str, sentences: list[str], copied: bool) -> tuple[
     return True, None
 
 
-def judge(question: str, response: str | None) -> tuple[list[str], str | None]:
-    """Every defect of a pair, in the order of DEFECTS; and the last word where it decides, by where sentences end, about `truncated`.
+def judge(question: str, response: str | None) -> tuple[list[str], str | None, set[str]]:
+    """Every defect of a pair, in the order of DEFECTS; the last word where it decides, by where sentences end, about `truncated`;
+    and the words at which the response's own sentences end.
 
     The rules do not shut each other out. Only of a response in which nothing is said there is nothing else to be said,
     but that a code fence is left open in it.
@@ -232,14 +233,15 @@ def judge(question: str, response: str | None) -> tuple[list[str], str | None]:
     q, r = INVISIBLE.sub("", question), INVISIBLE.sub("", response or "")
     text = LISTED.sub(" ", TAG.sub(" ", CITED.sub(" ", r) if "[" in r else r) if "<" in r else CITED.sub(" ", r)).strip()
     if UNSAID.match(text).end() == len(text):
-        return ["empty", "truncated"] if r.count("```") % 2 else ["empty"], None
+        return ["empty", "truncated"] if r.count("```") % 2 else ["empty"], None, set()
     nq, nr = _bare(q), _bare(text)
     own = OPENING.sub("", nq)
     copied = bool(own) and own in nr and bool(ECHO.match(nr.replace(nq, "").replace(own, "")))
     sentences = [s for s in SENTENCE.split(" ".join(text.split())) if s]
     broken, word = _breaks_off(text, r, sentences, copied)
     rules = (copied, not copied and _refuses(sentences), not copied and _foreign(q, text), broken)
-    return [name for name, hit in zip(DEFECTS[1:], rules) if hit], word
+    ends = {m.group(1).lower() for m in map(FINAL_WORD.search, (s[-60:] for s in sentences)) if m}
+    return [name for name, hit in zip(DEFECTS[1:], rules) if hit], word, ends
 
 
 def pair_defects(df: DataFrame, key: str, question: str, response: str, delivered: str | None = None) -> DataFrame:
@@ -264,10 +266,10 @@ def pair_defects(df: DataFrame, key: str, question: str, response: str, delivere
         for batch in (piece for half in bounded(batches, "response") for piece in bounded([half], "question")):
             found, words, ends = [], [], []
             for q, r in zip(batch.column("question").to_pylist(), batch.column("response").to_pylist()):
-                defects, word = judge(q, r)
+                defects, word, last = judge(q, r)
                 found.append(defects)
                 words.append(word)
-                ends.append(list(set(FINAL_WORD.findall(r.lower()))) if r else [])
+                ends.append(list(last))
             columns = [batch.column("id"), batch.column("at"), pa.array(found, pa.list_(pa.string())), pa.array(words, pa.string()), pa.array(ends, pa.list_(pa.string()))]
             yield pa.RecordBatch.from_arrays(columns, ["id", "at", "defects", "word", "ends"])
 
