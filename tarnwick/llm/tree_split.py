@@ -15,30 +15,82 @@ from tarnwick.llm.arrow import bounded
 
 Span = tuple[int, int]
 
-HEADING = re.compile(r"(?m)^(?=[ \t]*(?:#{1,6}[ \t]+\S|(?:\d+\.)*\d+\.?[ \t]+[A-ZÀ-Þ][^.!?\n]{0,80}$|[A-ZÀ-Þ][A-ZÀ-Þ0-9 ,&/()'-]{2,80}$|<h[1-6][ >]))")
+#: A heading and what tells its depth: marks, markup, a number with its parts, or capitals (depth 1).
+HEADING = re.compile(r"(?m)^[ \t]*(?:(?P<marks>#{1,6})[ \t]+\S|<h(?P<tag>[1-6])[ >]|(?P<number>(?:\d+\.)*\d+)\.?[ \t]+[A-ZÀ-Þ][^.!?\n]{0,80}$|[A-ZÀ-Þ][A-ZÀ-Þ0-9 ,&/()'-]{2,80}$)")
 PARAGRAPH = re.compile(r"\n[ \t]*\n\s*")
-ITEM = re.compile(r"(?m)^(?=(?:[-*•–]|\(?[a-zA-Z0-9]{1,3}[.)])[ \t]+\S)")
+FENCE = re.compile(r"(?m)^[ \t]*(```|~~~)")
+TABLE = re.compile(r"(?m)(?:^[ \t]*\|.*(?:\n|\Z))+")
+ITEM = re.compile(r"(?m)^(?P<indent>[ \t]*)(?:[-*•–]|\(?[a-zA-Z0-9]{1,3}[.)])[ \t]+\S")
 LINE = re.compile(r"\n")
-SUBITEM = re.compile(r"(?m)^(?=[ \t]+(?:[-*•–]|\(?[a-zA-Z0-9]{1,3}[.)])[ \t]+\S)")
 SENTENCE = re.compile(r"[.!?…][\"'”»)\]]*\s+(?=[\"'“«(\[]*[^\W_])|[。！？]")
 CLAUSE = re.compile(r"[;:,|]\s+")
 WORD = re.compile(r"\s+")
 
-#: From the outermost boundary inwards: pattern, and whether the cut is at its start.
-LEVELS = ((HEADING, True), (PARAGRAPH, False), (ITEM, True), (SUBITEM, True), (LINE, False), (SENTENCE, False), (CLAUSE, False), (WORD, False))
-KINDS = ("heading", "paragraph", "item", "subitem", "line", "sentence", "clause", "word", "character")
+#: From the outermost boundary inwards.
+KINDS = ("heading", "paragraph", "block", "item", "line", "sentence", "clause", "word", "character")
+HEADINGS, PARAGRAPHS, BLOCKS, ITEMS, LINES, SENTENCES, CLAUSES, WORDS, CHARACTERS = range(9)
+_ENDS = {PARAGRAPHS: PARAGRAPH, LINES: LINE, SENTENCES: SENTENCE, CLAUSES: CLAUSE, WORDS: WORD}
+
+
+def fences(text: str) -> list[Span]:
+    """Stretches of fenced code, with their marks; an open fence goes on to the end."""
+    marks = list(FENCE.finditer(text)) if "```" in text or "~~~" in text else []
+    out, i = [], 0
+    while i < len(marks):
+        close = next((m for m in marks[i + 1 :] if m.group(1) == marks[i].group(1)), None)
+        end = len(text) if close is None else (text.find("\n", close.end()) + 1 or len(text))
+        out.append((marks[i].start(), end))
+        i = len(marks) if close is None else marks.index(close) + 1
+    return out
+
+
+def _depth(match: re.Match) -> int:
+    if match["marks"]:
+        return len(match["marks"])
+    if match["tag"]:
+        return int(match["tag"])
+    return match["number"].count(".") + 1 if match["number"] else 1
+
+
+def _outermost(found: list[tuple[int, int]]) -> list[int]:
+    """The places with the least depth."""
+    least = min((d for _, d in found), default=0)
+    return [at for at, d in found if d == least]
 
 
-def children(text: str, span: Span, level: int) -> tuple[list[Span], int]:
-    """The parts of a span at the outermost level, from `level` on, that divides it; and the next level."""
-    for at in range(level, len(LEVELS)):
-        pattern, before = LEVELS[at]
-        cuts = [m.start() if before else m.end() for m in pattern.finditer(text, span[0], span[1])]
-        cuts = [c for c in cuts if span[0] < c < span[1]]
+def children(text: str, span: Span, level: int, code: list[Span]) -> tuple[list[Span], int, int]:
+    """The parts of a span at the outermost level, from `level` on, that divides it; that level; and the level to open the parts at.
+
+    Headings and items are trees of their own: a section is cut at the least deep headings below its own, a list at its
+    least indented items. Fenced code and tables are blocks; inside code neither headings nor items nor paragraphs are seen.
+    """
+    start, end = span
+    inside = [(a, b) for a, b in code if a < end and b > start]
+
+    def free(at: int) -> bool:
+        return start < at < end and not any(a < at < b for a, b in inside)
+
+    for at in range(level, CHARACTERS):
+        if at == HEADINGS:
+            cuts = _outermost([(m.start(), _depth(m)) for m in HEADING.finditer(text, start, end) if free(m.start()) and not any(a == m.start() for a, _ in inside)])
+        elif at == ITEMS:
+            cuts = _outermost([(m.start(), len(m["indent"].expandtabs(4))) for m in ITEM.finditer(text, start, end) if free(m.start())])
+        elif at == BLOCKS:
+            edges = {x for m in TABLE.finditer(text, start, end) for x in m.span()} | {x for piece in inside for x in piece}
+            cuts = sorted(x for x in edges if free(x))
+        else:
+            cuts = [m.end() for m in _ENDS[at].finditer(text, start, end)]
+            cuts = [c for c in cuts if (free(c) if at < LINES else start < c < end)]
         if cuts:
-            edges = [span[0], *cuts, span[1]]
-            return list(zip(edges, edges[1:])), at + 1
-    return [], len(LEVELS)
+            edges = [start, *cuts, end]
+            return list(zip(edges, edges[1:])), at, at if at in (HEADINGS, ITEMS) else at + 1
+    return [], CHARACTERS, CHARACTERS
+
+
+def _bare(text: str, span: Span) -> bool:
+    """A part that is nothing but one heading line."""
+    part = text[slice(*span)].strip()
+    return "\n" not in part and bool(HEADING.match(part))
 
 
 def _characters(text: str, span: Span, limit: int) -> list[Span]:
@@ -55,32 +107,38 @@ def _characters(text: str, span: Span, limit: int) -> list[Span]:
     return [*out, (start, span[1])]
 
 
-def merge(spans: list[tuple[Span, int]], limit: int) -> list[tuple[Span, int]]:
-    """Join neighbours from the left while they fit; what is joined keeps the level of its first part."""
-    out: list[tuple[Span, int]] = []
-    for (start, end), level in spans:
-        if out and end - out[-1][0][0] <= limit:
-            out[-1] = ((out[-1][0][0], end), out[-1][1])
-        else:
-            out.append(((start, end), level))
-    return out
-
-
-def pack_tree(text: str, span: Span, limit: int, level: int = 0, found: int = 0) -> list[tuple[Span, int]]:
+def pack_tree(text: str, span: Span, limit: int, level: int = HEADINGS, found: int = HEADINGS, code: list[Span] | None = None) -> list[tuple[Span, int]]:
     """Spans of at most `limit` characters that cover `span`, with the level of the boundary before each.
 
-    Only a node over the limit is opened; its children are packed first, then merged as siblings.
+    A node that fits is one piece. Of a larger one, children that fit and follow each other are merged from the left while they
+    fit; a child that does not fit is opened, and its pieces are joined with nothing outside it. A heading
+    that stands alone goes with the part after it.
     """
     if span[1] - span[0] <= limit:
         return [(span, found)]
-    parts, after = children(text, span, level)
+    code = fences(text) if code is None else code
+    parts, at, after = children(text, span, level, code)
     if not parts:
-        pieces = _characters(text, span, limit)
-        return [(p, found if i == 0 else len(LEVELS)) for i, p in enumerate(pieces)]
-    packed: list[tuple[Span, int]] = []
+        return [(p, found if i == 0 else CHARACTERS) for i, p in enumerate(_characters(text, span, limit))]
+    if at in (PARAGRAPHS, LINES):
+        for i in range(len(parts) - 2, -1, -1):
+            if _bare(text, parts[i]):
+                parts[i : i + 2] = [(parts[i][0], parts[i + 1][1])]
+    if len(parts) == 1:
+        return pack_tree(text, span, limit, at + 1, found, code)
+    out: list[tuple[Span, int]] = []
+    open_run = False  # the last piece is a run of whole children
     for i, part in enumerate(parts):
-        packed += pack_tree(text, part, limit, after, found if i == 0 else after - 1)
-    return merge(packed, limit)
+        before = found if i == 0 else at
+        if part[1] - part[0] > limit:
+            out += pack_tree(text, part, limit, after, before, code)
+            open_run = False
+        elif open_run and part[1] - out[-1][0][0] <= limit:
+            out[-1] = ((out[-1][0][0], part[1]), out[-1][1])
+        else:
+            out.append((part, before))
+            open_run = True
+    return out
 
 
 def split_text(text: str, limit: int, overlap: int) -> list[tuple[int, int, int]]:
@@ -94,14 +152,17 @@ def split_text(text: str, limit: int, overlap: int) -> list[tuple[int, int, int]
     if len(text) <= limit:
         return [(0, len(text), 0)]
     spans = pack_tree(text, (0, len(text)), limit - overlap)
-    if overlap and spans[0][0][1] + (spans[1][0][1] - spans[1][0][0] if len(spans) > 1 else 0) <= limit:
-        spans = [((0, spans[1][0][1]), 0), *spans[2:]]  # the first piece has no overlap before it
+    if len(spans) > 1 and spans[0][0][1] < overlap:
+        spans = [((0, spans[1][0][1]), 0), *spans[2:]]  # too short to be overlapped by; with the next one it fits, having no overlap before it
     return [(max(0, start - overlap), end, level) for (start, end), level in spans]
 
 
 def split_oversized(df: DataFrame, key: str, text: str, limit: str, overlap: str, *keep: str) -> DataFrame:
     """Pieces of every row whose text has more characters than its `limit`; rows that fit give none.
 
+    Method: headings with their depth, paragraphs, code and tables, nested items, lines, sentences, clauses and words make a tree;
+    siblings that fit are merged bottom-up, and only a node over the limit is opened (`pack_tree`).
+
     Rows are (key, keep..., piece, start, end, boundary, piece_text): pieces in the order of the text, at most
     `limit` characters long, each after the first beginning with the last `overlap` characters of the one before
     (at most half the limit). `boundary` names the kind of boundary before the piece's own part. Characters are
