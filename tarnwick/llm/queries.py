@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tarnwick.llm.bitslice_dedup import near_duplicates, record_pairs
@@ -50,6 +50,17 @@ def p2_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return _pieces(spark, folder)
 
 
+def p2_rejoined(spark: SparkSession, folder: str) -> DataFrame:
+    """What must hold of the pieces: without overlaps they are the text, they fit, and overlap by as much as they should."""
+    settings = F.broadcast(load(spark, folder, "chunk_settings"))
+    profiles = load(spark, folder, "text_chunk").select("chunk_key", "settings_profile").distinct().join(settings, "settings_profile")
+    pieces = _pieces(spark, folder).join(profiles, "chunk_key")
+    lap = F.least("chunk_overlap_chars", F.floor(F.col("chunk_size_chars") / 2)).cast("int")
+    whole = F.transform(F.array_sort(F.collect_list(F.struct("piece", "piece_text", lap.alias("lap")))), lambda p: F.when(p["piece"] == 0, p["piece_text"]).otherwise(F.substr(p["piece_text"], p["lap"] + 1)))
+    fits = F.max(F.col("end") - F.col("start")) <= F.first("chunk_size_chars")
+    return pieces.groupBy("chunk_key").agg(F.md5(F.array_join(whole, "")).alias("rejoined"), fits.alias("fits"))
+
+
 # 3. Broken pairs ------------------------------------------------------------------------------
 def _defects(spark: SparkSession, folder: str) -> DataFrame:
     return pair_defects(load(spark, folder, "audit_logs"), "id", "question", "response", "ingested_at")
@@ -130,6 +141,14 @@ def p8_containers(spark: SparkSession, folder: str) -> DataFrame:
     return _containers(spark, folder)
 
 
+def p8_fill(spark: SparkSession, folder: str) -> DataFrame:
+    """What must hold of the containers: every text with tokens is in some, none is too full, and there are hardly more than needed."""
+    rows = _containers(spark, folder).filter("container_id IS NOT NULL")
+    bins = rows.groupBy("container_id").agg(F.sum("size").alias("size"), F.max("capacity").alias("capacity"))
+    per = bins.agg((F.max("size") <= F.max("capacity")).alias("none_too_full"), (F.count("*") <= F.ceil(F.sum("size") / F.max("capacity") * 1.02) + 1).alias("hardly_more_than_needed"))
+    return rows.agg(F.countDistinct("doc_id").alias("documents")).crossJoin(per)  # a row each
+
+
 # 9. Mixing sources --------------------------------------------------------------------------------
 def _mix(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     sizes = token_sizes(load(spark, folder, "documents"), "doc_id", "text", "source")
@@ -144,6 +163,20 @@ def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
     return _mix(spark, folder)[1]
 
 
+def p9_kept(spark: SparkSession, folder: str) -> DataFrame:
+    """What must hold of the mix: shares of the sources that exist are as asked, but for a hundredth and one item; no item is used too often."""
+    mixed, report = _mix(spark, folder)
+    copies = mixed.groupBy("source", "doc_id").agg(F.count("*").alias("n"), F.max("copy").alias("last"), F.max("size").alias("size")).groupBy("source").agg(F.max("n").alias("n"), F.max("last").alias("last"), F.max("size").alias("largest"))
+    there = F.sum(F.when(F.col("size_available") > 0, F.col("target_share"))).over(Window.partitionBy())
+    wanted = F.when(F.col("size_available") > 0, F.col("target_share") / there).otherwise(0.0)
+    kept = report.withColumn("wanted", wanted).join(copies, "source", "left")
+    every = Window.partitionBy()
+    item = F.coalesce(F.max("largest").over(every) / F.nullif(F.sum("size_used").over(every), F.lit(0)), F.lit(0.0))
+    close = F.abs(F.col("actual_share") - F.col("wanted")) <= item + 0.01
+    often = (F.coalesce("n", F.lit(0)) <= F.col("max_repeats")) & (F.coalesce("n", F.lit(0)) == F.coalesce("last", F.lit(0))) & (F.col("most_uses") == F.coalesce("n", F.lit(0)))
+    return kept.select("source", "target_share", "max_repeats", close.alias("share_reached"), often.alias("repeats_kept"))
+
+
 # 10. Subject areas ------------------------------------------------------------------------------
 def _areas(spark: SparkSession, folder: str) -> DataFrame:
     return subject_areas(load(spark, folder, "documents"), "doc_id", "text", load(spark, folder, "subject_seed"))
@@ -185,6 +218,34 @@ def oracle_sql() -> dict[str, str]:
     )
     """
     return {
+        "p2_rejoined": "SELECT DISTINCT chunk_key, md5(text) AS rejoined, TRUE AS fits FROM text_chunk JOIN chunk_settings USING (settings_profile) WHERE length(text) > chunk_size_chars",
+        "p4_found": """
+    WITH vectors AS (
+      SELECT vec_key, max(CAST(embedding AS DOUBLE[])) AS v FROM document_chunks WHERE embedding IS NOT NULL GROUP BY vec_key
+    ), usable AS (SELECT vec_key, v FROM vectors WHERE list_dot_product(v, v) > 0),
+    placed AS (
+      SELECT a.vec_key AS a, b.vec_key AS b, list_cosine_similarity(a.v, b.v) AS s,
+        row_number() OVER (PARTITION BY a.vec_key ORDER BY list_cosine_similarity(a.v, b.v) DESC, b.vec_key) AS n
+      FROM usable a JOIN usable b ON a.vec_key <> b.vec_key
+    )
+    SELECT DISTINCT least(a, b) AS key_a, greatest(a, b) AS key_b FROM placed WHERE n <= 10 AND s >= 0.85
+    """,
+        "p6_found": """
+    WITH texts AS (
+      SELECT chunk_key, regexp_extract_all(lower(max(text)), '[\\p{L}\\p{N}]+') AS w FROM text_chunk GROUP BY chunk_key
+    ), words AS (
+      SELECT chunk_key, unnest(w) AS a, generate_subscripts(w, 1) AS i FROM texts
+    ), runs AS (
+      SELECT chunk_key, a || ' ' || lead(a, 1) OVER o || ' ' || lead(a, 2) OVER o AS s FROM words WINDOW o AS (PARTITION BY chunk_key ORDER BY i)
+    ), shingles AS (SELECT DISTINCT chunk_key, s FROM runs WHERE s IS NOT NULL),
+    sizes AS (SELECT chunk_key, count(*) AS n FROM shingles GROUP BY chunk_key),
+    shared AS (
+      SELECT a.chunk_key AS a, b.chunk_key AS b, count(*) AS n FROM shingles a JOIN shingles b ON a.s = b.s AND a.chunk_key < b.chunk_key GROUP BY ALL
+    )
+    SELECT a AS key_a, b AS key_b FROM shared JOIN sizes x ON x.chunk_key = a JOIN sizes y ON y.chunk_key = b WHERE shared.n >= 0.5 * (x.n + y.n - shared.n)
+    """,
+        "p8_fill": "SELECT count(DISTINCT doc_id) AS documents, TRUE AS none_too_full, TRUE AS hardly_more_than_needed FROM documents WHERE length(text) > 0",
+        "p9_kept": "SELECT source, target_share, max_repeats, TRUE AS share_reached, TRUE AS repeats_kept FROM mix_targets",
         "p5_found": """
     WITH pages AS (
       SELECT page_id, max(filename) AS filename, max(text) AS text FROM page_text WHERE filename IS NOT NULL GROUP BY page_id

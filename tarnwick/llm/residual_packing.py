@@ -90,6 +90,7 @@ def pack(sizes: DataFrame, item: str, size: str, capacity: int, slack: float = 0
         raise ValueError("capacity must be positive")
     kind = dict(sizes.dtypes)[item]
     rows = sizes.filter(F.col(item).isNotNull()).select(F.col(item).alias("item"), F.coalesce(F.col(size).cast("long"), F.lit(0)).alias("n"))
+    rows = cut_lineage(rows)  # sizes come from whole texts: count those once
     over = F.col("n") > capacity
     full = F.when(over, F.floor(F.col("n") / capacity)).otherwise(F.lit(0))
     rest = F.when(over, F.col("n") % capacity).otherwise(F.col("n"))
@@ -100,7 +101,6 @@ def pack(sizes: DataFrame, item: str, size: str, capacity: int, slack: float = 0
         F.array(F.struct("item", F.col("full").cast("int").alias("piece"), F.col("rest").alias("size"), "oversize")).alias("members"),
         F.xxhash64("item").alias("unit"),
     )
-    loose = cut_lineage(loose)  # sizes come from whole texts: count those once
     total = loose.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     least = capacity - int(capacity * slack)
     parts = max(1, -(-total // (capacity * bins_per_part)))

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarnwick.session import cut_lineage
 
 U = 2.0**63
+#: Most size of a shard, which one task puts in order, and the least number of shards; a source's blocks are numbered below TURNS.
+SHARD_SIZE, LEAST_SHARDS, TURNS = 1 << 30, 64, 1 << 40
 
 
 def split_quotas(blocks: np.ndarray, shards: int, seed: int) -> np.ndarray:
@@ -78,7 +83,7 @@ def mix(
     repeats: str = "max_repeats",
     target_source: str = "source",
     total: int | None = None,
-    shards: int = 64,
+    shards: int | None = None,
     block: int | None = None,
     seed: int = 7,
 ) -> tuple[DataFrame, DataFrame]:
@@ -90,8 +95,9 @@ def mix(
     permuted order up to the quota, the one that crosses it if that comes nearer. A source without a target
     is not used; a target without items has an actual share of 0 and the others keep their proportions.
     Items without size (null or not positive), and null items or sources, are not used. An item is never used more than max_repeats times.
-    Other columns are ignored; empty tables give empty results (report: the targets with zeros). `block` is the size of the
-    stretches dealt to shards, by default a 256th of a shard's share, at least 512.
+    Other columns are ignored; empty tables give empty results (report: the targets with zeros). `shards` are by default
+    64, or as many as keep each under SHARD_SIZE; `block` is the size of the stretches dealt to shards, by default a 256th of a
+    shard's share, at least 512.
 
     All sums over items run in hash buckets of bounded size, so a source with any part of the rows is spread over tasks.
     """
@@ -103,6 +109,7 @@ def mix(
     names = spark.createDataFrame([(s,) for s in wanted], "source string") if wanted else spark.createDataFrame([], "source string")
     have = {r[0]: (r[1], r[2]) for r in rows.join(F.broadcast(names), "source", "left_semi").groupBy("source").agg(F.sum("n"), F.count("*")).collect()}  # no more rows than targets
     quotas = plan_quotas({s: t for s, (t, _) in have.items()}, wanted, total)
+    shards = shards or max(LEAST_SHARDS, -(-sum(q for q, _ in quotas.values()) // SHARD_SIZE))
     block = block or max(512, sum(q for q, _ in quotas.values()) // (shards * 256))
     plan = []
     for number, (s, (quota, aim)) in enumerate(sorted(quotas.items())):
@@ -131,16 +138,21 @@ def mix(
 
     sources = [p[0] for p in plan]
     dealt = split_quotas(np.array([p[5] for p in plan], dtype=np.int64), shards, seed) if plan else np.zeros((shards, 0), dtype=np.int64)
-    ends = dealt.cumsum(axis=0)
-    bounds = [(s, int(k), int(ends[k, i] - dealt[k, i]), int(ends[k, i])) for i, s in enumerate(sources) for k in range(shards) if dealt[k, i]]
-    bounds_df = spark.createDataFrame(bounds, "source string, shard int, first long, last long") if bounds else spark.createDataFrame([], "source string, shard int, first long, last long")
-    # A permutation of the blocks: multiplication by a number prime to their count. Bounds: sources x shards rows.
+    # The ends of the shards on each source's line of blocks, one after another: sources x shards numbers, 8 bytes for each 2^30 / sources of size.
+    ends = spark.sparkContext.broadcast((np.arange(len(sources))[:, None] * TURNS + dealt.cumsum(axis=0).T).ravel())
+    # A permutation of the blocks: multiplication by a number prime to their count.
     steps = [(p[0], _coprime(p[5], seed + p[1])) for p in plan]
     steps_df = spark.createDataFrame(steps, "source string, step long") if steps else spark.createDataFrame([], "source string, step long")
     turned = copies.join(F.broadcast(steps_df), "source").withColumn("turn", ((F.col("block") * F.col("step")) % F.col("blocks")))
-    slots = bounds_df.groupBy("source").agg(F.sort_array(F.collect_list(F.struct("last", "shard"))).alias("ends"))
-    shard = F.element_at(F.filter("ends", lambda e: e["last"] > F.col("turn")), 1)["shard"]
-    mixed = turned.join(F.broadcast(slots), "source").withColumn("shard", shard)
+    turned = turned.select("item", "source", "copy", "n", "block", (F.col("number") * F.lit(TURNS) + F.col("turn")).alias("turn"))
+    names = ["item", "source", "copy", "n", "block"]
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = np.searchsorted(ends.value, batch.column("turn").to_numpy(), "right") % shards
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(at.astype(np.int32))], [*names, "shard"])
+
+    mixed = turned.mapInArrow(deal, turned.select(*names, F.lit(0).alias("shard")).schema)
     local = Window.partitionBy("shard").orderBy(F.xxhash64("item", "copy", F.lit(seed + 1)), "item", "copy")
     mixed = mixed.select(F.col("item").cast(kind).alias(item), "source", (F.col("copy") + 1).cast("int").alias("copy"), F.col("n").alias("size"), "block", "shard", F.row_number().over(local).alias("place"))
 
