@@ -118,12 +118,113 @@ def train(x: np.ndarray, graph: np.ndarray, part: np.ndarray, parts: int, hidden
     return Router(*weights)
 
 
-def fit(x: np.ndarray, parts: int, neighbours: int = 10) -> Router:
+def fit(x: np.ndarray, parts: int, neighbours: int = 10, hidden: int = 128) -> Router:
     if parts <= 1 or len(x) < 2 * parts:
         d = x.shape[1] if x.ndim == 2 and len(x) else 1
         return Router(np.zeros((d, 1), np.float32), np.zeros(1, np.float32), np.zeros((1, 1), np.float32), np.zeros(1, np.float32))
     graph = neighbour_graph(x, neighbours)
-    return train(x, graph, balanced_partition(x, graph, parts), parts)
+    return train(x, graph, balanced_partition(x, graph, parts), parts, hidden)
+
+
+@dataclass(frozen=True)
+class Index:
+    """A router to coarse parts, and for coarse parts with too many rows one to the parts within; parts are numbered over all."""
+
+    top: Router
+    within: dict[int, Router]
+    first: np.ndarray  # number of the first part of each coarse part
+
+    def parts_of(self, x: np.ndarray) -> np.ndarray:
+        """The most probable part of each row."""
+        coarse = self.top.probabilities(x).argmax(axis=1)
+        out = self.first[coarse]
+        for c in np.unique(coarse):
+            if c in self.within:
+                rows = np.flatnonzero(coarse == c)
+                out[rows] += self.within[c].probabilities(x[rows]).argmax(axis=1)
+        return out
+
+    def probe(self, x: np.ndarray, probes: int, mass: float) -> tuple[np.ndarray, np.ndarray]:
+        """(row, part): the most probable parts of each row, until they hold `mass` of the probability or are `probes` many, or twice
+        as many where rows are routed twice."""
+        probes *= 2 if self.within else 1  # two classifiers err more often than one
+        who, at, share = _likely(self.top.probabilities(x), probes, mass)
+        rows, parts, p = [], [], []
+        for c in np.unique(at):
+            here = np.flatnonzero(at == c)
+            if c not in self.within:
+                rows.append(who[here])
+                parts.append(np.full(len(here), self.first[c]))
+                p.append(share[here])
+                continue
+            inner, part, weight = _likely(self.within[c].probabilities(x[who[here]]), probes, mass)
+            rows.append(who[here][inner])
+            parts.append(self.first[c] + part)
+            p.append(share[here][inner] * weight)
+        if not rows:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        row, part, weight = np.concatenate(rows), np.concatenate(parts), np.concatenate(p)
+        order = np.lexsort((part, -weight, row))
+        row, part, weight = row[order], part[order], weight[order]
+        start = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
+        begun = np.repeat(start, np.diff(np.concatenate([start, [len(row)]])))
+        before = np.cumsum(weight) - weight
+        keep = (np.arange(len(row)) - begun < probes) & (before - before[begun] < mass)
+        return row[keep], part[keep]
+
+
+def _likely(p: np.ndarray, probes: int, mass: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    best = np.argsort(-p, axis=1, kind="stable")[:, :probes]
+    share = np.take_along_axis(p, best, axis=1)
+    who, at = np.nonzero(np.cumsum(share, axis=1) - share < mass)
+    return who, best[who, at], share[who, at]
+
+
+def _fit_index(classes: DataFrame, width: int, total: int, sample: int, rows_per_part: int, max_parts: int) -> Index:
+    """Fit one level where `max_parts` parts are enough, else a second within each coarse part, the latter in parallel.
+
+    Every fit sees at most `sample` rows, those with the smallest hashes; the driver holds at most max_parts + 1 routers.
+    """
+    drawn = classes.orderBy(F.xxhash64("key"), "key").limit(sample).select("v").toArrow()
+    x = drawn.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, width).astype(np.float32)
+    wanted = -(-total // rows_per_part)
+    top = fit(x, min(max_parts, wanted))
+    coarse = top.b2.shape[0]
+    if wanted <= max_parts:
+        return Index(top, {}, np.arange(coarse))
+    shared = classes.sparkSession.sparkContext.broadcast(top)
+    kind = classes.schema["key"].dataType.simpleString()
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            part = shared.value.probabilities(_matrix(batch, width)).argmax(axis=1).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("v"), pa.array(part)], ["key", "v", "part"])
+
+    placed = cut_lineage(classes.mapInArrow(place, f"key {kind}, v array<float>, part int"))
+    sizes = {r["part"]: -(-r["n"] // rows_per_part) for r in placed.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most max_parts
+    order = Window.partitionBy("part").orderBy(F.xxhash64("key"), "key")
+    some = placed.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= sample).select("part", "v")
+
+    def learn(group: pa.Table) -> pa.Table:
+        part = group.column("part")[0].as_py()
+        rows = group.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, width).astype(np.float32)
+        router = fit(rows, min(max_parts, sizes[part]), hidden=64)
+        weights = [w.astype(np.float32) for w in (router.w1, router.b1, router.w2, router.b2)]
+        return pa.table({"part": pa.array([part], pa.int32()), "hidden": pa.array([weights[1].shape[0]], pa.int32()), "weights": pa.array([b"".join(w.tobytes() for w in weights)], pa.binary())})
+
+    within, first, at = {}, np.zeros(coarse, np.int64), 0
+    learned = {r["part"]: r for r in some.groupBy("part").applyInArrow(learn, "part int, hidden int, weights binary").collect()}
+    for c in range(coarse):
+        first[c] = at
+        if c in learned and sizes[c] > 1:
+            flat, h = np.frombuffer(learned[c]["weights"], np.float32), learned[c]["hidden"]
+            n = (len(flat) - width * h - h) // (h + 1)
+            w1, b1, w2, b2 = np.split(flat, np.cumsum([width * h, h, h * n]))
+            within[c] = Router(w1.reshape(width, h), b1, w2.reshape(h, n), b2)
+            at += n
+        else:
+            at += 1
+    return Index(top, within, first)
 
 
 def _matrix(batch: pa.RecordBatch, width: int, column: str = "v") -> np.ndarray:
@@ -173,14 +274,16 @@ def nearest(
 
     All rows are queries, or those of which the SQL condition `queries` on the key holds; every usable row is
     searched. Only neighbours with at least `min_similarity` are given. Null, all-zero and non-finite vectors take
-    no part; vectors whose length is not the most frequent one are left out. Equal directions are one class in the search and come back as
-    single rows; ties go to the smaller key. Of repeated keys the greatest vector counts. Other columns are
+    no part; vectors whose length is not the most frequent one are left out. Directions that agree to a millionth in every coordinate are one class
+    in the search and come back as single rows with one similarity (at 64 coordinates within 0.00001 of their own); ties go to the smaller key. Of repeated keys the greatest vector counts. Other columns are
     ignored; an empty table gives an empty result.
 
     The index is fitted on at most `sample` rows, those with the smallest hash of their key: the graph of their
-    neighbours is partitioned into balanced parts, about one for `rows_per_part` rows and at most `max_parts`, and a
-    classifier learns them. All rows are indexed in their most probable part. A query is compared, exactly, with the rows of its most
-    probable parts, until these hold `mass` of the probability or are `probes` many. Parts of any size are compared in tiles.
+    neighbours is partitioned into balanced parts, about one for `rows_per_part` rows, and a classifier learns them. Where that makes
+    more than `max_parts`, rows are routed twice: to one of `max_parts` coarse parts, and within it by a classifier fitted in the same
+    way on at most `sample` rows of that part; so parts stay near `rows_per_part` up to max_parts^2 of them, and grow with the rows only
+    beyond. All rows are indexed in their most probable part. A query is compared, exactly, with the rows of its most
+    probable parts, until these hold `mass` of the probability or are `probes` many, twice as many where rows are routed twice. Parts of any size are compared in tiles.
     """
     spark = df.sparkSession
     vectors = _unit_vectors(df, key, vector)
@@ -191,7 +294,7 @@ def nearest(
         return spark.createDataFrame([], shape.replace("key", f"`{key}`", 1))
     width = lengths[0]["d"]
     named = vectors.filter(F.size("v") == width)
-    coarse = F.transform("v", lambda x: F.round(x * 100_000).cast("int"))
+    coarse = F.transform("v", lambda x: F.round(x * 1_000_000).cast("int"))
     named = cut_lineage(named.withColumn("h1", F.xxhash64(coarse)).withColumn("h2", F.xxhash64(F.lit(7), F.reverse(coarse))))
     # Of a class of equal directions, the smallest keys: as many as any list can show.
     order = Window.partitionBy("h1", "h2").orderBy("key")
@@ -200,22 +303,13 @@ def nearest(
     heads = cut_lineage(heads)
     classes = cut_lineage(named.select("key", "v").join(heads.select(F.col("class").alias("key")), "key", "left_semi"))
     total = classes.count()
-    drawn = classes.orderBy(F.xxhash64("key"), "key").limit(sample).select("v").toArrow()
-    x = drawn.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, width).astype(np.float32)
-    router = spark.sparkContext.broadcast(fit(x, min(max_parts, -(-total // rows_per_part))))
+    index = spark.sparkContext.broadcast(_fit_index(classes, width, total, sample, rows_per_part, max_parts))
 
     def place(query: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                p = router.value.probabilities(_matrix(batch, width))
-                if query:
-                    best = np.argsort(-p, axis=1, kind="stable")[:, :probes]
-                    share = np.take_along_axis(p, best, axis=1)
-                    wanted = np.cumsum(share, axis=1) - share < mass
-                    who, at = np.nonzero(wanted)
-                    part = best[who, at]
-                else:
-                    who, part = np.arange(batch.num_rows), p.argmax(axis=1)
+                x = _matrix(batch, width)
+                who, part = index.value.probe(x, probes, mass) if query else (np.arange(len(x)), index.value.parts_of(x))
                 take = pa.array(who)
                 yield pa.RecordBatch.from_arrays([batch.column("key").take(take), batch.column("v").take(take), pa.array(part.astype(np.int32))], ["key", "v", "part"])
 

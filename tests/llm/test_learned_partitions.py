@@ -1,6 +1,6 @@
 import numpy as np
 
-from tarnwick.llm.learned_partitions import balanced_partition, fit, nearest, neighbour_graph
+from tarnwick.llm.learned_partitions import Index, balanced_partition, fit, nearest, neighbour_graph
 
 
 def data(spark, n=900, copies=200):
@@ -33,6 +33,32 @@ def test_recall_and_copies(spark):
     assert [j for _, j in sorted(found[0])] == [1, 2, 3, 4, 5] and [j for _, j in sorted(found[150])] == [0, 1, 2, 3, 4]
 
 
+def test_two_levels_keep_the_recall(spark):
+    x, df = data(spark, n=1500, copies=20)
+    true = brute(x, 5)
+    found = {}
+    for r in nearest(df, "k", "v", k=5, rows_per_part=60, max_parts=5).collect():
+        found.setdefault(r["k"], set()).add(r["neighbour"])
+    assert set(found) == set(range(1500)) and all(len(v) == 5 for v in found.values())
+    assert sum(len(set(true[i]) & found[i]) for i in range(20, 1500)) / (1480 * 5) >= 0.9
+
+
+def test_parts_within_parts_are_numbered_apart():
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(600, 8)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    top = fit(x, 3)
+    coarse = top.probabilities(x).argmax(axis=1)
+    within = {c: fit(x[coarse == c], 4) for c in (0, 2)}
+    index = Index(top, within, np.array([0, 4, 5]))
+    part = index.parts_of(x)
+    assert set(part[coarse == 1]) == {4} and set(part[coarse == 2]) <= {5, 6, 7, 8} and set(part[coarse == 0]) <= {0, 1, 2, 3}
+    row, probed = index.probe(x, 20, 1.1)  # all parts of all rows
+    assert len(row) == 600 * 9 and len(set(zip(row.tolist(), probed.tolist()))) == 600 * 9
+    row, probed = index.probe(x, 3, 0.9)
+    assert np.bincount(row).max() <= 6 and np.mean([p in set(probed[row == i]) for i, p in enumerate(part)]) > 0.99
+
+
 def test_one_part_is_exact(spark):
     x, df = data(spark, 300, 20)
     true = brute(x, 4)
