@@ -248,9 +248,14 @@ def train_corrections(words: dict[str, int], pairs: dict[tuple[str, str], int],
 
 
 # The plan -------------------------------------------------------------------------------------------
-def _rows(df: DataFrame, table: str, key: str, source: str, text: str, scanned: str) -> DataFrame:
+def scan_rows(df: DataFrame, table: str, key: str, source: str, text: str, scanned: str, pages: bool) -> DataFrame:
+    """(table, key, pages, scanned, text, source), one row for each key, for `repair_scans`.
+
+    `pages` says whether the rows are whole pages, whose running lines come back from page to page of a source.
+    """
     rows = df.filter(F.col(key).isNotNull()).select(F.lit(table).alias("table"), F.col(key).cast("long").alias("key"), F.col(source).cast("string").alias("source"), F.coalesce(F.col(scanned), F.lit(False)).alias("scanned"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    return rows.groupBy("table", "key").agg(F.max(F.struct("scanned", "text", "source")).alias("r")).select("table", "key", "r.*")
+    one = rows.groupBy("table", "key").agg(F.max(F.struct("scanned", "text", "source")).alias("r"))
+    return one.select("table", "key", F.lit(pages).alias("pages"), "r.*")
 
 
 def _counts(clean: DataFrame) -> DataFrame:
@@ -306,7 +311,7 @@ class Repair:
     def repaired(self) -> DataFrame:
         """(table, key, source, text, repairs): continuous paragraphs without furniture, words joined and corrected."""
         per = self.found.groupBy("table", "key").agg(F.collect_list(F.struct("line_no", "kind", "word", "read")).alias("found"))  # no more than a row's words
-        rows = self.scanned.join(per, ["table", "key"], "left")
+        rows = self.scanned.join(per.hint("merge"), ["table", "key"], "left")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in bounded(batches, "text"):
@@ -361,6 +366,7 @@ def rewrite(text: str, found: list[tuple[int, str, str, str]]) -> str:
 
 def repair_scans(tables: list[DataFrame], sample: int = 6_000, words: int = 10_000, sure: float = 0.5) -> Repair:
     """Find what scanning left in texts. `tables` come from `scan_rows`; their clean rows teach, their scanned rows are repaired.
+    Only lines of rows that are whole pages (`pages`) are counted as coming back.
 
     Findings, of scanned rows only, each once: `header` and `page_number` lines, lines `hyphenated` within a word that
     goes on in the next line of the text, and words `misread`, with the right word in lower case.
@@ -377,6 +383,7 @@ def repair_scans(tables: list[DataFrame], sample: int = 6_000, words: int = 10_0
         rows = rows.unionByName(more)
     spark = rows.sparkSession
     scanned = cut_lineage(rows.filter("scanned AND text != ''").drop("scanned"))
+    paged = scanned.filter("pages")
     counts = cut_lineage(_counts(rows.filter("NOT scanned")))
     known = counts.filter("b IS NULL").select(F.col("a").alias("word"), "n")
     follows = counts.filter("b IS NOT NULL")
@@ -386,17 +393,16 @@ def repair_scans(tables: list[DataFrame], sample: int = 6_000, words: int = 10_0
     common = spark.sparkContext.broadcast(frozenset(dictionary))  # at most `words`: spares the join of most tokens
 
     # Furniture: lines that come back teach; a bounded sample of lines with their neighbours.
-    again = cut_lineage(_again(scanned.filter(F.col("table") == "page_text")))
-    lined = scanned.select("table", "key", "source", F.posexplode(F.split("text", "\n")).alias("at", "line"))
-    around = Window.partitionBy("table", "key").orderBy("at")
-    drawn = scanned.filter(F.col("table") == "page_text").orderBy(F.xxhash64("key"), "key").limit(max(1, sample // 6)).select("source", "text").toArrow().to_pylist()
-    some = spark.createDataFrame([(r["source"],) for r in drawn], "source string").distinct() if drawn else spark.createDataFrame([], "source string")
-    met = again.join(F.broadcast(some), "source", "left_semi").filter("again >= 2").orderBy(F.desc("again"), "source", "h").limit(sample * 4).toArrow().to_pydict()
+    again = cut_lineage(_again(paged))
+    drawn = paged.orderBy(F.xxhash64("key"), "key").limit(max(1, sample // 6)).select("source", "text").toArrow().to_pylist()
+    # The repeats of every line of these few rows, counted over all rows.
+    some = spark.createDataFrame([(r["source"], h) for r in drawn for h in {reduced(line) for line in r["text"].split("\n")} - {0}] or [], "source string, h long").distinct()
+    met = again.join(F.broadcast(some), ["source", "h"], "left_semi").toArrow().to_pydict()  # lines of at most sample / 6 rows
     seen = dict(zip(zip(met["source"], met["h"]), met["again"]))
     furniture = spark.sparkContext.broadcast(train_furniture(_labelled(drawn, seen, sample)))
 
     hashed = _line_hashes(scanned)
-    met = hashed.join(again, ["source", "h"]).groupBy("table", "key").agg(F.collect_list(F.struct("line_no", "again")).alias("again"))  # no more than a row's lines
+    met = hashed.join(again.hint("merge"), ["source", "h"]).groupBy("table", "key").agg(F.collect_list(F.struct("line_no", "again")).alias("again"))  # no more than a row's lines
 
     def tag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, usual = furniture.value, common.value
@@ -434,10 +440,10 @@ def repair_scans(tables: list[DataFrame], sample: int = 6_000, words: int = 10_0
             columns = [pa.array(out[0], pa.int32()), *(pa.array(c, pa.string()) for c in out[1:])]
             yield pa.RecordBatch.from_arrays([batch.column("table").take(pa.array(take, pa.int64())), batch.column("key").take(pa.array(take, pa.int64())), *columns], ["table", "key", "line_no", "kind", "word", "raw", "before", "after", "more"])
 
-    tagged = scanned.join(met, ["table", "key"], "left").mapInArrow(tag, "table string, key long, line_no int, kind string, word string, raw string, before string, after string, more string")
+    tagged = scanned.join(met.hint("merge"), ["table", "key"], "left").mapInArrow(tag, "table string, key long, line_no int, kind string, word string, raw string, before string, after string, more string")
     margins = F.col("kind").isin("header", "page_number", "cut")
     # Known words are dropped at once: what is left is written.
-    parts = tagged.join(known.select("word", F.lit(1).alias("known")), "word", "left").filter(margins | F.col("known").isNull())
+    parts = tagged.join(known.select("word", F.lit(1).alias("known")).hint("merge"), "word", "left").filter(margins | F.col("known").isNull())
     parts = cut_lineage(parts)
     lines = parts.filter(F.col("kind").isin("header", "page_number")).select("table", "key", "line_no", "kind", F.lit("").alias("word"), F.lit("").alias("read"))
 
@@ -457,7 +463,7 @@ def repair_scans(tables: list[DataFrame], sample: int = 6_000, words: int = 10_0
     misread = best.filter("kind = 'word'").select("table", "key", "line_no", F.lit("misread").alias("kind"), F.col("right").alias("word"), F.col("raw").alias("read"))
     mended = best.filter("kind = 'cut'").withColumn("n", F.row_number().over(Window.partitionBy("table", "key", "line_no").orderBy(F.desc("score"), "right"))).filter("n = 1")
     mended = mended.select("table", "key", "line_no", F.lit("hyphenated").alias("kind"), F.col("right").alias("word"), F.lit("").alias("read"))
-    rest = unsettled.join(mended.select("table", "key", "line_no"), ["table", "key", "line_no"], "left_anti")
+    rest = unsettled.join(mended.select("table", "key", "line_no").hint("merge"), ["table", "key", "line_no"], "left_anti")
     rest = rest.select("table", "key", "line_no", F.lit("hyphenated").alias("kind"), "word", F.lit("").alias("read"))
     found = lines.unionByName(whole).unionByName(misread).unionByName(mended).unionByName(rest)
     return Repair(cut_lineage(found), scanned)
@@ -475,11 +481,6 @@ def _contexts(pairs: dict[tuple[str, str], int], most: int) -> list[tuple[str, s
     return out
 
 
-def scan_rows(df: DataFrame, table: str, key: str, source: str, text: str, scanned: str) -> DataFrame:
-    """(table, key, source, scanned, text), one row for each key, for `repair_scans`."""
-    return _rows(df, table, key, source, text, scanned)
-
-
 def kinds_of(texts: list[list[str]], often: list[dict[int, int]], model: Furniture) -> list[list[str]]:
     """header, page_number or text for each line of each text; the trees see the lines of all texts at once."""
     kinds = [["page_number" if line.strip() and is_page_number(line) else "text" for line in lines] for lines in texts]
@@ -530,7 +531,7 @@ def _settle_cuts(cuts: DataFrame, known: DataFrame, joins) -> DataFrame:
     """keep: whether the hyphen stays; null where neither form is a known word."""
     out = cuts
     for column, name in (("word", "nj"), ("raw", "nh"), ("before", "na"), ("after", "nb")):
-        out = out.join(known.select(F.col("word").alias(column), F.col("n").alias(name)), column, "left")
+        out = out.join(known.select(F.col("word").alias(column), F.col("n").alias(name)).hint("merge"), column, "left")
     out = out.select("table", "key", "line_no", "kind", "word", "raw", "before", "after", "more", *[F.coalesce(n, F.lit(0)).alias(n) for n in ("nj", "nh", "na", "nb")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -544,25 +545,34 @@ def _settle_cuts(cuts: DataFrame, known: DataFrame, joins) -> DataFrame:
     return cut_lineage(out.mapInArrow(run, "table string, key long, line_no int, kind string, word string, raw string, more string, keep boolean"))
 
 
+#: Characters of a word in one band of places.
+BAND = 4
+
+
 def _gram_rows(words: DataFrame) -> DataFrame:
+    """(word, gram, at): every q-gram of two characters of a word with its ends marked, and its place."""
     padded = F.concat(F.lit("^"), "word", F.lit("$"))
-    return words.select("word", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.char_length("word") + 1), lambda i: F.substring(padded, i, F.lit(2))))).alias("gram"))
+    return words.select("word", F.explode(F.transform(F.sequence(F.lit(0), F.char_length("word")), lambda i: F.struct(F.substr(padded, i + 1, F.lit(2)).alias("gram"), i.alias("at")))).alias("g")).select("word", "g.gram", "g.at")
 
 
 def _corrections(asked: DataFrame, known: DataFrame, follows: DataFrame, ranker, sure: float, rare: int = 7) -> DataFrame:
     """The best right word for each place, with its score, where it is surer than `sure`.
 
-    Candidates come from a join of the rarest q-grams of unknown words with those of the dictionary, lengths within 2.
-    An edit spoils at most two q-grams of two characters, so `rare` of them find all words within three edits.
+    Candidates come from a join of the rarest q-grams of unknown words with those of the dictionary, of lengths within 2 and at
+    places within 3 (bands of BAND). An edit spoils at most two q-grams of two characters and moves the others by one place, so `rare`
+    of them find all words within three edits. Words of one letter have no candidates.
     """
     size = F.char_length("word")
-    unknown = asked.select("word").filter(size.between(2, 40)).distinct()
-    grams_known = cut_lineage(_gram_rows(known.filter((size >= 2) & (F.col("n") >= 2))))
+    unknown = asked.select("word").filter(size >= 2).distinct()
+    grams_known = _gram_rows(known.filter(size >= 2)).select("word", "gram", F.floor(F.col("at") / BAND).cast("int").alias("band"), size.alias("len")).distinct()
+    grams_known = cut_lineage(grams_known)
     often = grams_known.groupBy("gram").agg(F.count(F.lit(1)).alias("often"))
-    ours = _gram_rows(unknown).join(often, "gram")
-    ours = ours.withColumn("n", F.row_number().over(Window.partitionBy("word").orderBy("often", "gram"))).filter(F.col("n") <= rare)
-    near = ours.select("word", "gram").join(grams_known.select(F.col("word").alias("right"), "gram"), "gram")
-    near = near.filter(F.abs(F.char_length("word") - F.char_length("right")) <= 2).select("word", "right").distinct()
+    ours = _gram_rows(unknown).join(often.hint("merge"), "gram")
+    ours = ours.withColumn("n", F.row_number().over(Window.partitionBy("word").orderBy("often", "gram", "at"))).filter(F.col("n") <= rare)
+    bands = F.sequence(F.floor((F.col("at") - 3) / BAND), F.floor((F.col("at") + 3) / BAND))
+    ours = ours.select("word", "gram", F.explode(F.transform(bands, lambda b: b.cast("int"))).alias("band")).filter("band >= 0").distinct()
+    ours = ours.select("word", "gram", "band", F.explode(F.sequence(size - 2, size + 2)).alias("len"))
+    near = ours.join(grams_known.withColumnRenamed("word", "right").hint("merge"), ["gram", "band", "len"]).select("word", "right").distinct()
     edits = F.levenshtein("word", "right")
     near = near.withColumn("edits", edits).filter(F.col("edits") <= F.when(F.char_length("word") <= 4, 2).otherwise(3))
     # Of the candidates within the fewest edits and one more; a misread letter is at most two edits.
@@ -578,11 +588,11 @@ def _corrections(asked: DataFrame, known: DataFrame, follows: DataFrame, ranker,
     priced = near.mapInArrow(cost, "word string, right string, edits int, cost double, shared double")
     best = F.min("cost").over(Window.partitionBy("word"))
     priced = priced.withColumn("best", best).filter(F.col("cost") <= F.col("best") + 0.6).drop("best")
-    priced = cut_lineage(priced.join(known.select(F.col("word").alias("right"), "n"), "right"))
-    places = asked.join(priced, "word")
+    priced = cut_lineage(priced.join(known.select(F.col("word").alias("right"), "n").hint("merge"), "right"))
+    places = asked.join(priced.hint("merge"), "word")
     before = follows.select(F.col("a").alias("before"), F.col("b").alias("right"), F.col("n").alias("nb"))
     after = follows.select(F.col("a").alias("right"), F.col("b").alias("after"), F.col("n").alias("na"))
-    places = places.join(before, ["before", "right"], "left").join(after, ["right", "after"], "left")
+    places = places.join(before.hint("merge"), ["before", "right"], "left").join(after.hint("merge"), ["right", "after"], "left")
 
     def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

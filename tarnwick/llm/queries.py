@@ -112,8 +112,8 @@ def p6_members(spark: SparkSession, folder: str) -> DataFrame:
 
 # 7. Scanned pages -----------------------------------------------------------------------------
 def _repair(spark: SparkSession, folder: str) -> Repair:
-    pages = scan_rows(load(spark, folder, "page_text"), "page_text", "page_id", "filename", "text", "ocr_used")
-    chunks = scan_rows(load(spark, folder, "text_chunk"), "text_chunk", "chunk_key", "filename", "text", "ocr_used")
+    pages = scan_rows(load(spark, folder, "page_text"), "page_text", "page_id", "filename", "text", "ocr_used", pages=True)
+    chunks = scan_rows(load(spark, folder, "text_chunk"), "text_chunk", "chunk_key", "filename", "text", "ocr_used", pages=False)
     return repair_scans([pages, chunks])
 
 

@@ -40,7 +40,7 @@ def rows(spark):
 
 
 def test_repair(spark):
-    found = repair_scans([scan_rows(rows(spark), "page_text", "k", "s", "t", "o")])
+    found = repair_scans([scan_rows(rows(spark), "page_text", "k", "s", "t", "o", True)])
     rows_ = {(r["key"], r["line_no"], r["kind"], r["word"]) for r in found.found.collect()}
     for i in range(100, 112):
         assert {(i, 2, "hyphenated", "late-night"), (i, 3, "hyphenated", "signal"), (i, 4, "misread", "the"), (i, 5, "page_number", "")} <= rows_
@@ -51,7 +51,7 @@ def test_repair(spark):
 
 
 def test_empty(spark):
-    assert repair_scans([scan_rows(rows(spark).limit(0), "page_text", "k", "s", "t", "o")]).found.count() == 0
+    assert repair_scans([scan_rows(rows(spark).limit(0), "page_text", "k", "s", "t", "o", True)]).found.count() == 0
 
 
 def test_rewrite_keeps_paragraphs_and_case():
