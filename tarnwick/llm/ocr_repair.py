@@ -25,7 +25,7 @@ CONFUSIONS = (
 )
 HYPHENS = r"\-¬\u00ad\u2010\u2011"
 
-CODE = re.compile(r"^\W*[A-Za-z]{1,3}[-–]?\d[\w/.-]*\W*$")
+CODE = re.compile(r"^\W*[A-Za-z]{1,3}[-–]?\d+(?:[/.–-][A-Za-z\d]+)*\W*$")
 PAGE = re.compile(r"(?i)^[\W_]*(?:(?:page|pg|p|seite|s|sheet|folio|blatt|página|pág|no)\b[\W_]*)?(?:\d{1,5}|[ivxlc]{1,7})(?:\s*(?:of|/|von|de|sur)\s*\d{1,5})?[\W_]*$")
 ROMAN = re.compile(r"(?i)^[\W_]*(?:page|pg|p)?[\W_]*(?:c{0,3})(?:xc|xl|l?x{0,3})(?:ix|iv|v?i{0,3})[\W_]*$")
 CORE = re.compile(r"^[^\w]*(.*?)[^\w]*$")

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from tarnwick.llm.boosting import boost
-from tarnwick.llm.ocr_repair import is_page_number, misread_cost, repair_scans, rewrite, scan_rows
+from tarnwick.llm.ocr_repair import is_page_number, misread_cost, repair_scans, rewrite, scan_rows, words_of
 
 CLEAN = "The signal must be cleared before the points are locked. The guard closes the late-night gate.\nThe driver reads the signal and the guard confirms the overlap. The points are locked again by the guard."
 
@@ -58,3 +58,16 @@ def test_rewrite_keeps_paragraphs_and_case():
     text = "Tbe  first line\ngoes on.\n\nSecond para-\n7\ngraph here."
     found = [(1, "misread", "the", "Tbe"), (4, "hyphenated", "paragraph", ""), (5, "page_number", "", "")]
     assert rewrite(text, found) == "The first line goes on.\n\nSecond paragraph here."
+
+
+def test_misread_digits_make_no_codes():
+    assert [w for _, w in words_of("the l0cked b0x by AB-123/E, km5 and KZ-1352")] == ["the", "l0cked", "b0x", "by", "", "", "and", ""]
+
+
+def test_rare_and_very_long_words_are_candidates(spark):
+    long = "donaudampfschifffahrtsgesellschaftskapitaen"
+    rows = [(1, "f", f"The {long} must confirm that the pantograph is safe.", False), (2, "f", f"The {long[:-6]}rn{long[-5:]} must confirm.\nThe pant0graph is safe.", True)]
+    rows += [(10 + i, "f", "The yard master must confirm that the signal is safe again today.", False) for i in range(20)]
+    df = spark.createDataFrame(rows, "k long, s string, t string, o boolean")
+    found = {(r["kind"], r["word"]) for r in repair_scans([scan_rows(df, "a", "k", "s", "t", "o", True)]).found.collect()}
+    assert ("misread", "pantograph") in found
