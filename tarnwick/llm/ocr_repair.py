@@ -564,15 +564,18 @@ def _corrections(asked: DataFrame, known: DataFrame, follows: DataFrame, ranker,
     """
     size = F.char_length("word")
     unknown = asked.select("word").filter(size >= 2).distinct()
-    grams_known = _gram_rows(known.filter(size >= 2)).select("word", "gram", F.floor(F.col("at") / BAND).cast("int").alias("band"), size.alias("len")).distinct()
-    grams_known = cut_lineage(grams_known)
-    often = grams_known.groupBy("gram").agg(F.count(F.lit(1)).alias("often"))
+    met = F.xxhash64("gram", "band", "len").alias("met")
+    whole = lambda c: F.transform(c, lambda x: x.cast("int"))
+    # Each word of the dictionary answers for all places and lengths it may be misread at; there are fewer words known than unknown.
+    bands = F.sequence(F.floor((F.col("at") - 3) / BAND), F.floor((F.col("at") + 3) / BAND))
+    answers = _gram_rows(known.filter(size >= 2)).select("word", "gram", F.explode(F.array_distinct(whole(bands))).alias("band")).filter("band >= 0").distinct()
+    often = cut_lineage(answers.groupBy("gram").agg(F.count(F.lit(1)).alias("often")))
+    answers = answers.select(F.col("word").alias("right"), "gram", "band", F.explode(F.sequence(size - 2, size + 2)).alias("len")).select(met, "right")
     ours = _gram_rows(unknown).join(often.hint("merge"), "gram")
     ours = ours.withColumn("n", F.row_number().over(Window.partitionBy("word").orderBy("often", "gram", "at"))).filter(F.col("n") <= rare)
-    bands = F.sequence(F.floor((F.col("at") - 3) / BAND), F.floor((F.col("at") + 3) / BAND))
-    ours = ours.select("word", "gram", F.explode(F.transform(bands, lambda b: b.cast("int"))).alias("band")).filter("band >= 0").distinct()
-    ours = ours.select("word", "gram", "band", F.explode(F.sequence(size - 2, size + 2)).alias("len"))
-    near = ours.join(grams_known.withColumnRenamed("word", "right").hint("merge"), ["gram", "band", "len"]).select("word", "right").distinct()
+    ours = ours.select("word", "gram", F.floor(F.col("at") / BAND).cast("int").alias("band"), size.alias("len")).select(met, "word").distinct()
+    near = ours.join(answers.hint("merge"), "met").select("word", "right").distinct()
+    near = near.filter(F.abs(F.char_length("word") - F.char_length("right")) <= 2)
     edits = F.levenshtein("word", "right")
     near = near.withColumn("edits", edits).filter(F.col("edits") <= F.when(F.char_length("word") <= 4, 2).otherwise(3))
     # Of the candidates within the fewest edits and one more; a misread letter is at most two edits.
