@@ -174,28 +174,32 @@ def misread_cost(read: str, right: str, most: float = 3.5) -> float:
     e = max(0, e - 1)
     read, right = read[k : len(read) - e], right[k : len(right) - e]
     n, m = len(read), len(right)
-    table = [[99.0] * (m + 1) for _ in range(n + 1)]
-    table[0][0] = 0.0
+    if abs(n - m) > 4:
+        return 99.0
+    wide = 15  # row i holds places i - 7 to i + 7
+    table = [[99.0] * wide for _ in range(n + 1)]
+    table[0][7] = 0.0
     for i in range(n + 1):
         row = table[i]
         for j in range(max(0, i - 4), min(m, i + 4) + 1):
-            here = row[j]
+            at = j - i + 7
+            here = row[at]
             if here > most:
                 continue
             if i < n:
                 below = table[i + 1]
-                if here + 1 < below[j]:
-                    below[j] = here + 1
+                if here + 1 < below[at - 1]:
+                    below[at - 1] = here + 1
                 if j < m:
                     step = here if read[i] == right[j] else here + 1
-                    if step < below[j + 1]:
-                        below[j + 1] = step
+                    if step < below[at]:
+                        below[at] = step
                 for a, b, c in _FROM.get(read[i], ()):
-                    if right.startswith(b, j) and read.startswith(a, i) and here + c < table[i + len(a)][j + len(b)]:
-                        table[i + len(a)][j + len(b)] = here + c
-            if j < m and here + 1 < row[j + 1]:
-                row[j + 1] = here + 1
-    return table[n][m]
+                    if right.startswith(b, j) and read.startswith(a, i) and here + c < table[i + len(a)][at + len(b) - len(a)]:
+                        table[i + len(a)][at + len(b) - len(a)] = here + c
+            if j < m and here + 1 < row[at + 1]:
+                row[at + 1] = here + 1
+    return table[n][m - n + 7]
 
 
 def correction_features(cost: float, edits: int, shared: float, read: str, right: str, n: int, before: int, after: int) -> list[float]:
@@ -550,9 +554,13 @@ BAND = 4
 
 
 def _gram_rows(words: DataFrame) -> DataFrame:
-    """(word, gram, at): every q-gram of two characters of a word with its ends marked, and its place."""
-    padded = F.concat(F.lit("^"), "word", F.lit("$"))
-    return words.select("word", F.explode(F.transform(F.sequence(F.lit(0), F.char_length("word")), lambda i: F.struct(F.substr(padded, i + 1, F.lit(2)).alias("gram"), i.alias("at")))).alias("g")).select("word", "g.gram", "g.at")
+    """(id, len, gram, at): every q-gram of two characters of a word with its ends marked, its place, and a hash for the word.
+
+    A word of any length costs as much as its characters.
+    """
+    lettered = words.select(F.xxhash64("word").alias("id"), F.char_length("word").alias("len"), F.concat(F.array(F.lit("^")), F.split("word", ""), F.array(F.lit("$"))).alias("c"))
+    pairs = F.transform(F.sequence(F.lit(0), F.col("len")), lambda i: F.struct(F.concat(F.get("c", i), F.get("c", i + 1)).alias("gram"), i.alias("at")))
+    return lettered.select("id", "len", F.explode(pairs).alias("g")).select("id", "len", "g.gram", "g.at")
 
 
 def _corrections(asked: DataFrame, known: DataFrame, follows: DataFrame, ranker, sure: float, rare: int = 7) -> DataFrame:
@@ -568,16 +576,18 @@ def _corrections(asked: DataFrame, known: DataFrame, follows: DataFrame, ranker,
     whole = lambda c: F.transform(c, lambda x: x.cast("int"))
     # Each word of the dictionary answers for all places and lengths it may be misread at; there are fewer words known than unknown.
     bands = F.sequence(F.floor((F.col("at") - 3) / BAND), F.floor((F.col("at") + 3) / BAND))
-    answers = _gram_rows(known.filter(size >= 2)).select("word", "gram", F.explode(F.array_distinct(whole(bands))).alias("band")).filter("band >= 0").distinct()
+    right = known.filter(size >= 2).select("word")
+    answers = _gram_rows(right).select("id", "len", "gram", F.explode(F.array_distinct(whole(bands))).alias("band")).filter("band >= 0").distinct()
     often = cut_lineage(answers.groupBy("gram").agg(F.count(F.lit(1)).alias("often")))
-    answers = answers.select(F.col("word").alias("right"), "gram", "band", F.explode(F.sequence(size - 2, size + 2)).alias("len")).select(met, "right")
+    answers = answers.select(F.col("id").alias("other"), "gram", "band", F.explode(F.sequence(F.col("len") - 2, F.col("len") + 2)).alias("len")).select(met, "other")
     ours = _gram_rows(unknown).join(often.hint("merge"), "gram")
-    ours = ours.withColumn("n", F.row_number().over(Window.partitionBy("word").orderBy("often", "gram", "at"))).filter(F.col("n") <= rare)
-    ours = ours.select("word", "gram", F.floor(F.col("at") / BAND).cast("int").alias("band"), size.alias("len")).select(met, "word").distinct()
-    near = ours.join(answers.hint("merge"), "met").select("word", "right").distinct()
-    near = near.filter(F.abs(F.char_length("word") - F.char_length("right")) <= 2)
-    edits = F.levenshtein("word", "right")
-    near = near.withColumn("edits", edits).filter(F.col("edits") <= F.when(F.char_length("word") <= 4, 2).otherwise(3))
+    ours = ours.withColumn("n", F.row_number().over(Window.partitionBy("id").orderBy("often", "gram", "at"))).filter(F.col("n") <= rare)
+    ours = ours.select("id", "gram", F.floor(F.col("at") / BAND).cast("int").alias("band"), "len").select(met, "id").distinct()
+    near = ours.join(answers.hint("merge"), "met").select("id", "other").distinct()
+    near = near.join(unknown.select(F.xxhash64("word").alias("id"), "word").hint("merge"), "id").join(right.select(F.xxhash64("word").alias("other"), F.col("word").alias("right")).hint("merge"), "other")
+    near = near.filter(F.abs(F.char_length("word") - F.char_length("right")) <= 2).select("word", "right")
+    edits = F.levenshtein("word", "right", 3)
+    near = near.withColumn("edits", edits).filter(F.col("edits").between(0, F.when(F.char_length("word") <= 4, 2).otherwise(3)))
     # Of the candidates within the fewest edits and one more; a misread letter is at most two edits.
     fewest = F.min("edits").over(Window.partitionBy("word"))
     near = near.withColumn("fewest", fewest).filter(F.col("edits") <= F.col("fewest") + 1).drop("fewest")
