@@ -549,43 +549,49 @@ def _settle_cuts(cuts: DataFrame, known: DataFrame, joins) -> DataFrame:
     return cut_lineage(out.mapInArrow(run, "table string, key long, line_no int, kind string, word string, raw string, more string, keep boolean"))
 
 
-#: Characters of a word in one band of places.
+#: Places in a word, or lengths, in one band.
 BAND = 4
 
 
 def _gram_rows(words: DataFrame) -> DataFrame:
-    """(id, len, gram, at): every q-gram of two characters of a word with its ends marked, its place, and a hash for the word.
+    """(id, len, bag, gram, at): every q-gram of two characters of a word with its ends marked, and its place.
 
-    A word of any length costs as much as its characters.
+    `id` is a hash that stands for the word, `bag` has a bit for each character in it. A word of any length costs as much as its
+    characters.
     """
-    lettered = words.select(F.xxhash64("word").alias("id"), F.char_length("word").alias("len"), F.concat(F.array(F.lit("^")), F.split("word", ""), F.array(F.lit("$"))).alias("c"))
+    lettered = words.select(F.xxhash64("word").alias("id"), F.char_length("word").alias("len"), F.split("word", "").alias("c"))
+    zero = F.lit(0).cast("long")
+    bag = F.aggregate("c", zero, lambda acc, c: acc.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.ascii(c) % 64)))
+    lettered = lettered.select("id", "len", bag.alias("bag"), F.concat(F.array(F.lit("^")), "c", F.array(F.lit("$"))).alias("c"))
     pairs = F.transform(F.sequence(F.lit(0), F.col("len")), lambda i: F.struct(F.concat(F.get("c", i), F.get("c", i + 1)).alias("gram"), i.alias("at")))
-    return lettered.select("id", "len", F.explode(pairs).alias("g")).select("id", "len", "g.gram", "g.at")
+    return lettered.select("id", "len", "bag", F.explode(pairs).alias("g")).select("id", "len", "bag", "g.gram", "g.at")
 
 
 def _corrections(asked: DataFrame, known: DataFrame, follows: DataFrame, ranker, sure: float, rare: int = 7) -> DataFrame:
     """The best right word for each place, with its score, where it is surer than `sure`.
 
-    Candidates come from a join of the rarest q-grams of unknown words with those of the dictionary, of lengths within 2 and at
-    places within 3 (bands of BAND). An edit spoils at most two q-grams of two characters and moves the others by one place, so `rare`
+    Candidates come from a join of the rarest q-grams of unknown words with those of the dictionary, at places within 3 and in
+    words of lengths within 2 (bands of BAND). An edit spoils at most two q-grams of two characters and moves the others by one place, so `rare`
     of them find all words within three edits. Words of one letter have no candidates.
     """
     size = F.char_length("word")
     unknown = asked.select("word").filter(size >= 2).distinct()
-    met = F.xxhash64("gram", "band", "len").alias("met")
-    whole = lambda c: F.transform(c, lambda x: x.cast("int"))
-    # Each word of the dictionary answers for all places and lengths it may be misread at; there are fewer words known than unknown.
-    bands = F.sequence(F.floor((F.col("at") - 3) / BAND), F.floor((F.col("at") + 3) / BAND))
+    met = F.xxhash64("gram", "band", "size").alias("met")
+    near_by = lambda c, by: F.transform(F.sequence(F.floor((F.col(c) - by) / BAND), F.floor((F.col(c) + by) / BAND)), lambda x: x.cast("int"))
+    in_band = lambda c: F.floor(F.col(c) / BAND).cast("int")
     right = known.filter(size >= 2).select("word")
-    answers = _gram_rows(right).select("id", "len", "gram", F.explode(F.array_distinct(whole(bands))).alias("band")).filter("band >= 0").distinct()
-    often = cut_lineage(answers.groupBy("gram").agg(F.count(F.lit(1)).alias("often")))
-    answers = answers.select(F.col("id").alias("other"), "gram", "band", F.explode(F.sequence(F.col("len") - 2, F.col("len") + 2)).alias("len")).select(met, "other")
+    grams_known = cut_lineage(_gram_rows(right))
+    often = grams_known.groupBy("gram").agg(F.count(F.lit(1)).alias("often"))
     ours = _gram_rows(unknown).join(often.hint("merge"), "gram")
     ours = ours.withColumn("n", F.row_number().over(Window.partitionBy("id").orderBy("often", "gram", "at"))).filter(F.col("n") <= rare)
-    ours = ours.select("id", "gram", F.floor(F.col("at") / BAND).cast("int").alias("band"), "len").select(met, "id").distinct()
-    near = ours.join(answers.hint("merge"), "met").select("id", "other").distinct()
+    ours = ours.select("id", "len", "bag", "gram", F.explode(near_by("at", 3)).alias("band")).filter("band >= 0")
+    ours = ours.select("id", "len", "bag", "gram", "band", F.explode(near_by("len", 2)).alias("size")).select(met, "id", "len", "bag").distinct()
+    answers = grams_known.select("gram", in_band("at").alias("band"), in_band("len").alias("size"), F.col("id").alias("other"), F.col("len").alias("long"), F.col("bag").alias("letters")).select(met, "other", "long", "letters").distinct()
+    # An edit changes the letters of a word by two at most.
+    alike = (F.abs(F.col("len") - F.col("long")) <= 2) & (F.bit_count(F.col("bag").bitwiseXOR(F.col("letters"))) <= 6)
+    near = ours.join(answers.hint("merge"), "met").filter(alike).select("id", "other").distinct()
     near = near.join(unknown.select(F.xxhash64("word").alias("id"), "word").hint("merge"), "id").join(right.select(F.xxhash64("word").alias("other"), F.col("word").alias("right")).hint("merge"), "other")
-    near = near.filter(F.abs(F.char_length("word") - F.char_length("right")) <= 2).select("word", "right")
+    near = near.select("word", "right")
     edits = F.levenshtein("word", "right", 3)
     near = near.withColumn("edits", edits).filter(F.col("edits").between(0, F.when(F.char_length("word") <= 4, 2).otherwise(3)))
     # Of the candidates within the fewest edits and one more; a misread letter is at most two edits.
