@@ -61,6 +61,23 @@ def _core(token: str) -> tuple[str, str]:
     return found
 
 
+_lowers: dict[str, str] = {}
+
+
+def lower_words(line: str) -> list[str]:
+    """The lower-cased cores of `words_of` alone."""
+    tokens = line.split()
+    try:
+        return list(map(_lowers.__getitem__, tokens))
+    except KeyError:
+        if len(_lowers) > 200_000:
+            _lowers.clear()
+        for token in tokens:
+            if token not in _lowers:
+                _lowers[token] = _core(token)[1]
+        return list(map(_lowers.__getitem__, tokens))
+
+
 def words_of(line: str) -> list[tuple[str, str]]:
     """(core as written, lower-cased core) of each token; the core of a token without letters or of a code is ''."""
     get = _cores.get
@@ -275,11 +292,13 @@ def _counts(clean: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(a, pa.string()), pa.array(b, pa.string()), pa.array([*single.values(), *double.values()], pa.int64())], ["a", "b", "n"])
 
         for batch in bounded(batches, "text"):
+            words: list[str] = []
             for text in batch.column("text").to_pylist():
                 for line in text.split("\n"):
-                    words = [w for _, w in words_of(line)]
-                    single.update(words)
-                    double.update(zip(words, words[1:]))
+                    words += lower_words(line)
+                    words.append("")  # no word follows across lines
+            single.update(words)
+            double.update(zip(words, words[1:]))
             if len(double) > 200_000:
                 yield out()
                 single, double = Counter(), Counter()
