@@ -80,7 +80,7 @@ def compare(value: Column, operator: Column, threshold: Column) -> Column:
 
 def rule_scores(facts: DataFrame, rules: DataFrame, fact_key: str, rule_key: str) -> DataFrame:
     """(fact key, rule key, score): +0.32 for each rule a fact satisfies and -0.18 for each it breaks, within -0.35 and 0.45."""
-    met = facts.join(rules, ["subject"]).filter(facts["unit"].eqNullSafe(rules["unit"]))
+    met = facts.withColumnRenamed("unit", "_unit").join(rules, "subject").filter(F.col("_unit").eqNullSafe(F.col("unit")))
     part = F.when(compare(F.col("value"), F.col("operator"), F.col("threshold")), 0.32).otherwise(-0.18)
     return met.groupBy(fact_key, rule_key).agg(F.round(F.greatest(F.lit(-0.35), F.least(F.lit(0.45), F.sum(part))), 6).alias("score"))
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tarnwick.session import cut_lineage
+
 SALTS = 16
 
 
@@ -16,7 +18,8 @@ def ranks_of_split_groups(df: DataFrame, group: str, value: str, out: str) -> Da
     share is joined back through salted copies of its one rank row. Null values get a null rank.
     """
     values = df.filter(F.col(value).isNotNull()).groupBy(group, value).agg(F.count(F.lit(1)).alias("_n"))
-    placed = values.repartitionByRange(F.col(group), F.col(value).desc()).withColumn("_part", F.spark_partition_id())
+    # Written once: a second run of the exchange might number its parts otherwise.
+    placed = cut_lineage(values.repartitionByRange(F.col(group), F.col(value).desc()).withColumn("_part", F.spark_partition_id()))
     in_part = Window.partitionBy("_part", group).orderBy(F.col(value).desc()).rowsBetween(Window.unboundedPreceding, -1)
     over_parts = Window.partitionBy(group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     totals = placed.groupBy(group, "_part").agg(F.sum("_n").alias("_total"))

@@ -15,60 +15,6 @@ from tarnwick.queries.registry import query
 from tarnwick.sources import corpus as C
 
 c = F.col
-WORDS = [(1, "b", 50.0, 10.0, 20.0), (1, "a", 5.0, 11.0, 21.0), (1, "c", 5.0, 40.0, 50.0), (2, "x", 1.0, 1.0, 9.0), (2, "y", 2.0, 2.5, 10.0)]
-SCHEMAS = [("d", 1, 1, "Aspect|Speed", 0.9, "4 Signals"), ("d", 2, 2, None, 0.0, "4 Signals"), ("d", 3, 9, None, 0.0, "4 Signals"), ("d", 4, 3, None, 0.0, "5 Doors"), ("e", 1, 1, None, 0.0, "4 Signals")]
-GRIDS = [(1, ["Signal", "12", "Door", "7"]), (2, ["this is a long line of", "prose that goes on and on", "over the cells, which are", "no cells but parts of it."]), (3, [])]
-RATIOS = [(1, 3, 900, 0.1), (2, 0, 20, 0.0), (3, 40, 900, 0.7), (4, None, 500, 0.2)]
-ORDERED = [(1, "the automatic system operates the train under full operation"), (2, "operation of the train is automatic"), (3, "automatic train operation"), (4, "")]
-
-
-@query("l1_word_lines", "L1", "S5", sql="SELECT * FROM (VALUES (1, 'a', 0), (1, 'b', 0), (1, 'c', 1), (2, 'x', 0), (2, 'y', 0)) v(page, word, line)")
-def l1_word_lines(spark, d):
-    rows = spark.createDataFrame(WORDS, "page int, word string, x0 double, y0 double, y1 double")
-    schema = Ty.StructType([*rows.schema.fields, Ty.StructField("line", Ty.IntegerType())])
-    return K.by_group(rows, ["page"], [], schema, L.lines_of).select("page", "word", "line")
-
-
-@query("l3_column_positions", "L3", "L4", sql="SELECT page, CAST(x AS DOUBLE) AS x FROM (VALUES (1, 5), (1, 50), (2, 1.5)) v(page, x)")
-def l3_column_positions(spark, d):
-    rows = spark.createDataFrame(WORDS, "page int, word string, x0 double, y0 double, y1 double").select("page", "x0")
-    schema = Ty.StructType([rows.schema["page"], Ty.StructField("x", Ty.DoubleType())])
-    return K.by_group(rows, ["page"], ["x0"], schema, lambda r: [{"page": r[0]["page"], "x": v} for v in L.column_positions([w["x0"] for w in r], 4.0)])
-
-
-@query("l8_schema_propagation", "L8", "L11", sql="SELECT * FROM (VALUES ('d', 1, 'Aspect|Speed'), ('d', 2, 'Aspect|Speed'), ('d', 3, NULL), ('d', 4, NULL), ('e', 1, NULL)) v(document_id, table_no, columns)")
-def l8_schema_propagation(spark, d):
-    rows = spark.createDataFrame(SCHEMAS, "document_id string, table_no int, page int, columns string, score double, section string")
-    # The best schema of the last eight tables, within three pages and of the same section.
-    before = Window.partitionBy("document_id").orderBy("table_no").rowsBetween(-8, -1)
-    last = F.collect_list(F.struct("score", "page", "columns", "section")).over(before)
-    fits = F.filter(last, lambda t: t["columns"].isNotNull() & (c("page") - t["page"] <= 3) & (t["section"] == c("section")))
-    return rows.select("document_id", "table_no", F.coalesce("columns", F.array_max(fits)["columns"]).alias("columns"))
-
-
-@query("l12_table_plausibility", "L12", sql="SELECT * FROM (VALUES (1, true), (2, false), (3, false)) v(id, plausible)")
-def l12_table_plausibility(spark, d):
-    rows = spark.createDataFrame(GRIDS, "id int, cells array<string>")
-    words = lambda x: F.size(F.regexp_extract_all(x, F.lit("[A-Za-z]+"), F.lit(0)))
-    prose = F.size(F.filter("cells", lambda x: words(x) >= 5))
-    return rows.select("id", ((F.size("cells") > 0) & (prose / F.greatest(F.size("cells"), F.lit(1)) < 0.5)).alias("plausible"))
-
-
-@query("l20_needs_ocr", "L20", "L32", "S4", sql="SELECT * FROM (VALUES (1, false), (2, true), (3, true), (4, false)) v(id, ocr)")
-def l20_needs_ocr(spark, d):
-    rows = spark.createDataFrame(RATIOS, "id int, rotated int, chars int, image_share double")
-    return rows.select("id", ((c("chars") < 80) | (c("image_share") > 0.55) | (F.coalesce("rotated", F.lit(0)) / c("chars") > 0.5)).alias("ocr"))
-
-
-@query("t60_ordered_tokens", "T60", "T23", sql="SELECT * FROM (VALUES (1, true), (2, false), (3, true), (4, false)) v(id, present)")
-def t60_ordered_tokens(spark, d):
-    wanted = T.literal_array(["automatic", "train", "operation"])
-    rows = spark.createDataFrame(ORDERED, "id int, text string").withColumn("tokens", T.tokens(c("text"), "[a-z0-9]+"))
-    # A fold that carries how many of the wanted words were met, and since when.
-    start = F.struct(F.lit(0).alias("met"), F.lit(0).alias("at"), F.lit(0).alias("first"))
-    step = lambda s, t: F.when(t == F.get(wanted, s["met"]), F.struct((s["met"] + 1).alias("met"), (s["at"] + 1).alias("at"), F.when(s["met"] == 0, s["at"]).otherwise(s["first"]).alias("first"))).otherwise(F.struct(s["met"].alias("met"), (s["at"] + 1).alias("at"), s["first"].alias("first")))
-    done = F.aggregate("tokens", start, step, lambda s: s["met"] == 3)
-    return rows.select("id", done.alias("present"))
 
 
 @query("t19_abbreviations", "T19", "T24", sql=f"""WITH w AS (SELECT qid, unnest(regexp_extract_all(question, '\\b[A-Za-z][A-Za-z0-9&/-]*\\b')) AS w FROM query_plans)

@@ -23,8 +23,8 @@ def f2_typed_filters(spark, d):
     return rows.filter(hit & (c("page_number") <= 5) & (F.coalesce("page_end", "page_number") >= 2)).select("chunk_key", "page_number")
 
 
-@query("f4_exact_and", "F4", "F8", sql=f"""WITH {S.CHUNKS}, q AS (SELECT qid, list_slice(list_filter({S.terms_v5('question')}, lambda t: length(t) >= 3), 1, 3) AS t FROM query_plans)
-SELECT qid, chunk_key FROM q JOIN chunks ON len(t) > 0 AND contains(lower(text), t[1]) AND (len(t) < 2 OR contains(lower(text), t[2])) AND (len(t) < 3 OR contains(lower(text), t[3]))""")
+@query("f4_exact_and", "F4", "F8", sql=f"""WITH {S.CHUNKS}, q AS (SELECT qid, list_slice(list_filter({S.terms_v5('question')}, lambda t: length(t) >= 3), 1, 6) AS t FROM query_plans)
+SELECT qid, chunk_key FROM q JOIN chunks ON len(t) > 0 AND len(list_filter(t, lambda x: contains(lower(text), x))) = len(t)""")
 def f4_exact_and(spark, d):
     """Chunks with the first six terms of a question, table rows first, then by place."""
     asked = C.plans(spark, d).select("qid", F.slice(F.filter(T.terms_v5(c("question")), lambda t: F.length(t) >= 3), 1, 6).alias("terms"))
@@ -42,7 +42,7 @@ def f5_prefix_or(spark, d):
     return found.filter("matched >= 3")
 
 
-@query("f6_boolean_and", "F6", sql=f"""WITH {S.CHUNKS}, q AS (SELECT qid, list_slice(list_sort({S.priority_terms('question')}), 1, 3) AS t FROM query_plans), w AS (SELECT chunk_key, {S.terms_smart('text')} AS w FROM chunks)
+@query("f6_boolean_and", "F6", sql=f"""WITH {S.CHUNKS}, q AS (SELECT qid, list_slice(list_sort({S.priority_terms('question')}), 1, 5) AS t FROM query_plans), w AS (SELECT chunk_key, {S.terms_smart('text')} AS w FROM chunks)
 SELECT qid, chunk_key FROM q JOIN w ON len(t) > 0 AND list_has_all(w, t)""")
 def f6_boolean_and(spark, d):
     asked = C.plans(spark, d).select("qid", F.slice(F.array_sort(T.priority_terms(c("question"))), 1, 5).alias("terms"))

@@ -12,81 +12,6 @@ from tarnwick.sources import corpus as C
 
 c = F.col
 
-TERMS = [
-    (1, "The Automatic Train Operation (ATO) mode needs a clear track. ATO is checked daily."), (2, "SC means station controller, who keeps the key."), (3, "OCC (Operations Control Centre) informs the driver."),
-    (4, "Use of ATO (Automatic Train Operation) is recorded."), (5, "PSD - Platform Screen Door faults are rare."), (6, "A Traffic Order (XYZ) is not a definition."), (7, "ATO means alarm test officer in old papers."), (8, ""),
-]
-RULES = [(1, "Speed at least 25 km/h applies. Pressure more than 5 bar is unsafe."), (2, "Brake pressure below 3.5 bar stops the train, delay up to 30 seconds."), (3, "No number here."), (4, "speed less than 80 kmph")]
-FACTS = [(10, "speed", 30.0, "km/h"), (11, "speed", 20.0, "km/h"), (12, "pressure", 6.0, "bar"), (13, "brake pressure", 2.0, "bar"), (14, "speed", 90.0, "km/h")]
-AMENDMENTS = [
-    ("d1", 1, "General Rules, 1998 apply."), ("d1", 2, 'In rule 7, for the words "two bells", the words "three bells" shall be substituted.'), ("d1", 3, "The new text of the rule."), ("d1", 4, "Opening of Lines Rules, 1995 begin here."), ("d1", 5, "Old text."),
-    ("d2", 1, "Clause 12A shall be omitted."), ("d2", 2, "For section 4, the following shall be substituted"), ("d2", 3, "Section 4 reads anew."), ("d3", 1, "Nothing to see."),
-]
-SCOPES = [(1, "Line 04 and line-7 use RS-010 trains"), (2, "RS 2 on Line 2, RS-2 again"), (3, "no scope"), (4, None)]
-QUESTIONS = [(1, "What was the limit in 1998?"), (2, "What is the current limit after the 2004 amendment?"), (3, "Old rule before 2001 and 1999"), (4, "What is the limit?"), (5, "The 2003 list"), (6, "What applied during 2010?")]
-
-
-def _values(rows, names):
-    text = lambda v: "NULL" if v is None else str(v) if isinstance(v, (int, float)) else "'" + v.replace("'", "''") + "'"
-    return f"(SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(text, r)) + ')' for r in rows)}) v({', '.join(names)}))"
-
-
-@query("t20_terminology", "T20", "T21", "T22", "T55", "T56", "F10", sql=f"""WITH t AS {_values(TERMS, ['id', 'text'])},
-a AS (SELECT id, unnest(regexp_extract_all(text, '([A-Z][A-Za-z]+(?:[ /-](?:[A-Z][A-Za-z]+|of|and|the|for|to|in|on)){{1,7}}) \\(([A-Z][A-Z0-9]{{1,9}})\\)', 2)) AS alias, unnest(regexp_extract_all(text, '([A-Z][A-Za-z]+(?:[ /-](?:[A-Z][A-Za-z]+|of|and|the|for|to|in|on)){{1,7}}) \\(([A-Z][A-Z0-9]{{1,9}})\\)', 1)) AS name, 0.98 AS conf FROM t
- UNION ALL SELECT id, unnest(regexp_extract_all(text, '\\b([A-Z][A-Z0-9]{{1,9}}) \\(([A-Z][A-Za-z]+(?:[ /-](?:[A-Z][A-Za-z]+|of|and|the|for|to|in|on)){{1,7}})\\)', 1)), unnest(regexp_extract_all(text, '\\b([A-Z][A-Z0-9]{{1,9}}) \\(([A-Z][A-Za-z]+(?:[ /-](?:[A-Z][A-Za-z]+|of|and|the|for|to|in|on)){{1,7}})\\)', 2)), 0.98 FROM t
- UNION ALL SELECT id, unnest(regexp_extract_all(text, '\\b([A-Z][A-Z0-9]{{1,9}}) means ([A-Za-z]+(?: [A-Za-z]+){{1,7}})', 1)), unnest(regexp_extract_all(text, '\\b([A-Z][A-Z0-9]{{1,9}}) means ([A-Za-z]+(?: [A-Za-z]+){{1,7}})', 2)), 0.96 FROM t
- UNION ALL SELECT id, unnest(regexp_extract_all(text, '\\b([A-Z][A-Z0-9]{{1,9}}) [-–:] ([A-Z][A-Za-z]+(?:[ /-](?:[A-Z][A-Za-z]+|of|and|the|for|to|in|on)){{1,7}})', 1)), unnest(regexp_extract_all(text, '\\b([A-Z][A-Z0-9]{{1,9}}) [-–:] ([A-Z][A-Za-z]+(?:[ /-](?:[A-Z][A-Za-z]+|of|and|the|for|to|in|on)){{1,7}})', 2)), 0.97 FROM t),
-w AS (SELECT *, string_split(name, ' ') AS ws FROM a),
-p AS (SELECT id, alias, conf, array_to_string(ws[b:e], ' ') AS part, b, e, len(ws) AS n FROM w, generate_series(1, 9) x(b), generate_series(1, 9) y(e) WHERE b <= e AND e <= len(ws) AND (b = 1 OR e = len(ws))),
-f AS (SELECT *, row_number() OVER (PARTITION BY id, alias, conf ORDER BY CASE WHEN e = n THEN 0 ELSE 1 END, b DESC, e) AS r FROM p
- WHERE upper(array_to_string(list_transform(list_filter(regexp_split_to_array(part, '[\\s/-]+'), lambda x: x != ''), lambda x: left(x, 1)), '')) = alias
-  OR upper(array_to_string(list_transform(list_filter(regexp_split_to_array(part, '[\\s/-]+'), lambda x: NOT regexp_full_match(lower(x), 'of|and|the|for|to|in|on')), lambda x: left(x, 1)), '')) = alias)
-SELECT id, alias, part AS canonical, CAST(max(conf) AS DOUBLE) AS confidence FROM f WHERE r = 1 GROUP BY ALL""")
-def t20_terminology(spark, d):
-    return I.terminology(spark.createDataFrame(TERMS, "id int, text string"), "id", "text")
-
-
-@query("a1_dominant_terms", "A1", "A17", "Q9", "Q10", sql="""SELECT * FROM (VALUES ('ATO', 'automatic train operation', CAST(2 AS BIGINT), CAST(0.98 AS DOUBLE), false), ('OCC', 'operations control centre', 1, 0.98, false), ('PSD', 'platform screen door', 1, 0.97, false), ('SC', 'station controller', 1, 0.96, false)) v(alias, canonical, mentions, confidence, ambiguous)""")
-def a1_dominant_terms(spark, d):
-    return I.dominant_terms(I.terminology(spark.createDataFrame(TERMS, "id int, text string"), "id", "text"))
-
-
-@query("t28_numeric_rules", "T28", "T27", "T32", sql="""SELECT * FROM (VALUES (1, 'speed', '>=', CAST(25 AS DOUBLE), 'km/h'), (1, 'pressure', '>', 5, 'bar'), (2, 'brake pressure', '<', 3.5, 'bar'), (2, 'delay', '<=', 30, 's'), (4, 'speed', '<', 80, 'km/h')) v(id, subject, operator, threshold, unit)""")
-def t28_numeric_rules(spark, d):
-    return I.numeric_rules(spark.createDataFrame(RULES, "id int, text string"), "id", "text")
-
-
-@query("t30_rule_evaluation", "T30", "T31", "Q7", sql=f"""WITH facts AS {_values(FACTS, ['fact_id', 'subject', 'value', 'unit'])}, rules AS (SELECT * FROM (VALUES (1, 'speed', '>=', 25, 'km/h'), (1, 'pressure', '>', 5, 'bar'), (2, 'brake pressure', '<', 3.5, 'bar'), (2, 'delay', '<=', 30, 's'), (4, 'speed', '<', 80, 'km/h')) v(id, subject, operator, threshold, unit))
-SELECT fact_id, id, CAST(round(greatest(-0.35, least(0.45, sum(CASE WHEN (operator = '>=' AND value >= threshold) OR (operator = '>' AND value > threshold) OR (operator = '<=' AND value <= threshold) OR (operator = '<' AND value < threshold) THEN 0.32 ELSE -0.18 END))), 6) AS DOUBLE) AS score
-FROM facts JOIN rules USING (subject, unit) GROUP BY ALL""")
-def t30_rule_evaluation(spark, d):
-    facts = spark.createDataFrame(FACTS, "fact_id int, subject string, value double, unit string")
-    return I.rule_scores(facts, I.numeric_rules(spark.createDataFrame(RULES, "id int, text string"), "id", "text"), "fact_id", "id")
-
-
-@query("t33_directives", "T33", "T57", sql="""SELECT * FROM (VALUES ('d1', 2, 'replace_words', '7', 'two bells', 'three bells'), ('d2', 1, 'omit', '12A', NULL, NULL), ('d2', 2, 'replace_section', '4', NULL, NULL)) v(document_id, chunk_index, kind, target, old, new)""")
-def t33_directives(spark, d):
-    rows = spark.createDataFrame(AMENDMENTS, "document_id string, chunk_index int, text string").withColumn("at", F.struct("document_id", "chunk_index"))
-    return I.directives(rows, "at", "text").select("at.document_id", "at.chunk_index", "kind", "target", "old", "new")
-
-
-@query("t36_authority_status", "T34", "T35", "T36", sql="""SELECT * FROM (VALUES ('d1', 1, 'unknown'), ('d1', 2, 'current_explicit'), ('d1', 3, 'current_replacement'), ('d1', 4, 'historical_appended'), ('d1', 5, 'historical_appended'), ('d2', 1, 'unknown'), ('d2', 2, 'current_explicit'), ('d2', 3, 'current_replacement'), ('d3', 1, 'unknown')) v(document_id, chunk_index, authority_status)""")
-def t36_authority_status(spark, d):
-    rows = spark.createDataFrame(AMENDMENTS, "document_id string, chunk_index int, text string")
-    return I.authority_status(rows, "document_id", "chunk_index", "text").select("document_id", "chunk_index", "authority_status")
-
-
-@query("t26_scope_labels", "T26", "T51", "R28", sql=f"""WITH t AS {_values(SCOPES, ['id', 'text'])} SELECT id, array_to_string(list_sort(list_distinct(list_concat(
- list_transform(regexp_extract_all(text, '(?i)\\bline[- ]?0*([0-9]+)', 1), lambda n: 'LINE-' || n), list_transform(regexp_extract_all(text, '(?i)\\brs[- ]?0*([0-9]+)', 1), lambda n: 'RS-' || n)))), ',') AS scopes FROM t WHERE text IS NOT NULL""")
-def t26_scope_labels(spark, d):
-    rows = spark.createDataFrame(SCOPES, "id int, text string").filter("text IS NOT NULL")
-    return rows.select("id", F.array_join(I.scope_labels(c("text")), ",").alias("scopes"))
-
-
-@query("f25_explicit_year", "F25", sql="SELECT * FROM (VALUES (1, '1998'), (2, NULL), (3, '1999'), (4, NULL), (5, NULL), (6, '2010')) v(id, year)")
-def f25_explicit_year(spark, d):
-    return spark.createDataFrame(QUESTIONS, "id int, question string").select("id", T.explicit_year(c("question")).cast("string").alias("year"))
-
 
 @query("r4_authority_adjust", "R4", "R11", "F23", sql=f"""WITH {S.CANDIDATES}, {S.CHUNKS}, x AS (SELECT qid, chunk_key, coalesce(vector_score, 0) AS s, authority_sensitive AS a, CASE content_type WHEN 'list' THEN 'current_explicit' WHEN 'table_row' THEN 'superseded_explicit' WHEN 'figure' THEN 'historical_appended' ELSE 'unknown' END AS st FROM candidates JOIN query_plans USING (qid) JOIN (SELECT chunk_key, content_type FROM chunks) USING (chunk_key))
 SELECT qid, chunk_key, st AS status, round(CASE WHEN st LIKE 'current%' THEN least(1.0, s + CASE WHEN a THEN 0.16 ELSE 0.12 END) WHEN st LIKE 'superseded%' THEN greatest(0.0, s - 0.45) WHEN st = 'historical_appended' THEN greatest(0.0, s - 0.30) ELSE s END, 6) AS score FROM x""")

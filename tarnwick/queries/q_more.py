@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
@@ -17,44 +16,14 @@ from tarnwick.queries.q_rank import INDEX_SQL, ORDER_SQL, _scores
 from tarnwick.queries.registry import query
 from tarnwick.sources import corpus as C
 from tarnwick.sources import generations as G
+from tarnwick.session import shared_folder
 from tarnwick.sources import load
 
 c = F.col
-STATES = [(1, "VCB is open and the pantograph lowered"), (2, "Line voltage available; brakes isolated"), (3, "Traction not available"), (4, "nothing"), (5, "")]
-DURATIONS = [(1, "90"), (2, "1m30s"), (3, "250ms"), (4, "2h"), (5, "soon"), (6, "-3"), (7, "1.5s")]
-CELLS = [(1, "Column 1"), (2, "Signal aspect"), (3, "12"), (4, "(3)"), (5, "No"), (6, "Maximum permissible speed in km/h"), (7, ""), (8, "12 m")]
-BROKEN = [(1, "tt tT TT rT tt tt\nTT tt rt RT tt TT\nab ab cd ef ab ab\nnormal words stand here too"), (2, "All of the words of this line are well formed words\nand so are these"), (3, "")]
-LISTS = [(1, "The following modes, namely A and B"), (2, "Types, namely X"), (3, "the following signals are used"), (4, "no list")]
-
-
-@query("t29_states", "T29", sql="SELECT * FROM (VALUES (1, 'vcb=open,pantograph=lowered'), (2, 'line_voltage=available,brake=isolated'), (3, 'traction=not available'), (4, ''), (5, '')) v(id, states)")
-def t29_states(spark, d):
-    return spark.createDataFrame(STATES, "id int, text string").select("id", F.array_join(P.states(c("text")), ",").alias("states"))
-
-
-@query("t63_durations", "T63", sql="SELECT id, CAST(s AS DOUBLE) AS seconds FROM (VALUES (1, 90), (2, 90), (3, 0.25), (4, 7200), (6, 0), (7, 1.5)) v(id, s)")
-def t63_durations(spark, d):
-    rows = spark.createDataFrame(DURATIONS, "id int, text string").select("id", F.round(P.duration_seconds(c("text")), 6).alias("seconds"))
-    return rows.filter("seconds IS NOT NULL")
-
-
-@query("t50_enumeration_bonus", "T50", sql="SELECT id, CAST(b AS DOUBLE) AS bonus FROM (VALUES (1, 0.16), (2, 0.10), (3, 0.08), (4, 0)) v(id, b)")
-def t50_enumeration_bonus(spark, d):
-    return spark.createDataFrame(LISTS, "id int, text string").select("id", P.enumeration_bonus(c("text")).alias("bonus"))
-
-
-@query("l9_column_names", "L9", "L10", sql="SELECT id, CAST(s AS DOUBLE) AS score FROM (VALUES (1, 0), (2, 0.75), (3, 0), (4, 0), (5, 0.05), (6, 1.0), (7, 0), (8, 0.05)) v(id, s)")
-def l9_column_names(spark, d):
-    return spark.createDataFrame(CELLS, "id int, text string").select("id", F.round(P.column_name_score(c("text")), 6).alias("score"))
-
-
-@query("l22_corruption", "L22", sql="SELECT id, CAST(s AS DOUBLE) AS score FROM (VALUES (1, round(18 / 23.0 * 0.7 + 3 / 4.0 * 0.3, 6)), (2, 0), (3, 0)) v(id, s)")
-def l22_corruption(spark, d):
-    return spark.createDataFrame(BROKEN, "id int, text string").select("id", F.round(P.corruption(c("text")), 6).alias("score"))
 
 
 @query("t11_phrase_match", "T11", sql=f"""WITH {S.CANDIDATES}, {S.CHUNKS}, heads AS (SELECT chunk_key, lower(regexp_replace(section_path[len(section_path)], '^[0-9.]+ ', '')) AS head FROM chunks WHERE len(section_path) > 0)
-SELECT chunk_key, length({S.canonical_phrase('head')}) >= 4 AND contains({S.canonical_phrase('left(text, 12000)')}, {S.canonical_phrase('head')}) AS match FROM heads JOIN chunks USING (chunk_key)""")
+SELECT chunk_key, length({S.canonical_phrase('head')}) >= 4 AND contains({S.canonical_phrase('text')}, {S.canonical_phrase('head')}) AS match FROM heads JOIN chunks USING (chunk_key)""")
 def t11_phrase_match(spark, d):
     rows = C.chunks(spark, d, "text", "section_path").filter(F.size("section_path") > 0)
     head = F.lower(F.regexp_replace(F.element_at("section_path", -1), "^[0-9.]+ ", ""))
@@ -69,9 +38,20 @@ def w2_alias_rows(spark, d):
     return R.rank_in(rows, ["document_id"], order, "place").filter("place <= 3").select("document_id", "chunk_key", c("place").cast("long").alias("place"))
 
 
-BLEND = f"""WITH {INDEX_SQL}, {S.CANDIDATES}, k AS (SELECT qid, chunk_key, bm25 / (bm25 + 4.0) AS kw FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(bm25, 9) DESC, chunk_key) AS n FROM scored) WHERE n <= 40),
-x AS (SELECT qid, chunk_key, coalesce(vector_score, 0) AS v, coalesce(kw, 0) AS kw, {S.terms_smart('question')} AS q, {S.terms_smart('left(chunks.text, 12000)')} AS b, len(chunks.section_path) > 0 AS sec FROM candidates LEFT JOIN k USING (qid, chunk_key) JOIN query_plans USING (qid) JOIN chunks USING (chunk_key)),
-y AS (SELECT *, CASE WHEN len(q) = 0 THEN 0 ELSE len(list_intersect(q, b)) / len(q) END AS lex FROM x)"""
+_N, _LONG = S.canonical_phrase("question"), "len(string_split(n, ' ')) >= 2"
+
+
+def _stems(text: str) -> str:
+    return f"list_transform({S.bm25_tokens(text)}, lambda t: {S.stem('t', W.STEM_V5)})"
+
+
+STEMMED_SQL = INDEX_SQL.replace(S.bm25_tokens("text"), _stems("text")).replace(S.bm25_tokens("question"), _stems("question"))
+BLEND = f"""WITH {INDEX_SQL}, {S.CANDIDATES}, parts AS (SELECT chunk_key, {S.canonical_phrase('x')} AS p FROM (SELECT chunk_key, unnest(section_path) AS x FROM chunks)),
+a AS (SELECT qid, chunk_key, coalesce(vector_score, 0) AS v, coalesce(bm25 / (bm25 + 4.0), 0) AS kw, {S.terms_smart('question')} AS q, {S.terms_smart('text')} AS b, {_N} AS n, {S.canonical_phrase('text')} AS t
+  FROM candidates LEFT JOIN scored USING (qid, chunk_key) JOIN query_plans USING (qid) JOIN chunks USING (chunk_key)),
+s AS (SELECT qid, chunk_key, max(CASE WHEN p = '' OR length(n) < 3 THEN 0 WHEN p = n THEN 1 WHEN {_LONG} AND contains(' ' || p || ' ', ' ' || n || ' ') THEN 0.88
+  WHEN {_LONG} AND contains(' ' || n || ' ', ' ' || p || ' ') THEN 0.72 ELSE 0 END) AS section FROM a JOIN parts USING (chunk_key) GROUP BY ALL),
+y AS (SELECT qid, chunk_key, v, kw, CASE WHEN len(q) = 0 THEN 0 ELSE len(list_intersect(q, b)) / len(q) END AS lex, CASE WHEN length(n) >= 4 AND contains(t, n) THEN 1 ELSE 0 END AS phrase, CAST(coalesce(section, 0) AS DOUBLE) AS section FROM a LEFT JOIN s USING (qid, chunk_key))"""
 
 
 def _stemmed(text):
@@ -98,7 +78,9 @@ def _five_arms():
     return F.when(c("section") > 0, F.greatest(blended, 0.78 + c("section") * 0.18)).otherwise(blended)
 
 
-@query("r5_five_arm_blend", "R5", sql=BLEND + " SELECT qid, chunk_key, round(least(1.0, greatest(0.0, v * 0.36 + kw * 0.24 + lex * 0.18)), 6) AS score, round(least(0.93, 0.36 + 0.38 * kw + 0.20 * lex), 6) AS stemmed FROM y")
+@query("r5_five_arm_blend", "R5", "R6", sql=f"""WITH x AS (SELECT *, least(1.0, greatest(0.0, v * 0.36 + kw * 0.24 + lex * 0.18 + phrase * 0.10 + section * 0.12)) AS blend FROM ({BLEND} SELECT * FROM y)),
+o AS (WITH {STEMMED_SQL}, {S.CANDIDATES} SELECT qid, chunk_key, bm25 / (bm25 + 4.0) AS kw FROM scored JOIN candidates USING (qid, chunk_key))
+SELECT qid, chunk_key, round(CASE WHEN section > 0 THEN greatest(blend, 0.78 + section * 0.18) ELSE blend END + 1e-10, 6) AS score, round(least(0.93, 0.36 + 0.38 * coalesce(o.kw, 0) + 0.20 * lex), 6) AS stemmed FROM x LEFT JOIN o USING (qid, chunk_key)""")
 def r5_five_arm_blend(spark, d):
     return _blend(spark, d, True).select("qid", "chunk_key", F.round(_five_arms() + 1e-10, 6).alias("score"), F.round(F.least(F.lit(0.93), 0.36 + 0.38 * c("stem_kw") + 0.20 * c("lex")), 6).alias("stemmed"))
 
@@ -167,9 +149,8 @@ def s23_document_audit(spark, d):
 
 
 def _folder(spark) -> str:
-    """A folder that all executors share: beneath the checkpoint folder, or a temporary one on one machine."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{shared}/{uuid.uuid4().hex}" if shared else tempfile.mkdtemp(prefix="tarnwick-")
+    """A folder of its own that all executors share."""
+    return f"{shared_folder(spark)}/{uuid.uuid4().hex}"
 
 
 @query("s11_generations", "S10", "S11", "S12", "S20", sql=f"""WITH {S.CHUNKS} SELECT document_id, CASE WHEN min(page_number) > 1 OR document_id LIKE '0%' THEN 'r2' ELSE 'r1' END AS run_id, count(*) AS chunks FROM chunks GROUP BY document_id""")

@@ -106,29 +106,3 @@ def v1_hashing_embedding(spark, d):
     return hashing_embeddings(C.chunks(spark, d, "text"), "chunk_key", "text", 128)
 
 
-WORDS = [(1, 10.0, 30.0, "Signal"), (1, 34.0, 60.0, "aspect"), (1, 200.0, 230.0, "12"), (1, 233.0, 250.0, "bar"), (2, 5.0, 20.0, "only")]
-BOXES = [(1, 0.0, 0.0, 10.0, 10.0), (2, 5.0, 5.0, 15.0, 15.0), (3, 20.0, 20.0, 30.0, 30.0), (4, 0.0, 0.0, 2.0, 2.0)]
-TABLES = [("d", 1, 1, 300.0, 3), ("d", 2, 2, 60.0, 3), ("d", 3, 3, 50.0, 4), ("d", 4, 4, 500.0, 4), ("e", 1, 2, 10.0, 2), ("e", 3, 3, 10.0, 2)]
-
-
-@query("l2_line_segments", "L2", "L28", sql="SELECT * FROM (VALUES (1, CAST(0 AS BIGINT), CAST(10 AS DOUBLE), CAST(60 AS DOUBLE), 'Signal aspect'), (1, 1, 200, 250, '12 bar'), (2, 0, 5, 20, 'only')) v(line, segment, x0, x1, word)")
-def l2_line_segments(spark, d):
-    return L.segments(spark.createDataFrame(WORDS, "line int, x0 double, x1 double, word string"), ["line"], "x0", "x1", "word", 595.0)
-
-
-@query("l31_box_overlap", "L6", "L30", "L31", sql="SELECT * FROM (VALUES (1, 2, CAST(0.25 AS DOUBLE)), (1, 4, 1.0)) v(a, b, share)")
-def l31_box_overlap(spark, d):
-    boxes = spark.createDataFrame(BOXES, "id int, x0 double, y0 double, x1 double, y1 double").select("id", F.struct("x0", "y0", "x1", "y1").alias("box"))
-    # Boxes meet by the cells of a grid that they touch.
-    cell = 16.0
-    cells = lambda lo, hi: F.explode(F.sequence(F.floor(lo / cell), F.floor(hi / cell)))
-    placed = boxes.withColumn("cx", cells(c("box.x0"), c("box.x1"))).withColumn("cy", cells(c("box.y0"), c("box.y1")))
-    a, b = placed.select(c("id").alias("a"), c("box").alias("ba"), "cx", "cy"), placed.select(c("id").alias("b"), c("box").alias("bb"), "cx", "cy")
-    met = a.join(b, ["cx", "cy"]).filter("a < b").dropDuplicates(["a", "b"]).select("a", "b", L.overlap_of_smaller(c("ba"), c("bb")).alias("share"))
-    return met.filter("share > 0")
-
-
-@query("l7_multipage_tables", "L7", "L33", "L34", sql="SELECT * FROM (VALUES ('d', 1, CAST(1 AS BIGINT)), ('d', 2, 1), ('d', 3, 2), ('d', 4, 3), ('e', 1, 1), ('e', 3, 1)) v(document_id, page, whole)")
-def l7_multipage_tables(spark, d):
-    rows = spark.createDataFrame(TABLES, "document_id string, page int, page_end int, y0 double, columns int")
-    return L.multipage_tables(rows, "document_id").select("document_id", "page", "whole")

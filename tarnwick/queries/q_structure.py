@@ -28,15 +28,6 @@ def l18_repeated_margins(spark, d):
     return N.repeated_margins(rows, "filename", "page_id", "line", "place", "lines")
 
 
-HEADS = [("d", i, *r) for i, r in enumerate([(1, "One"), (0, "a"), (2, "One.A"), (0, "b"), (3, "deep"), (0, "c"), (2, "One.B"), (0, "d"), (1, "Two"), (0, "e"), (3, "skip"), (0, "f")], 1)] + [("e", 1, 0, "no heading"), ("e", 2, 2, "late"), ("e", 3, 0, "g")]
-
-
-@query("l16_heading_paths", "L16", "C2", sql="""SELECT * FROM (VALUES ('d', 1, 'One'), ('d', 2, 'One'), ('d', 3, 'One > One.A'), ('d', 4, 'One > One.A'), ('d', 5, 'One > One.A > deep'), ('d', 6, 'One > One.A > deep'), ('d', 7, 'One > One.B'), ('d', 8, 'One > One.B'), ('d', 9, 'Two'), ('d', 10, 'Two'), ('d', 11, 'Two > skip'), ('d', 12, 'Two > skip'), ('e', 1, ''), ('e', 2, 'late'), ('e', 3, 'late')) v(document_id, place, path)""")
-def l16_heading_paths(spark, d):
-    rows = spark.createDataFrame(HEADS, "document_id string, place int, level int, title string")
-    return N.heading_paths(rows, ["document_id"], ["place"], "level", "title").select("document_id", "place", F.array_join("section_path", " > ").alias("path"))
-
-
 @query("l14_heading_lines", "L13", "L14", "T53", sql=f"""WITH {S.PAGES}, l AS (SELECT page_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM pages WHERE text IS NOT NULL),
 t AS (SELECT page_id, n, trim(line) AS line FROM l), h AS (SELECT *, regexp_extract(line, '^([0-9]+(?:\\.[0-9]+)*)\\.? +[A-Z]', 1) AS num FROM t WHERE length(line) BETWEEN 4 AND 120)
 SELECT page_id, CAST(n AS INT) AS line_no, CASE WHEN num != '' THEN least(length(num) - length(replace(num, '.', '')) + 2, 8) ELSE 1 END AS level FROM h

@@ -60,7 +60,7 @@ def _pairs(spark, d):
 
 
 @query("t10_weighted_lexical", "T9", "T10", "T48", sql=f"""WITH {PAIRS}, t AS (
-  SELECT qid, chunk_key, {S.terms_smart('question')} AS q, {S.priority_terms('question')} AS p, {S.terms_smart('left(body, 12000)')} AS b FROM pairs)
+  SELECT qid, chunk_key, {S.terms_smart('question')} AS q, {S.priority_terms('question')} AS p, {S.terms_smart('body')} AS b FROM pairs)
 SELECT qid, chunk_key, round(CASE WHEN len(q) = 0 THEN 0 ELSE len(list_intersect(q, b)) / len(q) END, 6) AS lexical,
   round(CASE WHEN len(p) = 0 THEN CASE WHEN len(q) = 0 THEN 0 ELSE len(list_intersect(q, b)) / len(q) END
     ELSE least(1.0, len(list_intersect(p, b)) / len(p) * 0.74 + len(list_intersect(q, b)) / len(q) * 0.26) END, 6) AS weighted FROM t""")
@@ -114,8 +114,12 @@ def t18_document_codes(spark, d):
     return codes.groupBy("code").agg(F.count("*").alias("chunks"), F.min("chunk_key").alias("first_chunk"))
 
 
-@query("q6_value_lookup", "Q6", "Q1", sql=f"""SELECT qid, len(list_intersect({S.terms_smart('question')}, {S.listed(W.VALUE_DIMENSIONS)})) > 0 OR regexp_matches(lower(question), '\\b(how\\s+much|how\\s+many|at\\s+what\\s+speed|what\\s+speed|what\\s+limit|what\\s+pressure|what\\s+voltage)\\b') AS value_lookup,
-  (len(list_intersect({S.terms_smart('question')}, {S.listed(W.VALUE_DIMENSIONS)})) > 0 OR regexp_matches(lower(question), '\\b(how\\s+much|how\\s+many|at\\s+what\\s+speed|what\\s+speed|what\\s+limit|what\\s+pressure|what\\s+voltage)\\b'))
+_LINE = f"' ' || array_to_string({S.tokens('question', '[a-z0-9]+')}, ' ') || ' '"
+_ASKS = "(" + " OR ".join(f"contains({_LINE}, ' {word} {what} ')" for word, after in T.ASKS.items() for what in after) + ")"
+
+
+@query("q6_value_lookup", "Q6", "Q1", sql=f"""SELECT qid, len(list_intersect({S.terms_smart('question')}, {S.listed(W.VALUE_DIMENSIONS)})) > 0 OR {_ASKS} AS value_lookup,
+  (len(list_intersect({S.terms_smart('question')}, {S.listed(W.VALUE_DIMENSIONS)})) > 0 OR {_ASKS})
   AND len(list_intersect({S.tokens('question', '[a-z0-9]+')}, {S.listed(W.STRUCTURED_CUES)})) > 0 AS structured FROM query_plans""")
 def q6_value_lookup(spark, d):
     q = c("question")

@@ -18,6 +18,7 @@ def get_spark(app: str = "tarnwick", cpus: int | None = None, **extra: str) -> S
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.driver.memory", "8g")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
     )
@@ -26,16 +27,25 @@ def get_spark(app: str = "tarnwick", cpus: int | None = None, **extra: str) -> S
     return builder.getOrCreate()
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write `df` to the shared checkpoint folder and read it back from there.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share: the session's `spark.checkpoint.dir`, or what the context was given.
 
-    The folder is the session's `spark.checkpoint.dir`. Only where that is unset, as in tests
-    on one machine, a temporary folder is used.
+    Only a session whose executors all run on this machine may go without: it gets a temporary folder.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
-    if spark.conf.get("spark.checkpoint.dir", None) is None and context.getCheckpointDir() is None:
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="tarnwick-"))
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if named is None:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        named = tempfile.mkdtemp(prefix="tarnwick-")
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(named)
+    return named
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Write `df` to the shared checkpoint folder and read it back from there."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
