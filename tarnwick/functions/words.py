@@ -42,3 +42,26 @@ SINGULAR = (Suffix(4, ("ies",), 3, "y"), Suffix(3, ("sses", "shes", "ches", "xes
 #: Of the route stemmer the first three rules end it; the others are followed by the loss of a final e.
 STEM_ROUTE_LONG = (Suffix(7, ("ation",), 5), Suffix(6, ("tion",), 3), Suffix(6, ("ment",), 4))
 STEM_ROUTE_SHORT = (Suffix(5, ("ing",), 3), Suffix(4, ("ed",), 2, "", ("eed",)), Suffix(4, ("ies",), 3, "y"), _PLURAL)
+
+# Cues by which a question is understood ------------------------------------------------------------
+QUESTION_STARTS = ("can ", "could ", "do ", "does ", "explain ", "how ", "is ", "should ", "tell me ", "what ", "when ", "where ", "which ", "who ", "why ")
+FOLLOWUP_STARTS = ("and ", "also ", "how about ", "same for ", "what about ", "what if ")
+POINTING = "it that this same those them they there these".split()
+REFERENCE_ACTIONS = "find mention mentioned mentions occurrence occurrences reference references search".split()
+ANSWER_CUES = (
+    "allowed amount capacity condition conditions date distance duration explain frequency height information info item items equipment equipments contents content carry carried keep kept possession required "
+    "instruction instructions length limit limits maximum minimum number policy pressure procedure prohibited requirement requirements rule rules speed step steps temperature time timing value voltage weight"
+).split()
+ENUMERATION = "categories classes forms kinds methods modes types ways".split()
+GOODS = "content contents equipment equipments item items inventory inventories things".split()
+LIST_DIMENSIONS = [*GOODS, "document", "documents", *ENUMERATION]
+LIST_RELATIONS = "carry carried contain contained contains have include included includes keep kept possession required".split()
+SYNTHESIS_INTENTS = "comparison list procedure requirement summary troubleshooting".split()
+REQUEST_VERBS = "clarify describe explain give list provide show summarize tell".split()
+LEANING = "above applicable detail details general more previous procedure same then".split()
+FOCUS_STOP = (
+    "a about all an and are as at be by can could do does for from give how i in is it me of on or please provide applicable general then should that the this to was were what when where which who why with would"
+).split()
+REFERENCES = ["document", "documents", "docs", *REFERENCE_ACTIONS]
+PROCEDURE_WORDS = "procedure procedures sop instruction instructions operation operating isolation reset inspection maintenance troubleshooting fault failure emergency evacuation recovery test check checks".split()
+STOCK_WORDS = ("rolling stock", "train type", "trainset", "train set", "metro train", "emu", "dmrc", "rs", "vehicle type", "coach", "car")

@@ -17,7 +17,7 @@ from tarnwick.sources import corpus as C
 c = F.col
 
 
-@query("t19_abbreviations", "T19", "T24", sql=f"""WITH w AS (SELECT qid, unnest(regexp_extract_all(question, '\\b[A-Za-z][A-Za-z0-9&/-]*\\b')) AS w FROM query_plans)
+@query("t19_abbreviations", "T19", sql=f"""WITH w AS (SELECT qid, unnest(regexp_extract_all(question, '\\b[A-Za-z][A-Za-z0-9&/-]*\\b')) AS w FROM query_plans)
 SELECT qid, array_to_string(list_sort(list_distinct(list(lower(w)))), ' ') AS abbreviations FROM w WHERE ((upper(w) = w AND regexp_matches(w, '[A-Z]')) OR regexp_full_match(w, '[A-Za-z]{{2,4}}'))
  AND lower(w) NOT IN ({", ".join(f"'{x}'" for x in "the and for with from this that what when where which how are is in on of to an or by as be do does can who why has had was were may not near must at it".split())}) GROUP BY qid""")
 def t19_abbreviations(spark, d):
@@ -25,20 +25,20 @@ def t19_abbreviations(spark, d):
     return found.filter("abbreviations != ''")
 
 
-@query("t44_document_units", "T44", "R26", sql=f"""WITH {S.CHUNKS}, u AS (SELECT chunk_key, unnest(string_split(text, chr(10))) AS u FROM chunks WHERE content_type = 'list') SELECT chunk_key, count(*) AS units FROM u WHERE trim(u) != '' GROUP BY chunk_key""")
+@query("t44_document_units", "T44", sql=f"""WITH {S.CHUNKS}, u AS (SELECT chunk_key, unnest(string_split(text, chr(10))) AS u FROM chunks WHERE content_type = 'list') SELECT chunk_key, count(*) AS units FROM u WHERE trim(u) != '' GROUP BY chunk_key""")
 def t44_document_units(spark, d):
     rows = C.chunks(spark, d, "content_type", "text").filter("content_type = 'list'")
     return rows.select("chunk_key", F.size(F.filter(F.split("text", "\n"), lambda u: F.trim(u) != "")).cast("long").alias("units")).filter("units > 0")
 
 
-@query("t61_answer_format", "T61", "R39", sql=f"""WITH {S.AUDIT} SELECT id, len(regexp_extract_all(response, '(?m)^\\s*(?:[-*]|[0-9]+[.)])\\s')) AS bullets, len(regexp_extract_all(response, '(?m)^\\s*(?:[-*]|[0-9]+[.)])\\s')) = 0 OR length(response) > 5000 AS needs_repair FROM audit WHERE response IS NOT NULL""")
+@query("t61_answer_format", "T61", sql=f"""WITH {S.AUDIT} SELECT id, len(regexp_extract_all(response, '(?m)^\\s*(?:[-*]|[0-9]+[.)])\\s')) AS bullets, len(regexp_extract_all(response, '(?m)^\\s*(?:[-*]|[0-9]+[.)])\\s')) = 0 OR length(response) > 5000 AS needs_repair FROM audit WHERE response IS NOT NULL""")
 def t61_answer_format(spark, d):
     bullets = F.regexp_count("response", F.lit(r"(?m)^\s*(?:[-*]|[0-9]+[.)])\s")).cast("long")
     rows = C.audit(spark, d).filter("response IS NOT NULL")
     return rows.select("id", bullets.alias("bullets"), ((bullets == 0) | (F.char_length("response") > 5000)).alias("needs_repair"))
 
 
-@query("t30b_token_similarity", "T30b", "T62", sql=f"""WITH {S.CANDIDATES}, {S.CHUNKS}, t AS (SELECT qid, chunk_key, {S.terms_smart('question')} AS q, {S.terms_smart('chunks.text')} AS b FROM candidates JOIN query_plans USING (qid) JOIN chunks USING (chunk_key))
+@query("t30b_token_similarity", "T30b", sql=f"""WITH {S.CANDIDATES}, {S.CHUNKS}, t AS (SELECT qid, chunk_key, {S.terms_smart('question')} AS q, {S.terms_smart('chunks.text')} AS b FROM candidates JOIN query_plans USING (qid) JOIN chunks USING (chunk_key))
 SELECT qid, chunk_key, round(CASE WHEN least(len(q), len(b)) = 0 THEN 0 ELSE len(list_intersect(q, b)) / least(len(q), len(b)) END, 6) AS overlap FROM t""")
 def t30b_token_similarity(spark, d):
     rows = C.candidates(spark, d).select("qid", "chunk_key").join(C.plans(spark, d).select("qid", "question"), "qid").join(C.chunks(spark, d, "text"), "chunk_key")
@@ -47,7 +47,7 @@ def t30b_token_similarity(spark, d):
     return rows.select("qid", "chunk_key", F.round(F.when(smaller > 0, T.shared(q, b) / smaller).otherwise(0.0), 6).alias("overlap"))
 
 
-@query("j19_filename_coverage", "J19", "T15", "R17", sql=f"""WITH {S.FILES}, f AS (SELECT document_id, {S.terms_smart("regexp_replace(filename, '\\.[Pp][Dd][Ff]$', '')")} AS n FROM files), q AS (SELECT qid, {S.terms_smart('question')} AS t FROM query_plans)
+@query("j19_filename_coverage", "J19", "T15", sql=f"""WITH {S.FILES}, f AS (SELECT document_id, {S.terms_smart("regexp_replace(filename, '\\.[Pp][Dd][Ff]$', '')")} AS n FROM files), q AS (SELECT qid, {S.terms_smart('question')} AS t FROM query_plans)
 SELECT qid, document_id, len(list_intersect(t, n)) AS shared, round(len(list_intersect(t, n)) / len(n), 6) AS coverage FROM q JOIN f ON len(list_intersect(t, n)) >= 2""")
 def j19_filename_coverage(spark, d):
     names = C.files(spark, d).select("document_id", T.terms_smart(F.regexp_replace("filename", r"(?i)\.pdf$", "")).alias("n"))
@@ -69,7 +69,7 @@ def c6_table_pieces(spark, d):
     return K.by_group(rows, ["chunk_key"], [], schema, lambda r: [{"chunk_key": x["chunk_key"], "piece": i, "body": p} for x in r for i, p in enumerate(K.table_pieces(x["text"], 900))])
 
 
-@query("c9_long_units", "C7", "C9", "T54")
+@query("c9_long_units", "C9", "T54")
 def c9_long_units(spark, d):
     rows = C.chunks(spark, d, "content_type", "text").filter("content_type = 'text'").select("chunk_key", "text")
     schema = Ty.StructType([rows.schema["chunk_key"], Ty.StructField("piece", Ty.IntegerType()), Ty.StructField("body", Ty.StringType())])

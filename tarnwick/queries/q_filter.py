@@ -34,7 +34,7 @@ def f4_exact_and(spark, d):
     return found.join(places, "chunk_key").orderBy("qid", *order).select("qid", "chunk_key")
 
 
-@query("f5_prefix_or", "F5", "R7", sql=f"""WITH {S.CHUNKS}, q AS (SELECT qid, unnest({S.terms_v5('question')}) AS t FROM query_plans), w AS (SELECT chunk_key, unnest(list_distinct({S.tokens('text', '[a-z0-9]+')})) AS w FROM chunks)
+@query("f5_prefix_or", "F5", sql=f"""WITH {S.CHUNKS}, q AS (SELECT qid, unnest({S.terms_v5('question')}) AS t FROM query_plans), w AS (SELECT chunk_key, unnest(list_distinct({S.tokens('text', '[a-z0-9]+')})) AS w FROM chunks)
 SELECT qid, chunk_key, count(DISTINCT t) AS matched FROM q JOIN w ON (length(t) > 3 AND starts_with(w, t)) OR w = t GROUP BY ALL HAVING count(DISTINCT t) >= 3""")
 def f5_prefix_or(spark, d):
     asked = C.plans(spark, d).select("qid", F.explode(T.terms_v5(c("question"))).alias("term"))
@@ -84,7 +84,7 @@ def f17_reverse_containment(spark, d):
     return X.contained_phrases(C.plans(spark, d).select("qid", "question"), "qid", "question", terms, "canonical")
 
 
-@query("f18_audit_filters", "F18", "S15", sql=f"""WITH {S.AUDIT} SELECT id, event_type, left(question, 40) AS question FROM (
+@query("f18_audit_filters", "F18", sql=f"""WITH {S.AUDIT} SELECT id, event_type, left(question, 40) AS question FROM (
   SELECT *, row_number() OVER (ORDER BY created_at DESC, id) AS n FROM audit WHERE success AND actor_email ILIKE '%example%') WHERE n > 10 AND n <= 60""")
 def f18_audit_filters(spark, d):
     rows = C.audit(spark, d).filter(c("success") & c("actor_email").ilike("%example%"))
@@ -92,7 +92,7 @@ def f18_audit_filters(spark, d):
     return page.select("id", "event_type", F.substring("question", 1, 40).alias("question"))
 
 
-@query("f19_low_information", "F19", "L24", sql=f"WITH {S.CHUNKS} SELECT chunk_key, length(regexp_replace(text, '[^A-Za-z0-9]', '', 'g')) AS alnum, length(regexp_replace(text, '[^A-Za-z0-9]', '', 'g')) < 120 AS low FROM chunks")
+@query("f19_low_information", "F19", sql=f"WITH {S.CHUNKS} SELECT chunk_key, length(regexp_replace(text, '[^A-Za-z0-9]', '', 'g')) AS alnum, length(regexp_replace(text, '[^A-Za-z0-9]', '', 'g')) < 120 AS low FROM chunks")
 def f19_low_information(spark, d):
     alnum = F.length(F.regexp_replace("text", "[^A-Za-z0-9]", "")).cast("long")
     return C.chunks(spark, d, "text").select("chunk_key", alnum.alias("alnum"), (alnum < 120).alias("low"))

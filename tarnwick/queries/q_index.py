@@ -13,7 +13,7 @@ from tarnwick.sources import corpus as C
 c = F.col
 
 
-@query("r4_authority_adjust", "R4", "R11", "F23", sql=f"""WITH {S.CANDIDATES}, {S.CHUNKS}, x AS (SELECT qid, chunk_key, coalesce(vector_score, 0) AS s, authority_sensitive AS a, CASE content_type WHEN 'list' THEN 'current_explicit' WHEN 'table_row' THEN 'superseded_explicit' WHEN 'figure' THEN 'historical_appended' ELSE 'unknown' END AS st FROM candidates JOIN query_plans USING (qid) JOIN (SELECT chunk_key, content_type FROM chunks) USING (chunk_key))
+@query("r4_authority_adjust", "R4", "R11", sql=f"""WITH {S.CANDIDATES}, {S.CHUNKS}, x AS (SELECT qid, chunk_key, coalesce(vector_score, 0) AS s, authority_sensitive AS a, CASE content_type WHEN 'list' THEN 'current_explicit' WHEN 'table_row' THEN 'superseded_explicit' WHEN 'figure' THEN 'historical_appended' ELSE 'unknown' END AS st FROM candidates JOIN query_plans USING (qid) JOIN (SELECT chunk_key, content_type FROM chunks) USING (chunk_key))
 SELECT qid, chunk_key, st AS status, round(CASE WHEN st LIKE 'current%' THEN least(1.0, s + CASE WHEN a THEN 0.16 ELSE 0.12 END) WHEN st LIKE 'superseded%' THEN greatest(0.0, s - 0.45) WHEN st = 'historical_appended' THEN greatest(0.0, s - 0.30) ELSE s END, 6) AS score FROM x""")
 def r4_authority_adjust(spark, d):
     rows = C.candidates(spark, d).join(C.plans(spark, d).select("qid", "authority_sensitive"), "qid").join(C.chunks(spark, d, "content_type"), "chunk_key")

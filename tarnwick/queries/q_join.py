@@ -42,7 +42,7 @@ def j7_parent_neighbours(spark, d):
     return near.groupBy("qid", "chunk_key").agg(F.round(F.max(F.greatest(F.lit(0.35), 0.9 - 0.07 * c("distance"))), 6).alias("score"))
 
 
-@query("j5_as_of_anchor", "J5", "T58", sql=f"""WITH {S.CHUNKS}, a AS (SELECT chunk_key, document_id, chunk_index, CASE WHEN regexp_matches(text, '^(Entry|Unless)') THEN chunk_key END AS anchor FROM chunks)
+@query("j5_as_of_anchor", "J5", sql=f"""WITH {S.CHUNKS}, a AS (SELECT chunk_key, document_id, chunk_index, CASE WHEN regexp_matches(text, '^(Entry|Unless)') THEN chunk_key END AS anchor FROM chunks)
 SELECT chunk_key, CAST((SELECT arg_max(b.anchor, b.chunk_index) FROM a b WHERE b.document_id = a.document_id AND b.anchor IS NOT NULL AND b.chunk_index BETWEEN a.chunk_index - 6 AND a.chunk_index) AS VARCHAR) AS anchor FROM a""")
 def j5_as_of_anchor(spark, d):
     rows = C.chunks(spark, d, "document_id", "chunk_index", "text").withColumn("is_anchor", c("text").rlike("^(Entry|Unless)"))
@@ -63,13 +63,13 @@ def j15_semi_join(spark, d):
     return C.files(spark, d).join(tables, "document_id", "left_semi").select("document_id", "filename")
 
 
-@query("j16_anti_join", "J16", "S14", "S19", sql=f"WITH {S.FILES}, {S.CHUNKS} SELECT document_id, filename FROM files WHERE NOT EXISTS (SELECT 1 FROM chunks k WHERE k.document_id = files.document_id AND k.content_type = 'table')")
+@query("j16_anti_join", "J16", sql=f"WITH {S.FILES}, {S.CHUNKS} SELECT document_id, filename FROM files WHERE NOT EXISTS (SELECT 1 FROM chunks k WHERE k.document_id = files.document_id AND k.content_type = 'table')")
 def j16_anti_join(spark, d):
     tables = C.chunks(spark, d, "document_id", "content_type").filter("content_type = 'table'")
     return C.files(spark, d).join(tables, "document_id", "left_anti").select("document_id", "filename")
 
 
-@query("j10_enumeration_siblings", "J10", "J11", sql=f"""WITH {S.CANDIDATES}, {S.CHUNKS}, seeds AS (SELECT qid, chunks.document_id, chunks.heading, chunks.page_number FROM candidates JOIN chunks USING (chunk_key))
+@query("j10_enumeration_siblings", "J10", sql=f"""WITH {S.CANDIDATES}, {S.CHUNKS}, seeds AS (SELECT qid, chunks.document_id, chunks.heading, chunks.page_number FROM candidates JOIN chunks USING (chunk_key))
 SELECT DISTINCT qid, k.chunk_key FROM seeds s JOIN chunks k ON k.document_id = s.document_id AND (k.heading = s.heading OR (k.content_type = 'table_row' AND abs(k.page_number - s.page_number) <= 1))""")
 def j10_enumeration_siblings(spark, d):
     chunks = C.chunks(spark, d, "document_id", "heading", "page_number", "content_type")
@@ -94,7 +94,7 @@ def j17_reference_hop(spark, d):
     return codes.withColumn("key", last).join(grams, "key").filter(F.contains(c("name"), c("code")) & (c("from_document") != c("to_document"))).select("from_document", "to_document", "code").distinct()
 
 
-@query("j12_lateral_definition", "J12", "J20", "A7", sql=f"""WITH {S.CHUNKS} SELECT document_id, heading, chunk_key, page_number FROM (
+@query("j12_lateral_definition", "J12", "A7", sql=f"""WITH {S.CHUNKS} SELECT document_id, heading, chunk_key, page_number FROM (
   SELECT *, row_number() OVER (PARTITION BY document_id, heading ORDER BY page_number, chunk_index, chunk_key) AS n FROM chunks WHERE heading IS NOT NULL) WHERE n = 1""")
 def j12_heading_catalog(spark, d):
     rows = C.chunks(spark, d, "document_id", "heading", "page_number", "chunk_index").filter("heading IS NOT NULL")
@@ -102,7 +102,7 @@ def j12_heading_catalog(spark, d):
     return first.select("document_id", "heading", c("f.chunk_key").alias("chunk_key"), c("f.page_number").alias("page_number"))
 
 
-@query("f20_window_coverage", "W18", "W20", "R14", "F22", sql=f"""WITH {S.CHUNKS}, t AS (SELECT chunk_key, document_id, chunk_index, {S.terms_smart('text')} AS terms FROM chunks)
+@query("f20_window_coverage", "W18", "W20", sql=f"""WITH {S.CHUNKS}, t AS (SELECT chunk_key, document_id, chunk_index, {S.terms_smart('text')} AS terms FROM chunks)
 SELECT a.chunk_key, count(DISTINCT x.term) AS local_terms FROM t a JOIN (SELECT document_id, chunk_index, unnest(terms) AS term FROM t) x
   ON x.document_id = a.document_id AND x.chunk_index BETWEEN a.chunk_index - 2 AND a.chunk_index + 2 GROUP BY a.chunk_key""")
 def f20_window_coverage(spark, d):

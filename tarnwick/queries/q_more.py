@@ -30,7 +30,7 @@ def t11_phrase_match(spark, d):
     return rows.select("chunk_key", (T.phrase_match(head, c("text")) == 1.0).alias("match"))
 
 
-@query("w2_alias_rows", "W2", "W5", "F20", sql=f"""WITH {S.CHUNKS}, h AS (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY CASE WHEN content_type = 'table_row' THEN 0 ELSE 1 END, CASE WHEN heading IS NOT NULL THEN 0 ELSE 1 END, page_number, chunk_index, chunk_key) AS n FROM chunks WHERE regexp_matches(text, '(^|[^A-Za-z0-9])(signal|door)([^A-Za-z0-9]|$)'))
+@query("w2_alias_rows", "W2", "W5", sql=f"""WITH {S.CHUNKS}, h AS (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY CASE WHEN content_type = 'table_row' THEN 0 ELSE 1 END, CASE WHEN heading IS NOT NULL THEN 0 ELSE 1 END, page_number, chunk_index, chunk_key) AS n FROM chunks WHERE regexp_matches(text, '(^|[^A-Za-z0-9])(signal|door)([^A-Za-z0-9]|$)'))
 SELECT document_id, chunk_key, n AS place FROM h WHERE n <= 3""")
 def w2_alias_rows(spark, d):
     rows = C.chunks(spark, d, "document_id", "content_type", "heading", "page_number", "chunk_index", "text").filter(c("text").rlike("(^|[^A-Za-z0-9])(signal|door)([^A-Za-z0-9]|$)"))
@@ -85,7 +85,7 @@ def r5_five_arm_blend(spark, d):
     return _blend(spark, d, True).select("qid", "chunk_key", F.round(_five_arms() + 1e-10, 6).alias("score"), F.round(F.least(F.lit(0.93), 0.36 + 0.38 * c("stem_kw") + 0.20 * c("lex")), 6).alias("stemmed"))
 
 
-@query("r8_smart_blend", "R8", "R25", sql=BLEND + " SELECT qid, chunk_key, round(least(1.0, v * 0.46 + kw * 0.30 + lex * 0.24 + 1e-10), 6) AS score, round(least(1.0, 0.42 + 0.38 * kw + 0.20 * lex + 1e-10), 6) AS scan FROM y")
+@query("r8_smart_blend", "R8", sql=BLEND + " SELECT qid, chunk_key, round(least(1.0, v * 0.46 + kw * 0.30 + lex * 0.24 + 1e-10), 6) AS score, round(least(1.0, 0.42 + 0.38 * kw + 0.20 * lex + 1e-10), 6) AS scan FROM y")
 def r8_smart_blend(spark, d):
     return _blend(spark, d).select("qid", "chunk_key", F.round(F.least(F.lit(1.0), c("v") * 0.46 + c("kw") * 0.30 + c("lex") * 0.24 + 1e-10), 6).alias("score"), F.round(F.least(F.lit(1.0), 0.42 + 0.38 * c("kw") + 0.20 * c("lex") + 1e-10), 6).alias("scan"))
 
@@ -113,7 +113,7 @@ def r9_corpus_scan(spark, d):
     return found.unionByName(best).groupBy("qid", "chunk_key").agg(F.round(F.max("score") + 1e-10, 6).alias("score"))
 
 
-@query("r18_scoped_candidates", "R18", "R20", sql=f"""WITH {S.CANDIDATES}, r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY {ORDER_SQL}) AS rank FROM candidates), d AS (SELECT qid, document_id, max(coalesce(vector_score, 0)) AS route FROM candidates GROUP BY ALL)
+@query("r18_scoped_candidates", "R18", sql=f"""WITH {S.CANDIDATES}, r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY {ORDER_SQL}) AS rank FROM candidates), d AS (SELECT qid, document_id, max(coalesce(vector_score, 0)) AS route FROM candidates GROUP BY ALL)
 SELECT qid, chunk_key, round(0.54 * coalesce(vector_score, 0) + 0.24 * route + 0.22 / (1 + rank / 8.0), 6) AS score FROM r JOIN d USING (qid, document_id)""")
 def r18_scoped_candidates(spark, d):
     ranked = R.rank_in(C.candidates(spark, d), ["qid"], R.canonical_order())
@@ -122,7 +122,7 @@ def r18_scoped_candidates(spark, d):
     return rows.select("qid", "chunk_key", F.round(0.54 * v + 0.24 * c("route") + 0.22 / (1 + c("rank") / 8.0), 6).alias("score"))
 
 
-@query("r40_backbone", "R40", "Q8", "Q16", sql="""SELECT qid, coalesce(intent IN ('procedure', 'troubleshooting', 'requirement'), false) OR regexp_matches(question, '[A-Z]{2}-[0-9]+') AS backbone, trim(regexp_replace(regexp_replace(question, '[0-9]+', '', 'g'), '\\s+', ' ', 'g')) AS relaxed,
+@query("r40_backbone", "R40", "Q8", sql="""SELECT qid, coalesce(intent IN ('procedure', 'troubleshooting', 'requirement'), false) OR regexp_matches(question, '[A-Z]{2}-[0-9]+') AS backbone, trim(regexp_replace(regexp_replace(question, '[0-9]+', '', 'g'), '\\s+', ' ', 'g')) AS relaxed,
  length(question) <= 900 AND length(question) > 0 AS safe FROM query_plans""")
 def r40_backbone(spark, d):
     q = c("question")
@@ -131,7 +131,7 @@ def r40_backbone(spark, d):
     return C.plans(spark, d).select("qid", (procedural | q.rlike("[A-Z]{2}-[0-9]+")).alias("backbone"), relaxed.alias("relaxed"), F.char_length(q).between(1, 900).alias("safe"))
 
 
-@query("r29_valid_claims", "R29", "R34", "Q19", sql=f"""WITH {S.AUDIT}, s AS (SELECT id, unnest(list_distinct(list_transform(regexp_extract_all(response, '\\[S([0-9]+)\\]', 1), lambda n: CAST(n AS INT)))) AS source_no FROM audit WHERE response IS NOT NULL), valid AS (SELECT unnest([1, 2, 3, 4]) AS source_no)
+@query("r29_valid_claims", "R29", "R34", sql=f"""WITH {S.AUDIT}, s AS (SELECT id, unnest(list_distinct(list_transform(regexp_extract_all(response, '\\[S([0-9]+)\\]', 1), lambda n: CAST(n AS INT)))) AS source_no FROM audit WHERE response IS NOT NULL), valid AS (SELECT unnest([1, 2, 3, 4]) AS source_no)
 SELECT id, count(*) FILTER (WHERE source_no IN (SELECT source_no FROM valid)) AS valid, count(*) AS cited FROM s GROUP BY id""")
 def r29_valid_claims(spark, d):
     rows = C.audit(spark, d).filter("response IS NOT NULL")
@@ -141,7 +141,7 @@ def r29_valid_claims(spark, d):
     return cited.join(F.broadcast(valid), "source_no", "left").groupBy("id").agg(F.count_if(c("ok")).alias("valid"), F.count("*").alias("cited"))
 
 
-@query("s23_document_audit", "S23", "S18", "S24", sql=f"""WITH {S.CHUNKS}, {S.FILES} SELECT f.filename, chunk_key, k.page_number, strpos(lower(text), 'register') AS at FROM chunks k JOIN files f USING (document_id) WHERE f.filename LIKE '%Operating%' AND contains(lower(text), 'register')""")
+@query("s23_document_audit", "S23", sql=f"""WITH {S.CHUNKS}, {S.FILES} SELECT f.filename, chunk_key, k.page_number, strpos(lower(text), 'register') AS at FROM chunks k JOIN files f USING (document_id) WHERE f.filename LIKE '%Operating%' AND contains(lower(text), 'register')""")
 def s23_document_audit(spark, d):
     named = C.files(spark, d).filter(c("filename").like("%Operating%")).select("document_id", "filename")
     rows = C.chunks(spark, d, "document_id", "page_number", "text").filter(F.contains(F.lower("text"), F.lit("register")))
@@ -153,7 +153,7 @@ def _folder(spark) -> str:
     return f"{shared_folder(spark)}/{uuid.uuid4().hex}"
 
 
-@query("s11_generations", "S10", "S11", "S12", "S20", sql=f"""WITH {S.CHUNKS} SELECT document_id, CASE WHEN min(page_number) > 1 OR document_id LIKE '0%' THEN 'r2' ELSE 'r1' END AS run_id, count(*) AS chunks FROM chunks GROUP BY document_id""")
+@query("s11_generations", "S10", "S11", sql=f"""WITH {S.CHUNKS} SELECT document_id, CASE WHEN min(page_number) > 1 OR document_id LIKE '0%' THEN 'r2' ELSE 'r1' END AS run_id, count(*) AS chunks FROM chunks GROUP BY document_id""")
 def s11_generations(spark, d):
     counts = C.chunks(spark, d, "document_id", "page_number").groupBy("document_id").agg(F.count("*").alias("chunks"), F.min("page_number").alias("first"))
     root = _folder(spark)

@@ -89,7 +89,7 @@ def a11_section_rollup(spark, d):
 METHOD = "lower(regexp_replace(retrieval_method, '[^A-Za-z]+', '+', 'g'))"
 
 
-@query("a20_document_signals", "A20", "A21", "R31", "R16", sql=f"""WITH {S.CANDIDATES} SELECT qid, document_id, max(vector_score) AS vector, max(keyword_score) AS keyword, count(*) AS hits, count(DISTINCT {METHOD}) AS methods, min(page_number) AS first_page,
+@query("a20_document_signals", "A20", "A21", "R16", sql=f"""WITH {S.CANDIDATES} SELECT qid, document_id, max(vector_score) AS vector, max(keyword_score) AS keyword, count(*) AS hits, count(DISTINCT {METHOD}) AS methods, min(page_number) AS first_page,
 CASE WHEN count(*) >= 3 AND max(vector_score) >= 0.5 THEN 'deep' WHEN count(*) >= 2 THEN 'routed' ELSE 'incidental' END AS decision FROM candidates GROUP BY ALL""")
 def a20_document_signals(spark, d):
     method = F.lower(F.regexp_replace("retrieval_method", "[^A-Za-z]+", "+"))
@@ -98,7 +98,7 @@ def a20_document_signals(spark, d):
     return signals.withColumn("decision", decision)
 
 
-@query("r10_route_documents", "R10", "R19", "R21", sql=f"""WITH {S.CANDIDATES}, s AS (SELECT qid, document_id, sum(0.24 / (6 + rank)) + max(coalesce(vector_score, 0)) * 0.5 AS signal FROM (
+@query("r10_route_documents", "R10", sql=f"""WITH {S.CANDIDATES}, s AS (SELECT qid, document_id, sum(0.24 / (6 + rank)) + max(coalesce(vector_score, 0)) * 0.5 AS signal FROM (
   SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC NULLS LAST, lower(filename), page_number, coalesce(chunk_index, -1), chunk_id) AS rank FROM candidates) GROUP BY ALL),
 n AS (SELECT qid, document_id, round(signal / max(signal) OVER (PARTITION BY qid), 6) AS route FROM s)
 SELECT qid, document_id, route, place FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY route DESC, document_id) AS place FROM n) WHERE place <= 8""")
@@ -112,7 +112,7 @@ def r10_route_documents(spark, d):
     return best.withColumn("place", c("place").cast("long"))
 
 
-@query("w21_history_window", "W21", "W30", "R42", sql=f"""WITH {S.AUDIT}, t AS (SELECT id, chat_session_id, created_at, least(length(question) + coalesce(length(response), 0), 1200) AS n FROM audit WHERE question IS NOT NULL AND chat_session_id IS NOT NULL),
+@query("w21_history_window", "W21", "W30", sql=f"""WITH {S.AUDIT}, t AS (SELECT id, chat_session_id, created_at, least(length(question) + coalesce(length(response), 0), 1200) AS n FROM audit WHERE question IS NOT NULL AND chat_session_id IS NOT NULL),
 r AS (SELECT *, row_number() OVER w AS turn, sum(n) OVER (PARTITION BY chat_session_id ORDER BY created_at DESC, id ROWS UNBOUNDED PRECEDING) AS used FROM t WINDOW w AS (PARTITION BY chat_session_id ORDER BY created_at DESC, id))
 SELECT id, chat_session_id, turn, CAST(used AS BIGINT) AS used FROM r WHERE turn <= 6 AND used <= 3000""")
 def w21_history_window(spark, d):
@@ -128,20 +128,20 @@ def w26_worst_pages(spark, d):
     return C.pages(spark, d).select("page_id", F.char_length(F.coalesce("text", F.lit(""))).cast("long").alias("n")).orderBy("n", "page_id").limit(30)  # a report of the worst
 
 
-@query("t46_json_access", "T46", "T42", sql=f"""WITH {S.AUDIT} SELECT id, json_type(event_metadata) AS kind, len(json_keys(event_metadata)) AS fields FROM audit WHERE event_metadata IS NOT NULL""")
+@query("t46_json_access", "T46", sql=f"""WITH {S.AUDIT} SELECT id, json_type(event_metadata) AS kind, len(json_keys(event_metadata)) AS fields FROM audit WHERE event_metadata IS NOT NULL""")
 def t46_json_access(spark, d):
     rows = C.audit(spark, d).filter("event_metadata IS NOT NULL")
     kind = F.when(F.trim("event_metadata").startswith("{"), "OBJECT").when(F.trim("event_metadata").startswith("["), "ARRAY")
     return rows.select("id", kind.alias("kind"), F.size(F.json_object_keys("event_metadata")).cast("long").alias("fields"))
 
 
-@query("x3_latest_event", "X3", "X2", sql=f"""WITH {S.AUDIT} SELECT user_id, event_type, arg_max(id, (created_at, id)) AS last_id, count(*) AS events FROM audit WHERE user_id IS NOT NULL GROUP BY ALL""")
+@query("x3_latest_event", "X3", sql=f"""WITH {S.AUDIT} SELECT user_id, event_type, arg_max(id, (created_at, id)) AS last_id, count(*) AS events FROM audit WHERE user_id IS NOT NULL GROUP BY ALL""")
 def x3_latest_event(spark, d):
     rows = C.audit(spark, d).filter("user_id IS NOT NULL")
     return rows.groupBy("user_id", "event_type").agg(F.max_by("id", F.struct("created_at", "id")).alias("last_id"), F.count("*").alias("events"))
 
 
-@query("q15_query_variants", "Q3", "Q15", "Q14", sql="""WITH v AS (SELECT qid, 0 AS ord, question AS q FROM query_plans UNION ALL SELECT qid, i, search_queries[i] FROM query_plans, generate_series(1, 20) g(i) WHERE i <= len(search_queries)
+@query("q15_query_variants", "Q3", "Q15", sql="""WITH v AS (SELECT qid, 0 AS ord, question AS q FROM query_plans UNION ALL SELECT qid, i, search_queries[i] FROM query_plans, generate_series(1, 20) g(i) WHERE i <= len(search_queries)
  UNION ALL SELECT qid, 100 + i, question || ' ' || evidence_needs[i] FROM query_plans, generate_series(1, 20) g(i) WHERE i <= len(evidence_needs)),
 n AS (SELECT qid, ord, trim(regexp_replace(q, '\\s+', ' ', 'g')) AS q FROM v WHERE q IS NOT NULL), u AS (SELECT qid, lower(q) AS k, min(ord) AS ord, arg_min(q, ord) AS q FROM n WHERE q != '' GROUP BY qid, lower(q))
 SELECT qid, q AS variant, place FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY ord) AS place FROM u) WHERE place <= 10""")

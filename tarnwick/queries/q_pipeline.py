@@ -17,7 +17,7 @@ c = F.col
 ORDER_SQL = "score DESC NULLS LAST, lower(filename), page_number, coalesce(chunk_index, -1), chunk_id"
 
 
-@query("r12_relevance_score", "R12", "R13", "T47", "T49", sql=f"""WITH {S.CANDIDATES}, {S.CHUNKS}, x AS (SELECT qid, chunk_key, coalesce(vector_score, 0) AS r, {S.terms_smart('question')} AS q, {S.terms_smart('chunks.text')} AS b, {S.terms_smart("array_to_string(chunks.section_path, ' ')")} AS h,
+@query("r12_relevance_score", "R12", sql=f"""WITH {S.CANDIDATES}, {S.CHUNKS}, x AS (SELECT qid, chunk_key, coalesce(vector_score, 0) AS r, {S.terms_smart('question')} AS q, {S.terms_smart('chunks.text')} AS b, {S.terms_smart("array_to_string(chunks.section_path, ' ')")} AS h,
  length(regexp_replace(chunks.text, '[^A-Za-z0-9]', '', 'g')) < 18 AS low FROM candidates JOIN query_plans USING (qid) JOIN chunks USING (chunk_key)),
 y AS (SELECT *, CASE WHEN len(q) = 0 THEN 0 ELSE len(list_intersect(q, b)) / len(q) END AS cov, CASE WHEN len(q) = 0 THEN 0 ELSE len(list_intersect(q, h)) / len(q) END AS head FROM x)
 SELECT qid, chunk_key, round(greatest(0.0, least(1.0, (least(1.0, greatest(0.0, r)) * 0.36 + cov * 0.34 + head * 0.12 + least(1.0, cov) * 0.08) * CASE WHEN low THEN 0.12 ELSE 1 END * CASE WHEN len(q) > 0 AND cov < 0.12 THEN 0.55 ELSE 1 END)), 6) AS relevance FROM y""")
@@ -38,7 +38,7 @@ def w17_route_guarantee(spark, d):
     return placed.select("qid", "chunk_key", c("place").cast("long").alias("place"))
 
 
-@query("w32_forced_tiers", "W32", "R30", "R38", sql=f"""WITH {S.CANDIDATES}, {S.CHUNKS}, k AS (SELECT qid, chunk_key, CASE WHEN content_type = 'table_row' THEN 0 WHEN content_type = 'table' THEN 1 WHEN content_type = 'list' THEN 2 ELSE 3 END AS tier,
+@query("w32_forced_tiers", "W32", sql=f"""WITH {S.CANDIDATES}, {S.CHUNKS}, k AS (SELECT qid, chunk_key, CASE WHEN content_type = 'table_row' THEN 0 WHEN content_type = 'table' THEN 1 WHEN content_type = 'list' THEN 2 ELSE 3 END AS tier,
  row_number() OVER (PARTITION BY qid ORDER BY candidates.score DESC NULLS LAST, lower(candidates.filename), candidates.page_number, coalesce(candidates.chunk_index, -1), candidates.chunk_id) AS al FROM candidates JOIN (SELECT chunk_key, content_type FROM chunks) USING (chunk_key)),
 t AS (SELECT *, row_number() OVER (PARTITION BY qid, tier ORDER BY al) AS n FROM k) SELECT qid, chunk_key, row_number() OVER (PARTITION BY qid ORDER BY tier, al) AS place FROM t WHERE n <= CASE tier WHEN 0 THEN 4 WHEN 1 THEN 2 WHEN 2 THEN 3 ELSE 8 END""")
 def w32_forced_tiers(spark, d):
@@ -50,7 +50,7 @@ def w32_forced_tiers(spark, d):
     return R.rank_in(kept, ["qid"], [c("tier"), c("al")], "place").select("qid", "chunk_key", c("place").cast("long").alias("place"))
 
 
-@query("q13_rerank_merge", "Q13", "R35", sql=f"""WITH {S.CANDIDATES}, j AS (SELECT qid, chunk_key, keyword_score / (keyword_score + 1) AS relevance FROM candidates WHERE keyword_score IS NOT NULL)
+@query("q13_rerank_merge", "Q13", sql=f"""WITH {S.CANDIDATES}, j AS (SELECT qid, chunk_key, keyword_score / (keyword_score + 1) AS relevance FROM candidates WHERE keyword_score IS NOT NULL)
 SELECT qid, chunk_key, CAST(round(CASE WHEN relevance IS NULL THEN coalesce(vector_score, 0) - 0.12 ELSE 0.32 * coalesce(vector_score, 0) + 0.68 * relevance END, 6) AS DOUBLE) AS score FROM candidates LEFT JOIN j USING (qid, chunk_key)""")
 def q13_rerank_merge(spark, d):
     rows = C.candidates(spark, d).select("qid", "chunk_key", F.coalesce("vector_score", F.lit(0.0)).alias("s"), "keyword_score")
@@ -60,7 +60,7 @@ def q13_rerank_merge(spark, d):
     return rows.join(judged, ["qid", "chunk_key"], "left").select("qid", "chunk_key", F.round(score, 6).alias("score"))
 
 
-@query("f24_contributors", "F24", "R32", "R33", sql=f"""WITH {S.CANDIDATES}, d AS (SELECT qid, document_id FROM candidates GROUP BY ALL HAVING count(*) >= 3), n AS (SELECT qid FROM d GROUP BY qid)
+@query("f24_contributors", "F24", sql=f"""WITH {S.CANDIDATES}, d AS (SELECT qid, document_id FROM candidates GROUP BY ALL HAVING count(*) >= 3), n AS (SELECT qid FROM d GROUP BY qid)
 SELECT qid, chunk_key FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY {ORDER_SQL}) AS al FROM candidates) x WHERE EXISTS (SELECT 1 FROM d WHERE d.qid = x.qid AND d.document_id = x.document_id) OR (al <= 12 AND NOT EXISTS (SELECT 1 FROM n WHERE n.qid = x.qid))""")
 def f24_contributors(spark, d):
     ranked = R.rank_in(C.candidates(spark, d), ["qid"], R.canonical_order(), "al")
@@ -69,7 +69,7 @@ def f24_contributors(spark, d):
     return sized.filter((c("own") >= 3) | ((c("most") < 3) & (c("al") <= 12))).select("qid", "chunk_key")
 
 
-@query("w19_forward_fill", "W19", "T52", sql=f"""WITH {S.CHUNKS}, a AS (SELECT chunk_key, document_id, chunk_index, CASE WHEN len(context_tags) = 1 THEN context_tags[1] END AS own FROM chunks)
+@query("w19_forward_fill", "W19", sql=f"""WITH {S.CHUNKS}, a AS (SELECT chunk_key, document_id, chunk_index, CASE WHEN len(context_tags) = 1 THEN context_tags[1] END AS own FROM chunks)
 SELECT chunk_key, (SELECT arg_max(b.own, b.chunk_index) FROM a b WHERE b.document_id = a.document_id AND b.own IS NOT NULL AND b.chunk_index BETWEEN a.chunk_index - 8 AND a.chunk_index) AS scope FROM a""")
 def w19_forward_fill(spark, d):
     rows = C.chunks(spark, d, "document_id", "chunk_index", "context_tags")
@@ -78,7 +78,7 @@ def w19_forward_fill(spark, d):
     return rows.withColumn("scope", F.last(own, ignorenulls=True).over(span)).select("chunk_key", "scope")
 
 
-@query("q1_intent", "Q1", "Q2", "Q4", "Q5", "Q11", "Q18", sql=f"""WITH x AS (SELECT qid, trim(lower(question)) AS q, {S.tokens('question', '[a-z0-9]+')} AS t FROM query_plans)
+@query("q1_intent", "Q1", sql=f"""WITH x AS (SELECT qid, trim(lower(question)) AS q, {S.tokens('question', '[a-z0-9]+')} AS t FROM query_plans)
 SELECT qid, CASE WHEN starts_with(q, 'what ') AND len(list_intersect(t, ['do', 'action', 'actions', 'steps'])) > 0 AND len(list_intersect(t, ['if', 'when'])) > 0 THEN 'procedure'
  WHEN len(list_intersect(t, ['compare', 'comparison', 'difference', 'differences', 'versus', 'vs'])) > 0 THEN 'comparison' WHEN len(list_intersect(t, ['troubleshoot', 'troubleshooting', 'fault', 'failure', 'error', 'alarm'])) > 0 THEN 'troubleshooting'
  WHEN starts_with(q, 'how ') OR len(list_intersect(t, ['process', 'procedure', 'steps', 'reset', 'isolate', 'operate'])) > 0 THEN 'procedure'

@@ -33,7 +33,7 @@ def _scores(spark, d, most=None, pairs=None, tokens=T.bm25_tokens):
     return R.bm25(index, asked, "chunk_key", total, most, pairs)
 
 
-@query("r1_bm25_top", "R1", "A9", "T8", sql=f"""WITH {INDEX_SQL}
+@query("r1_bm25_top", "A9", "T8", sql=f"""WITH {INDEX_SQL}
 SELECT qid, chunk_key, round(bm25, 6) AS bm25, rank FROM (
   SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(bm25, 9) DESC, chunk_key) AS rank FROM scored) WHERE rank <= 10""")
 def r1_bm25_top(spark, d):
@@ -41,7 +41,7 @@ def r1_bm25_top(spark, d):
     return best.select("qid", "chunk_key", F.round("bm25", 6).alias("bm25"), F.col("rank").cast("long").alias("rank"))
 
 
-@query("r24_hybrid_chunk_search", "R24", "R2", "S6", "W25", "J2", sql=f"""WITH {INDEX_SQL}, {S.CANDIDATES},
+@query("r24_hybrid_chunk_search", "R24", "S6", "W25", "J2", sql=f"""WITH {INDEX_SQL}, {S.CANDIDATES},
 keyed AS (SELECT qid, chunk_key, bm25 / (bm25 + 0.18) AS keyword FROM (
   SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(bm25, 9) DESC, chunk_key) AS n FROM scored) WHERE n <= 40),
 vec AS (SELECT qid, chunk_key, vector_score AS vector FROM candidates WHERE vector_score IS NOT NULL),

@@ -44,7 +44,7 @@ def l14_heading_lines(spark, d):
     return rows.filter(numbered | capitals).select("page_id", "line_no", level.alias("level"))
 
 
-@query("c8_element_groups", "C3", "C8", "L29", sql=f"""WITH {S.CHUNKS}, b AS (SELECT *, CASE WHEN content_type IS DISTINCT FROM lag(content_type) OVER (PARTITION BY document_id ORDER BY chunk_index, chunk_key) THEN 1 ELSE 0 END AS brk FROM chunks),
+@query("c8_element_groups", "C8", sql=f"""WITH {S.CHUNKS}, b AS (SELECT *, CASE WHEN content_type IS DISTINCT FROM lag(content_type) OVER (PARTITION BY document_id ORDER BY chunk_index, chunk_key) THEN 1 ELSE 0 END AS brk FROM chunks),
 i AS (SELECT *, sum(brk) OVER (PARTITION BY document_id ORDER BY chunk_index, chunk_key ROWS UNBOUNDED PRECEDING) AS island FROM b)
 SELECT document_id, CAST(island AS BIGINT) AS island, content_type, count(*) AS elements, CAST(sum(length(text)) AS BIGINT) AS chars, min(page_number) AS page_start, max(page_number) AS page_end FROM i GROUP BY ALL""")
 def c8_element_groups(spark, d):
@@ -62,7 +62,7 @@ def c10_row_to_text(spark, d):
     return rows.select("chunk_key", F.size(cells).cast("long").alias("cells"), F.array_join(F.transform(cells, lambda p: F.trim(F.regexp_extract(p, "^([^:]*):", 1))), " | ").alias("columns"))
 
 
-@query("c11_context_header", "C11", "C13", "C14", "C15", sql=f"""WITH {S.CHUNKS} SELECT chunk_key, '[PDF CHUNK CONTEXT]' || chr(10) || 'File: ' || filename || chr(10) || 'Pages: ' || CASE WHEN coalesce(page_end, page_number) = page_number THEN CAST(page_number AS VARCHAR) ELSE page_number || '-' || page_end END
+@query("c11_context_header", "C11", sql=f"""WITH {S.CHUNKS} SELECT chunk_key, '[PDF CHUNK CONTEXT]' || chr(10) || 'File: ' || filename || chr(10) || 'Pages: ' || CASE WHEN coalesce(page_end, page_number) = page_number THEN CAST(page_number AS VARCHAR) ELSE page_number || '-' || page_end END
  || chr(10) || 'Section path: ' || CASE WHEN len(section_path) > 0 THEN array_to_string(section_path, ' > ') ELSE 'Unsectioned content' END || chr(10) || 'Content type: ' || content_type
  || coalesce(chr(10) || 'Rolling stock / train context: ' || rolling_stock, '') || coalesce(chr(10) || 'Procedure context: ' || procedure_ref, '') || chr(10) || '[/PDF CHUNK CONTEXT]' AS header FROM chunks""")
 def c11_context_header(spark, d):
