@@ -37,6 +37,20 @@ def by_group(df: DataFrame, keys: Sequence[str], order: Sequence[str], schema: T
     return ordered.mapInArrow(run, schema)
 
 
+def per_row(df: DataFrame, schema: T.StructType, fn: Callable[[dict], list[dict]], rows: int = 256) -> DataFrame:
+    """Run `fn` over each row where it is read, `rows` of them at a time; nothing is shuffled."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    arrow = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, rows):
+                yield pa.RecordBatch.from_pylist([out for row in batch.slice(at, rows).to_pylist() for out in fn(row)], schema=arrow)
+
+    return df.mapInArrow(run, schema)
+
+
 def half_fill_mixed_cap(rows: list[dict], document: str, kind: str, limit: int, cap: int, table_cap: int) -> list[dict]:
     """Rows in rank order; once half of the limit is filled a document may have `cap` rows, table rows up to `table_cap`."""
     taken: dict = {}

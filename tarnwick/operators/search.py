@@ -9,44 +9,61 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarnwick.functions import text as T
+from tarnwick.session import cut_lineage
+
+
+def _rarest(asked: DataFrame, found: DataFrame) -> DataFrame:
+    """(qid, term): of each query's terms the one that the fewest rows of `found` (term, n) have; none where a term is nowhere."""
+    wanted = asked.filter(F.size("terms") > 0).select("qid", F.explode("terms").alias("term"))
+    counted = wanted.join(found, "term", "left").groupBy("qid").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "term")).alias("r"))
+    return counted.filter("r.n > 0").select("qid", "r.term")
 
 
 def all_terms(asked: DataFrame, chunks: DataFrame, key: str, terms: Column) -> DataFrame:
-    """(qid, key) of chunks with every term of a query; `asked` is (qid, terms)."""
-    wanted = asked.filter(F.size("terms") > 0).select("qid", F.size("terms").alias("n"), F.explode("terms").alias("term"))
-    index = chunks.select(key, F.explode(F.array_distinct(terms)).alias("term"))
-    met = wanted.join(index, "term").groupBy("qid", key, "n").agg(F.count(F.lit(1)).alias("hits"))
-    return met.filter(F.col("hits") == F.col("n")).select("qid", key)
+    """(qid, key) of chunks with every term of a query; `asked` is (qid, terms).
+
+    Only chunks with a query's rarest term are candidates; the others of its terms are then looked for in these alone.
+    """
+    split = cut_lineage(chunks.select(key, F.array_distinct(terms).alias("has")))  # texts are analysed once
+    wanted = asked.select(F.explode("terms").alias("term")).distinct()
+    index = cut_lineage(split.select(key, F.explode("has").alias("term")).join(wanted, "term", "left_semi"))
+    rarest = _rarest(asked, index.groupBy("term").agg(F.count(F.lit(1)).alias("n")))
+    met = rarest.join(index, "term").select("qid", key).join(asked, "qid").join(split, key)
+    return met.filter(F.size(F.array_except("terms", "has")) == 0).select("qid", key)
 
 
 def prefix_matches(asked: DataFrame, chunks: DataFrame, key: str, text: str) -> DataFrame:
     """(qid, key, matched): how many terms of (qid, term) a chunk has; terms of more than three letters as prefixes.
 
-    Words of the corpus meet the terms once, as a vocabulary, and only then their chunks.
+    Words of the corpus meet the terms once, as a vocabulary, by their first four letters, and only then their chunks.
     """
-    index = chunks.select(key, F.explode(F.array_distinct(T.tokens(F.col(text), "[a-z0-9]+"))).alias("word"))
-    vocabulary = index.select("word").distinct()
-    starts = vocabulary.select("word", F.explode(F.transform(F.sequence(F.lit(1), F.length("word")), lambda n: F.substring(F.col("word"), F.lit(1), n))).alias("term"))
-    starts = starts.filter((F.length("term") > 3) | (F.col("term") == F.col("word")))
-    terms = asked.select("term").distinct().join(starts, "term")
-    return asked.join(terms, "term").join(index, "word").groupBy("qid", key).agg(F.countDistinct("term").alias("matched"))
+    index = cut_lineage(chunks.select(key, F.explode(F.array_distinct(T.tokens(F.col(text), "[a-z0-9]+"))).alias("word")))  # texts are read once
+    vocabulary = index.select("word").distinct().withColumn("start", F.substring("word", 1, 4))
+    terms = asked.select("term").distinct()
+    longer = terms.filter(F.length("term") > 3).withColumn("start", F.substring("term", 1, 4)).join(vocabulary, "start").filter(F.startswith("word", F.col("term"))).select("term", "word")
+    exact = terms.filter(F.length("term") <= 3).join(vocabulary.select("word", F.col("word").alias("term")), "term").select("term", "word")
+    met = asked.join(longer.unionByName(exact), "term").join(index, "word")
+    return met.select("qid", key, "term").distinct().groupBy("qid", key).agg(F.count(F.lit(1)).alias("matched"))
 
 
 def all_substrings(asked: DataFrame, chunks: DataFrame, key: str, text: str) -> DataFrame:
     """(qid, key) of chunks whose text contains each of the terms anywhere, also within words.
 
     A term without blanks lies within a word: distinct words meet distinct terms through the term's first
-    three letters, at every place of a word where they stand.
+    three letters, at every place of a word where they stand. Only chunks with a query's rarest term are
+    candidates; whether they contain the others is read in their texts.
     """
-    lowered = F.regexp_extract_all(F.lower(F.col(text)), F.lit("[a-z0-9]+"), F.lit(0))
-    index = chunks.select(key, F.explode(F.array_distinct(lowered)).alias("word"))
-    vocabulary = index.select("word").distinct().filter(F.length("word") >= 3)
-    grams = vocabulary.select("word", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("word") - 2), lambda n: F.substring(F.col("word"), n, F.lit(3))))).alias("gram"))
+    words = F.regexp_extract_all(F.lower(F.col(text)), F.lit("[a-z0-9]+"), F.lit(0))
+    index = cut_lineage(chunks.select(key, F.explode(F.array_distinct(words)).alias("word")).filter(F.length("word") >= 3))  # texts are read once for it
+    vocabulary = index.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    grams = vocabulary.select("word", "n", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("word") - 2), lambda n: F.substring(F.col("word"), n, F.lit(3))))).alias("gram"))
     terms = asked.select(F.explode("terms").alias("term")).distinct().withColumn("gram", F.substring("term", 1, 3))
-    within = terms.join(grams, "gram").filter(F.contains(F.col("word"), F.col("term"))).select("term", "word")
-    wanted = asked.filter(F.size("terms") > 0).select("qid", F.size("terms").alias("n"), F.explode("terms").alias("term"))
-    met = wanted.join(within, "term").join(index, "word").groupBy("qid", key, "n").agg(F.countDistinct("term").alias("hits"))
-    return met.filter(F.col("hits") == F.col("n")).select("qid", key)
+    within = cut_lineage(terms.join(grams, "gram").filter(F.contains(F.col("word"), F.col("term"))).select("term", "word", "n"))
+    rarest = _rarest(asked, within.groupBy("term").agg(F.sum("n").alias("n")))
+    met = rarest.join(within.select("term", "word"), "term").join(index, "word").select("qid", key).distinct()
+    lowered = chunks.select(key, F.lower(F.col(text)).alias("_text"))
+    both = met.join(asked, "qid").join(lowered, key)
+    return both.filter(F.forall("terms", lambda t: F.contains(F.col("_text"), t))).select("qid", key)
 
 
 def web_search(query: str, text: Column) -> Column:

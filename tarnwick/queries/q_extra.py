@@ -8,6 +8,7 @@ from pyspark.sql import types as Ty
 
 from tarnwick.functions import patterns as P
 from tarnwick.functions import text as T
+from tarnwick.functions import words as W
 from tarnwick.operators import layout as L
 from tarnwick.operators import packing as K
 from tarnwick.queries import registry_sql as S
@@ -57,7 +58,13 @@ def j19_filename_coverage(spark, d):
     return met.select("qid", "document_id", "shared", F.round(c("shared") / c("of"), 6).alias("coverage"))
 
 
-@query("t2_search_terms", "T2")
+_DIGIT = "CASE p " + " ".join(f"WHEN '{w}' THEN '{i}'" for i, w in enumerate(W.NUMBER_WORDS)) + " END"
+_NAME = "CASE p " + " ".join(f"WHEN '{i}' THEN '{w}'" for i, w in enumerate(W.NUMBER_WORDS)) + " END"
+
+
+@query("t2_search_terms", "T2", sql=f"""WITH t AS (SELECT qid, unnest({S.tokens('question', '[a-z0-9][a-z0-9_./:#-]*')}) AS t FROM query_plans), p AS (SELECT qid, t AS p FROM t UNION SELECT qid, unnest(regexp_split_to_array(t, '[._/:#-]+')) FROM t),
+v AS (SELECT qid, p AS v FROM p UNION SELECT qid, CASE WHEN regexp_full_match(p, '[0-9]+') OR {_DIGIT} IS NOT NULL THEN coalesce({_DIGIT}, p) ELSE {S.stem('p', W.SINGULAR)} END FROM p WHERE p <> '' UNION SELECT qid, coalesce({_NAME}, p) FROM p)
+SELECT qid, array_to_string(list_sort(list(v)), ' ') AS terms FROM (SELECT DISTINCT qid, v FROM v WHERE length(v) > 1) GROUP BY qid""")
 def t2_search_terms(spark, d):
     return C.plans(spark, d).select("qid", F.array_join(F.array_sort(T.search_terms(c("question"))), " ").alias("terms"))
 
@@ -66,11 +73,32 @@ def t2_search_terms(spark, d):
 def c6_table_pieces(spark, d):
     rows = C.chunks(spark, d, "content_type", "text").filter("content_type = 'table'").select("chunk_key", "text")
     schema = Ty.StructType([rows.schema["chunk_key"], Ty.StructField("piece", Ty.IntegerType()), Ty.StructField("body", Ty.StringType())])
-    return K.by_group(rows, ["chunk_key"], [], schema, lambda r: [{"chunk_key": x["chunk_key"], "piece": i, "body": p} for x in r for i, p in enumerate(K.table_pieces(x["text"], 900))])
+    return K.per_row(rows, schema, lambda x: [{"chunk_key": x["chunk_key"], "piece": i, "body": p} for i, p in enumerate(K.table_pieces(x["text"] or "", 900))])
 
 
 @query("c9_long_units", "C9", "T54")
 def c9_long_units(spark, d):
     rows = C.chunks(spark, d, "content_type", "text").filter("content_type = 'text'").select("chunk_key", "text")
     schema = Ty.StructType([rows.schema["chunk_key"], Ty.StructField("piece", Ty.IntegerType()), Ty.StructField("body", Ty.StringType())])
-    return K.by_group(rows, ["chunk_key"], [], schema, lambda r: [{"chunk_key": x["chunk_key"], "piece": i, "body": p} for x in r for i, p in enumerate(K.long_unit(x["text"], 1000, 120))])
+    return K.per_row(rows, schema, lambda x: [{"chunk_key": x["chunk_key"], "piece": i, "body": p} for i, p in enumerate(K.long_unit(x["text"] or "", 1000, 120))])
+
+
+@query("c6_kept", "C6", sql=f"""WITH {S.CHUNKS} SELECT chunk_key, len(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')) AS lines, TRUE AS kept, TRUE AS headed FROM chunks WHERE content_type = 'table'""")
+def c6_kept(spark, d):
+    """What must hold of the pieces of a table: every line is in some, and each begins with the header lines."""
+    rows = C.chunks(spark, d, "content_type", "text").filter("content_type = 'table'")
+    lines = F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "")
+    pieces = c6_table_pieces(spark, d).groupBy("chunk_key").agg(F.collect_list("body").alias("pieces"))  # the pieces of a row
+    head = F.array_join(F.slice(c("parts"), 1, 2), "\n")
+    kept = F.forall("parts", lambda x: F.contains(F.array_join("pieces", "\n"), x))
+    return rows.select("chunk_key", lines.alias("parts")).join(pieces, "chunk_key").select("chunk_key", F.size("parts").cast("long").alias("lines"), kept.alias("kept"), F.forall("pieces", lambda p: F.startswith(p, head)).alias("headed"))
+
+
+@query("c9_kept", "C9", "T54", sql=f"""WITH {S.CHUNKS} SELECT chunk_key, len(list_filter(string_split(regexp_replace(trim(text, chr(10) || chr(9) || ' '), '([.!?;])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda x: x <> '')) AS sentences, TRUE AS kept, TRUE AS fits FROM chunks WHERE content_type = 'text' AND trim(text) <> ''""")
+def c9_kept(spark, d):
+    """What must hold of long units: every sentence that fits is whole in some piece, and no piece is too long."""
+    rows = C.chunks(spark, d, "content_type", "text").filter("content_type = 'text' AND trim(text) <> ''")
+    sentences = F.filter(F.split(F.regexp_replace("text", r"^\s+|\s+$", ""), r"(?<=[.!?;])\s+"), lambda x: x != "")
+    pieces = c9_long_units(spark, d).groupBy("chunk_key").agg(F.collect_list("body").alias("pieces"))  # the pieces of a row
+    kept = F.forall("sentences", lambda x: (F.char_length(x) > 1000) | F.exists("pieces", lambda p: F.contains(p, x)))
+    return rows.select("chunk_key", sentences.alias("sentences")).join(pieces, "chunk_key").select("chunk_key", F.size("sentences").cast("long").alias("sentences"), kept.alias("kept"), F.forall("pieces", lambda p: F.char_length(p) <= 1000).alias("fits"))

@@ -101,6 +101,12 @@ def q1_intent(spark, d):
     return C.plans(spark, d).select("qid", intent.alias("intent"))
 
 
+@query("v1_unit_length", "V1", sql=f"WITH {S.CHUNKS} SELECT chunk_key, 128 AS dimensions, TRUE AS unit_length FROM chunks")
+def v1_unit_length(spark, d):
+    norm = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
+    return v1_hashing_embedding(spark, d).select("chunk_key", F.size("embedding").cast("long").alias("dimensions"), (F.abs(norm - 1) < 1e-4).alias("unit_length"))
+
+
 @query("v1_hashing_embedding", "V1")
 def v1_hashing_embedding(spark, d):
     return hashing_embeddings(C.chunks(spark, d, "text"), "chunk_key", "text", 128)

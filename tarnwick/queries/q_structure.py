@@ -11,6 +11,7 @@ from tarnwick.operators import neighbours as N
 from tarnwick.operators import packing as P
 from tarnwick.operators import ranking as R
 from tarnwick.queries import registry_sql as S
+from tarnwick.queries.q_rank import ORDER_SQL
 from tarnwick.queries.registry import query
 from tarnwick.sources import corpus as C
 
@@ -75,7 +76,14 @@ def c11_context_header(spark, d):
     return rows.select("chunk_key", F.concat_ws("\n", *parts).alias("header"))
 
 
-@query("w8_mixed_cap", "W8")
+_RANKED = f"ranked AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY {ORDER_SQL}) AS rank FROM candidates)"
+
+
+@query("w8_mixed_cap", "W8", sql=f"""WITH RECURSIVE {S.CANDIDATES}, {S.CHUNKS}, {_RANKED}, r AS (SELECT qid, rank, chunk_key, ranked.document_id, k.content_type FROM ranked JOIN (SELECT chunk_key, content_type FROM chunks) k USING (chunk_key)),
+walk AS (SELECT qid, CAST(0 AS BIGINT) AS rank, CAST(NULL AS BIGINT) AS chunk_key, CAST([] AS VARCHAR[]) AS docs, false AS kept FROM (SELECT DISTINCT qid FROM r)
+ UNION ALL SELECT r.qid, r.rank, r.chunk_key, CASE WHEN y.ok THEN list_append(walk.docs, r.document_id) ELSE walk.docs END, y.ok FROM walk JOIN r ON r.qid = walk.qid AND r.rank = walk.rank + 1,
+ LATERAL (SELECT len(walk.docs) < 16 AND (len(walk.docs) < 8 OR len(list_filter(walk.docs, lambda x: x = r.document_id)) < CASE r.content_type WHEN 'table_row' THEN 3 ELSE 2 END) AS ok) y)
+SELECT qid, rank, chunk_key FROM walk WHERE kept""")
 def w8_mixed_cap(spark, d):
     rows = C.candidates(spark, d).join(C.chunks(spark, d, "content_type"), "chunk_key")
     ranked = R.rank_in(rows, ["qid"], R.canonical_order()).select("qid", "rank", "chunk_key", "document_id", "content_type")
@@ -83,7 +91,11 @@ def w8_mixed_cap(spark, d):
     return P.by_group(ranked, ["qid"], ["rank"], schema, lambda r: P.half_fill_mixed_cap(r, "document_id", "content_type", 16, 2, 3)).select("qid", "rank", "chunk_key")
 
 
-@query("a14_diversify", "A14", "A15")
+@query("a14_diversify", "A14", "A15", sql=f"""WITH RECURSIVE {S.CANDIDATES}, {S.CHUNKS}, {_RANKED}, r AS (SELECT qid, rank, chunk_key, ranked.filename || '/' || k.page_number AS page, t FROM ranked JOIN (SELECT chunk_key, page_number, list_distinct({S.bm25_tokens('text')}) AS t FROM chunks) k USING (chunk_key)),
+walk AS (SELECT qid, CAST(0 AS BIGINT) AS rank, CAST(NULL AS BIGINT) AS chunk_key, CAST([] AS VARCHAR[]) AS pages, CAST([] AS VARCHAR[][]) AS sets, false AS kept FROM (SELECT DISTINCT qid FROM r)
+ UNION ALL SELECT r.qid, r.rank, r.chunk_key, CASE WHEN y.ok THEN list_append(walk.pages, r.page) ELSE walk.pages END, CASE WHEN y.ok THEN list_append(walk.sets, r.t) ELSE walk.sets END, y.ok FROM walk JOIN r ON r.qid = walk.qid AND r.rank = walk.rank + 1,
+ LATERAL (SELECT len(walk.sets) < 12 AND len(list_filter(walk.pages, lambda x: x = r.page)) < 2 AND (len(r.t) = 0 OR len(list_filter(walk.sets, lambda s: len(list_intersect(s, r.t)) >= 0.88 * (len(s) + len(r.t) - len(list_intersect(s, r.t))))) = 0) AS ok) y)
+SELECT qid, rank, chunk_key FROM walk WHERE kept""")
 def a14_diversify(spark, d):
     rows = C.candidates(spark, d).drop("page_number").join(C.chunks(spark, d, "text", "page_number"), "chunk_key")
     ranked = R.rank_in(rows, ["qid"], R.canonical_order()).select("qid", "rank", "chunk_key", "filename", "page_number", F.array_distinct(X.bm25_tokens(c("text"))).alias("terms"))
@@ -91,7 +103,10 @@ def a14_diversify(spark, d):
     return out.select("qid", "rank", "chunk_key")
 
 
-@query("w22_batches", "W22")
+@query("w22_batches", "W22", sql=f"""WITH RECURSIVE {S.CANDIDATES}, {S.CHUNKS}, {_RANKED}, r AS (SELECT qid, rank, chunk_key, length(text) AS size FROM ranked JOIN (SELECT chunk_key, text FROM chunks) USING (chunk_key)),
+walk AS (SELECT qid, rank, chunk_key, size, 0 AS batch, size AS used FROM r WHERE rank = 1
+ UNION ALL SELECT r.qid, r.rank, r.chunk_key, r.size, CASE WHEN walk.used > 0 AND walk.used + r.size > 6000 THEN walk.batch + 1 ELSE walk.batch END, CASE WHEN walk.used > 0 AND walk.used + r.size > 6000 THEN r.size ELSE walk.used + r.size END FROM walk JOIN r ON r.qid = walk.qid AND r.rank = walk.rank + 1)
+SELECT qid, rank, chunk_key, size, batch FROM walk""")
 def w22_batches(spark, d):
     rows = C.candidates(spark, d).join(C.chunks(spark, d, "text").withColumn("size", F.char_length("text")).drop("text"), "chunk_key")
     ranked = R.rank_in(rows, ["qid"], R.canonical_order()).select("qid", "rank", "chunk_key", "size")
@@ -103,4 +118,14 @@ def w22_batches(spark, d):
 def c4_paragraph_packer(spark, d):
     rows = C.pages(spark, d).filter("text IS NOT NULL").select("page_id", "text")
     schema = T.StructType([rows.schema["page_id"], T.StructField("piece", T.IntegerType()), T.StructField("body", T.StringType())])
-    return P.by_group(rows, ["page_id"], [], schema, lambda r: [{"page_id": x["page_id"], "piece": i, "body": p} for x in r for i, p in enumerate(P.paragraphs(x["text"], 900, 220))])
+    return P.per_row(rows, schema, lambda x: [{"page_id": x["page_id"], "piece": i, "body": p} for i, p in enumerate(P.paragraphs(x["text"], 900, 220))])
+
+
+@query("c4_kept", "C4", "C5", sql=f"""WITH {S.PAGES}, x AS (SELECT page_id, list_filter(regexp_split_to_array(text, '\\n\\s*\\n'), lambda p: regexp_replace(p, '\\s', '', 'g') <> '') AS parts FROM pages WHERE text IS NOT NULL) SELECT page_id, len(parts) AS paragraphs, TRUE AS kept, TRUE AS fits FROM x WHERE len(parts) > 0""")
+def c4_kept(spark, d):
+    """What must hold of packed paragraphs: each that fits is whole in some piece, and no piece is too long."""
+    rows = C.pages(spark, d).filter("text IS NOT NULL")
+    parts = F.filter(F.split("text", r"\n\s*\n"), lambda p: F.regexp_replace(p, r"\s", "") != "")
+    pieces = c4_paragraph_packer(spark, d).groupBy("page_id").agg(F.collect_list("body").alias("pieces"))  # the pieces of a page
+    kept = F.forall("parts", lambda x: (F.char_length(x) > 900) | F.exists("pieces", lambda p: F.contains(p, x)))
+    return rows.select("page_id", parts.alias("parts")).join(pieces, "page_id").select("page_id", F.size("parts").cast("long").alias("paragraphs"), kept.alias("kept"), F.forall("pieces", lambda p: F.char_length(p) <= 900).alias("fits"))
