@@ -325,7 +325,7 @@ def s14_cascade_delete(spark, d):
     return C.chunks(spark, d, "document_id", "content_type").join(gone, "document_id", "left_anti").groupBy("content_type").agg(F.count("*").alias("kept"))
 
 
-@query("s18_backfill", "S18", "S19", "S24", sql=f"""WITH {S.CHUNKS} SELECT document_id, CASE WHEN document_id < '8' THEN 'r1' ELSE 'r2' END AS run_id, count(*) AS chunks FROM chunks GROUP BY document_id""")
+@query("s18_backfill", "S18", "S19", "S20", "S24", sql=f"""WITH {S.CHUNKS} SELECT document_id, CASE WHEN document_id < '8' THEN 'r1' ELSE 'r2' END AS run_id, count(*) AS chunks FROM chunks GROUP BY document_id""")
 def s18_backfill(spark, d):
     """A first run does some of the documents; a second asks what is still pending and does only that, in parallel."""
     counts = C.chunks(spark, d, "document_id").groupBy("document_id").agg(F.count("*").alias("chunks"))

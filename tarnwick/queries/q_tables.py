@@ -206,7 +206,7 @@ def t33_directives(spark, d):
     return I.directives(C.chunks(spark, d, "text"), "chunk_key", "text")
 
 
-@query("t36_authority_status", "T35", "T36", sql=f"""WITH {S.CHUNKS}, x AS (SELECT chunk_key, document_id, row_number() OVER (PARTITION BY document_id ORDER BY chunk_index, chunk_key) AS pos, regexp_matches(text, '(?i)shall be (substituted|replaced)') AS r, regexp_matches(text, '^[A-Z][A-Za-z ]+(Rules|Regulations|Act), (19|20)[0-9]{{2}}\\b') AS b FROM chunks),
+@query("t36_authority_status", "T34", "T35", "T36", sql=f"""WITH {S.CHUNKS}, x AS (SELECT chunk_key, document_id, row_number() OVER (PARTITION BY document_id ORDER BY chunk_index, chunk_key) AS pos, regexp_matches(text, '(?i)shall be (substituted|replaced)') AS r, regexp_matches(text, '^[A-Z][A-Za-z ]+(Rules|Regulations|Act), (19|20)[0-9]{{2}}\\b') AS b FROM chunks),
 y AS (SELECT *, max(CASE WHEN r THEN pos END) OVER o AS last, max(CASE WHEN b AND NOT r THEN pos END) OVER o AS edge FROM x WINDOW o AS (PARTITION BY document_id ORDER BY pos ROWS UNBOUNDED PRECEDING))
 SELECT chunk_key, CASE WHEN r THEN 'current_explicit' WHEN last IS NULL THEN 'unknown' WHEN edge > last THEN 'historical_appended' WHEN pos - last <= 48 THEN 'current_replacement' ELSE 'unknown' END AS authority_status FROM y""")
 def t36_authority_status(spark, d):
@@ -215,7 +215,7 @@ def t36_authority_status(spark, d):
     return I.authority_status(rows, "document_id", "at", "text").select("chunk_key", "authority_status")
 
 
-@query("t26_scope_labels", "T26", sql=f"""WITH {S.CHUNKS} SELECT chunk_key, array_to_string(list_sort(list_distinct(list_concat(
+@query("t26_scope_labels", "T26", "T51", sql=f"""WITH {S.CHUNKS} SELECT chunk_key, array_to_string(list_sort(list_distinct(list_concat(
  list_transform(regexp_extract_all(text, '(?i)\\bline[- ]?0*([0-9]+)', 1), lambda n: 'LINE-' || n), list_transform(regexp_extract_all(text, '(?i)\\brs[- ]?0*([0-9]+)', 1), lambda n: 'RS-' || n)))), ',') AS scopes FROM chunks WHERE text IS NOT NULL""")
 def t26_scope_labels(spark, d):
     return C.chunks(spark, d, "text").filter("text IS NOT NULL").select("chunk_key", F.array_join(I.scope_labels(c("text")), ",").alias("scopes"))

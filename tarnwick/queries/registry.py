@@ -33,6 +33,11 @@ def query(name: str, *rows: str, sql: str | None = None):
     return add
 
 
+def registered(name: str) -> Query:
+    """A query that another builds on; its module has been imported."""
+    return _QUERIES[name]
+
+
 def load_core() -> dict[str, Query]:
     """Every core query; importing a module of this folder registers its queries."""
     import tarnwick.queries as folder
