@@ -121,12 +121,12 @@ def planes(sketch: np.ndarray) -> np.ndarray:
     return np.packbits(lanes.reshape(-1), bitorder="little").view(np.uint64).reshape(BITS, blocks)
 
 
-def within(sketch: np.ndarray, vertical: np.ndarray, query: np.ndarray, block: np.ndarray, radius: int) -> np.ndarray:
-    """For each pair of a query row and a block of 64 rows, the lanes at a Hamming distance of at most `radius`.
+def within(sketch: np.ndarray, vertical: np.ndarray, query: np.ndarray, block: np.ndarray, valid: np.ndarray, radii: list[int]) -> np.ndarray:
+    """For each pair of a query row and a block of 64 rows, the `valid` lanes at a Hamming distance of at most the radius.
 
     Distances of all lanes are kept in bit-sliced counters: seven differing bits at a time go through carry-save
-    adders into three words, which are added to the counters. After each 64 bits, blocks in which every lane is beyond the
-    radius are given up.
+    adders into three words, which are added to the counters. After each 64 bits a lane must be within the radius for as many
+    bits (`radii`), and blocks in which every valid lane is beyond it are given up.
     """
     digits = BITS.bit_length()
     result = np.zeros(len(query), np.uint64)
@@ -150,17 +150,25 @@ def within(sketch: np.ndarray, vertical: np.ndarray, query: np.ndarray, block: n
             _add(counters, 1, twos)
             _add(counters, 2, fours)
         _add(counters, 0, differ(63))
-        near = _at_most(counters, radius)
+        valid = valid & _at_most(counters, radii[w])
         if w == WORDS - 1:
-            result[live] = near
+            result[live] = valid
             break
-        keep = near != 0
-        live, counters = live[keep], counters[:, keep]
+        keep = valid != 0
+        if keep.all():
+            continue
+        live, counters, valid = live[keep], counters[:, keep], valid[keep]
         if not len(live):
             break
     return result
 
 
+def _lanes(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Words with the bits from `low` on and below `high`, both within 0 and 64."""
+    below = lambda n: np.where(n >= 64, ~np.uint64(0), (np.uint64(1) << np.minimum(n, 63).astype(np.uint64)) - np.uint64(1))
+    return below(high) & ~below(low)
+
+
 def _csa(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     half = a ^ b
     return half ^ c, (a & b) | (half & c)
@@ -202,7 +210,7 @@ def partners(group: np.ndarray, n: np.ndarray, place: np.ndarray, similarity: fl
     return np.searchsorted(order + n, order + np.minimum(most, wide - 1), "right")
 
 
-def near_pairs(group: np.ndarray, n: np.ndarray, place: np.ndarray, side: np.ndarray, sketch: np.ndarray, radius: int, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+def near_pairs(group: np.ndarray, n: np.ndarray, place: np.ndarray, side: np.ndarray, sketch: np.ndarray, radii: list[int], similarity: float) -> tuple[np.ndarray, np.ndarray]:
     """Rows i < j of one group whose sketches are within the radius, sizes and places permitting.
 
     Rows are sorted by (group, n), groups are numbered from 0. Where `side` differs within a group, only rows of unlike sides
@@ -220,7 +228,7 @@ def near_pairs(group: np.ndarray, n: np.ndarray, place: np.ndarray, side: np.nda
     spans = (end[busy] - 1) // 64 - first_block + 1
     two = _two_sided(group, side)
     out_i, out_j = [], []
-    step = 50_000
+    step = 32_768
     edges = np.concatenate([[0], np.cumsum(spans)])
     at = 0
     while at < len(busy):
@@ -228,14 +236,12 @@ def near_pairs(group: np.ndarray, n: np.ndarray, place: np.ndarray, side: np.nda
         some, count = busy[at:stop], spans[at:stop]
         query = np.repeat(some, count)
         block = np.repeat(first_block[at:stop], count) + np.arange(len(query)) - np.repeat(np.cumsum(count) - count, count)
-        lanes = within(sketch, vertical, query, block, radius)
+        lanes = within(sketch, vertical, query, block, _lanes(np.maximum(query + 1 - block * 64, 0), np.clip(end[query] - block * 64, 0, 64)), radii)
         hit = np.flatnonzero(lanes)
         if len(hit):
             bits = np.unpackbits(lanes[hit].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
             k, lane = np.nonzero(bits)
             i, j = query[hit[k]], block[hit[k]] * 64 + lane
-            good = (j > i) & (j < end[i])
-            i, j = i[good], j[good]
             # The larger set's place counts as well.
             shared = np.minimum(n[i] - place[i], n[j] - place[j])
             good = shared >= (n[i] + n[j]) * (similarity / (1 + similarity)) - 1e-6
@@ -256,10 +262,10 @@ def _two_sided(group: np.ndarray, side: np.ndarray) -> np.ndarray:
     return np.repeat(low != high, sizes)
 
 
-def radius_for(similarity: float, deviations: float = 4.5) -> int:
-    """Distance that a pair at the similarity exceeds with a probability of about 3 in a million."""
+def radius_for(similarity: float, bits: int = BITS, deviations: float = 4.7) -> int:
+    """Distance over so many bits that a pair at the similarity exceeds with a probability of about 1 in a million."""
     p = (1 - similarity) / 2
-    return min(BITS, int(np.ceil(BITS * p + deviations * (BITS * p * (1 - p)) ** 0.5)))
+    return min(bits, int(np.ceil(bits * p + deviations * (bits * p * (1 - p)) ** 0.5)))
 
 
 def _sets(df: DataFrame, key: str, text: str, width: int) -> DataFrame:
@@ -340,7 +346,7 @@ def near_duplicates(df: DataFrame, key: str, text: str, similarity: float = 0.8,
 
     table = _cells(sets)
     cells = spark.sparkContext.broadcast(table)  # CELLS numbers
-    radius, at_least = radius_for(similarity), similarity
+    radii, at_least = [radius_for(similarity, 64 * (w + 1)) for w in range(WORDS)], similarity
     # Only a shingle in a cell with more than `full` entries can have a block above TILE rows, or above the cells' usual load.
     full = max(TILE, 4 * int(table.mean()))
 
@@ -396,7 +402,7 @@ def near_duplicates(df: DataFrame, key: str, text: str, similarity: float = 0.8,
                 return pa.RecordBatch.from_arrays([pa.array([], pa.int64())] * 2, ["x", "y"])
             group, side, ids, n, place = np.unique(group[keep], return_inverse=True)[1], side[keep], ids[keep], n[keep], place[keep]
             sketch = np.stack([table.column(s).to_numpy().view(np.uint64)[order[keep]] for s in SKETCH], axis=1)
-            i, j = near_pairs(group, n, place, side, sketch, radius, at_least)
+            i, j = near_pairs(group, n, place, side, sketch, radii, at_least)
             x, y = np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])
             pairs = np.unique(np.stack([x, y])[:, x < y], axis=1)
             return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["x", "y"])

@@ -74,7 +74,7 @@ def test_bit_sliced_distances():
     distance = lambda i, j: int(sum(bin(int(a ^ b)).count("1") for a, b in zip(sketch[i], sketch[j])))
     group = np.repeat([0, 1, 2], [90, 30, 80])
     flat = np.full(200, 100)
-    i, j = B.near_pairs(group, flat, np.zeros(200, int), np.zeros(200, int), sketch, 120, 0.5)
+    i, j = B.near_pairs(group, flat, np.zeros(200, int), np.zeros(200, int), sketch, [64, 128, 192, 120], 0.5)
     true = {(a, b) for a in range(200) for b in range(a + 1, 200) if group[a] == group[b] and distance(a, b) <= 120}
     assert set(zip(i.tolist(), j.tolist())) == true and (10, 50) in true
 
