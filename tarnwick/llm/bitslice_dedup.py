@@ -328,7 +328,7 @@ def near_duplicates(df: DataFrame, key: str, text: str, similarity: float = 0.8,
 
     Blocks are exact: of each set only the rarest shingles that a similar set cannot all miss are block keys. Within
     a block 256-bit sketches are compared bit-sliced, where the sizes of two sets and the places of the shared shingle allow a
-    link; what is within a radius that a linked pair exceeds in about 3 of a million cases is settled by the exact sets. Blocks
+    link; what is within radii that a linked pair exceeds in about 5 of a million cases is settled by the exact sets. Blocks
     above TILE rows become tiles, each pair of tiles a unit of its own; nothing that grows with the records is broadcast.
     Of repeated keys with unlike texts the one whose set has the greater hash counts; null keys are left out, null texts have no
     runs. Ties do not occur; other columns are ignored; empty tables give empty results. Whole texts are read.

@@ -65,6 +65,15 @@ def counter(vocabulary: str = VOCABULARY) -> TokenCounter:
     return _counters[vocabulary]
 
 
+def _shipped(df: DataFrame, vocabulary: str) -> str:
+    """The vocabulary's file goes to every executor with the job, so that only the driver needs to have it."""
+    context = df.sparkSession.sparkContext
+    name = os.path.basename(vocabulary)
+    if os.path.exists(vocabulary) and not any(path.endswith(f"/{name}") for path in context.listFiles):
+        context.addFile(vocabulary)
+    return name
+
+
 def token_sizes(df: DataFrame, key: str, text: str, *keep: str, vocabulary: str = VOCABULARY) -> DataFrame:
     """(key, keep..., n_tokens): whole texts are counted; a null text has no tokens. Rows with a null key are left out.
 
@@ -74,8 +83,12 @@ def token_sizes(df: DataFrame, key: str, text: str, *keep: str, vocabulary: str
     fields = [f for f in rows.schema.fields if f.name != "_text"]
     names = [f.name for f in fields]
 
+    name = _shipped(df, vocabulary)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = counter(vocabulary).count
+        from pyspark import SparkFiles
+
+        count = counter(SparkFiles.get(name)).count
         for batch in bounded(batches, "_text"):
             sizes = [0 if t is None else count(t) for t in batch.column("_text").to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(sizes, pa.int64())], [*names, "n_tokens"])
