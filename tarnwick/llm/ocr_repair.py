@@ -17,7 +17,7 @@ from tarnwick.llm.arrow import bounded
 from tarnwick.llm.boosting import Boosted, boost
 from tarnwick.session import cut_lineage
 
-# Usual misreadings, as (read as, stands for) ------------------------------------------
+# Usual misreadings, as (read as, stands for)
 CONFUSIONS = (
     ("rn", "m"), ("m", "rn"), ("ri", "n"), ("ii", "u"), ("cl", "d"), ("d", "cl"), ("vv", "w"), ("w", "vv"), ("li", "h"), ("h", "li"), ("lc", "k"), ("in", "m"), ("iii", "m"),
     ("c", "e"), ("e", "c"), ("o", "a"), ("a", "o"), ("0", "o"), ("o", "0"), ("1", "l"), ("1", "i"), ("l", "i"), ("i", "l"), ("l", "1"), ("5", "s"), ("s", "5"), ("8", "b"), ("6", "b"), ("6", "g"),
@@ -88,7 +88,7 @@ def words_of(line: str) -> list[tuple[str, str]]:
 FEATURES = 15
 
 
-# Line-pair classifiers ------------------------------------------------------------------------------
+# Line-pair classifiers
 def line_features(lines: list[str], i: int, again: int, voice: float) -> list[float]:
     """What tells furniture from text, of a line between its neighbours; `again`: pages of the file that have the line."""
     line = lines[i].strip()
@@ -170,7 +170,7 @@ def train_joins(words: dict[str, int], seed: int = 3) -> Boosted:
     return boost(np.array(x).reshape(-1, 6), np.array(y), trees=40)
 
 
-# Ranking of corrections -----------------------------------------------------------------------------
+# Ranking of corrections
 _COST = {(a, b): (0.25 if len(a) == len(b) else 0.3) for a, b in CONFUSIONS}
 #: Misreadings by the first letter that is read.
 _FROM = {x: [(a, b, c) for (a, b), c in _COST.items() if a[0] == x] for x in {a[0] for a, _ in CONFUSIONS}}
@@ -268,7 +268,7 @@ def train_corrections(words: dict[str, int], pairs: dict[tuple[str, str], int],
     return boost(np.array(x).reshape(-1, 10), np.array(y))
 
 
-# The plan -------------------------------------------------------------------------------------------
+# The plan
 def scan_rows(df: DataFrame, table: str, key: str, source: str, text: str, scanned: str, pages: bool) -> DataFrame:
     """(table, key, pages, scanned, text, source), one row for each key, for `repair_scans`.
 

@@ -16,7 +16,7 @@ from tarnwick.session import cut_lineage
 #: In order: of several defects of one pair the first is the leading one.
 DEFECTS = ("empty", "copied_question", "refusal", "other_language", "truncated")
 
-# Word lists by language --------------------------------------------------------------
+# Word lists by language
 COMMON = {
     "en": "the of and to is are was were be been has have had it its that this which with for from at by on not no an if when where before after under each every both who what how may must shall should into than then they there he she we you i",
     "de": "der die das den dem des und ist sind war wird werden wurde wurden nicht kein keine ein eine einen einem einer mit von zu zum zur auf aus bei nach vor für ohne wenn sobald dass wie wer was warum oder auch sich wieder dies unter darf dürfen muss müssen länger als in",

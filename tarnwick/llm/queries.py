@@ -21,7 +21,7 @@ from tarnwick.llm.tree_split import split_oversized
 from tarnwick.sources import load
 
 
-# 1. One ranking from several scores ---------------------------------------------------------------
+# 1. One ranking from several scores
 def _ranking(spark: SparkSession, folder: str) -> DataFrame:
     scores = ["score", "vector_score", "keyword_score"]
     return median_rank(load(spark, folder, "retrieved_chunk"), "qid", "chunk_key", scores, delivered="ingested_at")
@@ -35,7 +35,7 @@ def p1_ranking(spark: SparkSession, folder: str) -> DataFrame:
     return _ranking(spark, folder)
 
 
-# 2. Splitting oversized items ---------------------------------------------------------------------
+# 2. Splitting oversized items
 def _pieces(spark: SparkSession, folder: str) -> DataFrame:
     settings = load(spark, folder, "chunk_settings")  # four rows
     rows = load(spark, folder, "text_chunk").join(F.broadcast(settings), "settings_profile")
@@ -61,7 +61,7 @@ def p2_rejoined(spark: SparkSession, folder: str) -> DataFrame:
     return pieces.groupBy("chunk_key").agg(F.md5(F.array_join(whole, "")).alias("rejoined"), fits.alias("fits"))
 
 
-# 3. Broken pairs ------------------------------------------------------------------------------
+# 3. Broken pairs
 def _defects(spark: SparkSession, folder: str) -> DataFrame:
     return pair_defects(load(spark, folder, "audit_logs"), "id", "question", "response", "ingested_at")
 
@@ -74,7 +74,7 @@ def p3_defects(spark: SparkSession, folder: str) -> DataFrame:
     return _defects(spark, folder)
 
 
-# 4. Most similar vectors ------------------------------------------------------------------------
+# 4. Most similar vectors
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     near = nearest(load(spark, folder, "document_chunks"), "vec_key", "embedding", k=10, min_similarity=0.85)
     return near.select(F.least("vec_key", "neighbour").alias("key_a"), F.greatest("vec_key", "neighbour").alias("key_b")).distinct()
@@ -84,7 +84,7 @@ def p4_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     return nearest(load(spark, folder, "document_chunks"), "vec_key", "embedding", k=10, queries="vec_key % 100 = 0")
 
 
-# 5. Repeated lines ----------------------------------------------------------------------------
+# 5. Repeated lines
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return repeated_lines(load(spark, folder, "page_text"), "filename", "page_id", "text").select("page_id", "line_no")
 
@@ -97,7 +97,7 @@ def p5_chunks(spark: SparkSession, folder: str) -> DataFrame:
     return without_repeated_chunks(load(spark, folder, "page_text"), "filename", "page_id", "text")
 
 
-# 6. Near duplicates ---------------------------------------------------------------------------
+# 6. Near duplicates
 def _links(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     return near_duplicates(load(spark, folder, "text_chunk"), "chunk_key", "text", similarity=0.5, width=3)
 
@@ -110,7 +110,7 @@ def p6_members(spark: SparkSession, folder: str) -> DataFrame:
     return _links(spark, folder)[1]
 
 
-# 7. Scanned pages -----------------------------------------------------------------------------
+# 7. Scanned pages
 def _repair(spark: SparkSession, folder: str) -> Repair:
     pages = scan_rows(load(spark, folder, "page_text"), "page_text", "page_id", "filename", "text", "ocr_used", pages=True)
     chunks = scan_rows(load(spark, folder, "text_chunk"), "text_chunk", "chunk_key", "filename", "text", "ocr_used", pages=False)
@@ -126,7 +126,7 @@ def p7_texts(spark: SparkSession, folder: str) -> DataFrame:
     return _repair(spark, folder).repaired().withColumnsRenamed({"table": "source_table", "key": "row_key"})
 
 
-# 8. Filling containers ----------------------------------------------------------------------------
+# 8. Filling containers
 def _containers(spark: SparkSession, folder: str) -> DataFrame:
     capacity = load(spark, folder, "pack_settings").select("capacity_tokens").first()[0]  # one row
     sizes = token_sizes(load(spark, folder, "documents"), "doc_id", "text")
@@ -149,7 +149,7 @@ def p8_fill(spark: SparkSession, folder: str) -> DataFrame:
     return rows.agg(F.countDistinct("doc_id").alias("documents")).crossJoin(per)  # a row each
 
 
-# 9. Mixing sources --------------------------------------------------------------------------------
+# 9. Mixing sources
 def _mix(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     sizes = token_sizes(load(spark, folder, "documents"), "doc_id", "text", "source")
     return mix(sizes, "doc_id", "source", "n_tokens", load(spark, folder, "mix_targets"))
@@ -177,7 +177,7 @@ def p9_kept(spark: SparkSession, folder: str) -> DataFrame:
     return kept.select("source", "target_share", "max_repeats", close.alias("share_reached"), often.alias("repeats_kept"))
 
 
-# 10. Subject areas ------------------------------------------------------------------------------
+# 10. Subject areas
 def _areas(spark: SparkSession, folder: str) -> DataFrame:
     return subject_areas(load(spark, folder, "documents"), "doc_id", "text", load(spark, folder, "subject_seed"))
 

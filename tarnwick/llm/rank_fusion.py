@@ -103,7 +103,14 @@ def _split(rows: DataFrame, group: str, item: str, scores: Sequence[str], weight
 
 def _descending(df: DataFrame, item: str) -> Column:
     """A value that falls as `item` rises; text falls by the complement of its bytes."""
-    if dict(df.dtypes)[item] in ("string", "binary"):
+    kind = dict(df.dtypes)[item]
+    if kind in ("string", "binary"):
         # With a sign of the end above every complemented digit a prefix comes after what it begins.
         return F.concat(F.translate(F.lower(F.hex(F.col(item).cast("binary"))), "0123456789abcdef", "fedcba9876543210"), F.lit("g"))
+    if kind == "date":
+        return -F.unix_date(item)
+    if kind == "timestamp":
+        return -F.unix_micros(item)
+    if kind == "boolean":
+        return ~F.col(item)
     return -F.col(item)

@@ -67,3 +67,11 @@ def test_latest_delivery_counts(spark):
 def test_empty_and_clashing_columns(spark):
     df = spark.createDataFrame([], SCHEMA + ", rank int, median_place int, _rows int")
     assert median_rank(df, "qid", "item", SCORES).count() == 0
+
+
+def test_items_of_any_type_rank_alike_on_both_ways(spark):
+    base = spark.createDataFrame([("q", i, float(i % 5), float(i % 3)) for i in range(40)], "qid string, n int, a double, b double")
+    for item in ("date_add(date'2024-01-01', n)", "timestamp_seconds(n)", "n % 2 = 0", "concat('k', n)", "cast(n as decimal(9, 2))"):
+        df = base.selectExpr("qid", f"{item} as item", "a", "b")
+        window = ranks(median_rank(df, "qid", "item", ["a", "b"]))
+        assert ranks(median_rank(df, "qid", "item", ["a", "b"], hot_rows=5)) == window and len(window) in (2, 40)
