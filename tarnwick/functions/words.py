@@ -43,7 +43,7 @@ SINGULAR = (Suffix(4, ("ies",), 3, "y"), Suffix(3, ("sses", "shes", "ches", "xes
 STEM_ROUTE_LONG = (Suffix(7, ("ation",), 5), Suffix(6, ("tion",), 3), Suffix(6, ("ment",), 4))
 STEM_ROUTE_SHORT = (Suffix(5, ("ing",), 3), Suffix(4, ("ed",), 2, "", ("eed",)), Suffix(4, ("ies",), 3, "y"), _PLURAL)
 
-# Cues by which a question is understood ------------------------------------------------------------
+# Cues by which a question is understood
 QUESTION_STARTS = ("can ", "could ", "do ", "does ", "explain ", "how ", "is ", "should ", "tell me ", "what ", "when ", "where ", "which ", "who ", "why ")
 FOLLOWUP_STARTS = ("and ", "also ", "how about ", "same for ", "what about ", "what if ")
 POINTING = "it that this same those them they there these".split()

@@ -28,7 +28,7 @@ def _method():
     return F.lower(F.regexp_replace("retrieval_method", "[^A-Za-z]+", "+"))
 
 
-# Discovery and diagnostics ---------------------------------------------------------------------------
+# Discovery and diagnostics
 @query("r20_unified_discovery", "R20", sql=f"""WITH {S.CANDIDATES}, {S.CHUNKS}, x AS (SELECT qid, k.document_id, coalesce(vector_score, 0) AS v, {METHOD} AS m, {S.terms_smart('question')} AS q, {S.terms_smart('k.text')} AS t FROM candidates JOIN query_plans USING (qid) JOIN chunks k USING (chunk_key)),
 g AS (SELECT qid, document_id, max(v) AS signal, count(DISTINCT m) AS methods, any_value(q) AS q, list_distinct(flatten(list(t))) AS t FROM x GROUP BY ALL)
 SELECT qid, document_id, round(0.58 * least(1.0, signal) + 0.30 * CASE WHEN len(q) = 0 THEN 0 ELSE len(list_intersect(q, t)) / len(q) END + 0.12 * least(1.0, methods / 3) + 1e-10, 6) AS score, CASE WHEN signal >= 0.5 AND methods >= 2 THEN 'confirmed' WHEN signal >= 0.3 THEN 'likely' ELSE 'weak' END AS decision FROM g""")
@@ -101,7 +101,7 @@ def r26_evidence_answer(spark, d):
     return rows.groupBy("qid").agg(F.array_join(lines, "\n").alias("answer"))
 
 
-# Plans ----------------------------------------------------------------------------------------------
+# Plans
 DIMENSIONS = {"limit": "limit maximum minimum threshold", "steps": "steps procedure how", "authority": "who confirms authority approves", "time": "when time duration hours minutes", "difference": "compare difference between versus"}
 
 
@@ -131,7 +131,7 @@ def t55_candidate_aliases(spark, d):
     return C.plans(spark, d).select("qid", F.array_join(F.array_sort(F.slice(every, 1, 12)), " ").alias("aliases"))
 
 
-# Texts ----------------------------------------------------------------------------------------------
+# Texts
 _FACT = r"(?i)([a-z]+ [a-z]+) (?:is|are|for|in) ([0-9]+(?:\.[0-9]+)?) (per cent|units|minutes|hours|days|months|km/h|bar)\b"
 
 
@@ -158,7 +158,7 @@ def j20_rules_of_sections(spark, d):
     return cards.join(rules, ["document_id", "heading"], "left").select("document_id", "heading", "chunks", "page_start", F.coalesce("rules", F.lit(0)).alias("rules"))
 
 
-# Tables ---------------------------------------------------------------------------------------------
+# Tables
 @query("l10_header_row", "L10", sql=f"""WITH {S.CHUNKS}, x AS (SELECT chunk_key, list_transform(string_split(text, chr(10)), lambda l: trim(string_split(l, '|')[1])) AS f FROM chunks WHERE content_type = 'table')
 SELECT chunk_key, NOT coalesce(regexp_full_match(f[1], '[0-9]{{1,9}}') AND regexp_full_match(f[2], '[0-9]{{1,9}}') AND try_cast(f[2] AS BIGINT) = try_cast(f[1] AS BIGINT) + 1, false) AS is_header FROM x""")
 def l10_header_row(spark, d):
@@ -190,7 +190,7 @@ def l33_section_family(spark, d):
     return rows.select("chunk_key", ((c("a") != "") & (c("b") != "") & (F.contains("a", c("b")) | F.contains("b", c("a")))).alias("family"))
 
 
-# Appending ------------------------------------------------------------------------------------------
+# Appending
 @query("s15_audit_append", "S15", sql=f"WITH {S.AUDIT} SELECT event_type, count(*) AS events, count(*) FILTER (WHERE success) AS successes FROM audit GROUP BY event_type")
 def s15_audit_append(spark, d):
     """Events are appended in two writes to one table, chats apart from the rest, and read back as one."""

@@ -25,7 +25,7 @@ from tarnwick.sources import generations as G
 
 c = F.col
 
-# R1 and R2 -----------------------------------------------------------------------------------------
+# R1 and R2
 QUALITY_SQL = f"""{S.CHUNKS}, split AS (SELECT chunk_key, {S.bm25_tokens("text")} AS terms FROM chunks), long AS (SELECT chunk_key, len(terms) AS dl, unnest(terms) AS term FROM split),
 post AS (SELECT term, chunk_key, dl, count(*) AS tf FROM long GROUP BY ALL), total AS (SELECT count(*) AS n, avg(len(terms)) AS avgdl FROM split), freq AS (SELECT term, count(*) AS df FROM post GROUP BY term),
 variants AS (SELECT qid, i - 1 AS place, search_queries[i] AS v FROM query_plans, range(1, 21) g(i) WHERE i <= len(search_queries)),
@@ -109,7 +109,7 @@ def r7_corpus_scan(spark, d):
     return rows.filter(met >= F.when(F.size("q") <= 2, 1).otherwise(2)).select("qid", "chunk_key", F.round(score + 1e-10, 6).alias("score"))
 
 
-# Routing by windows of neighbouring candidates ------------------------------------------------------
+# Routing by windows of neighbouring candidates
 WINDOWS_SQL = f"""{S.CANDIDATES}, {S.CHUNKS}, {ANCHORS_SQL}, rows AS (SELECT qid, k.document_id, k.chunk_index, k.chunk_key, coalesce(r.score, 0) AS score, {S.terms_smart('k.text')} AS t, {S.tokens('k.text', '[a-z0-9]+')} AS raw FROM candidates r JOIN chunks k USING (chunk_key)),
 m AS (SELECT a.qid, a.document_id, a.chunk_key, max(b.score) AS best, list_distinct(flatten(list(b.t))) AS terms, list_distinct(flatten(list(b.raw))) AS raw FROM rows a JOIN rows b ON a.qid = b.qid AND a.document_id = b.document_id AND b.chunk_index BETWEEN a.chunk_index AND a.chunk_index + 2 GROUP BY ALL),
 w AS (SELECT m.*, groups, intent, {S.priority_terms('question')} AS focus, len(list_filter(groups, lambda g: list_has_all(raw, string_split(g, ' ')))) AS held FROM m JOIN anchors USING (qid) JOIN (SELECT qid, question FROM query_plans) USING (qid))"""
@@ -227,7 +227,7 @@ def t52_local_neighbours(spark, d):
     return near.filter(fits).select("qid", "chunk_key").distinct()
 
 
-# Chunk contexts -----------------------------------------------------------------------------------
+# Chunk contexts
 @query("c3_tiny_sections", "C3", sql=f"""WITH {S.CHUNKS}, x AS (SELECT chunk_key, document_id, chunk_index, page_number, coalesce(page_end, page_number) AS page_end, content_type, length(text) AS n, array_to_string(section_path[:len(section_path) - 1], ' > ') AS parent FROM chunks),
 y AS (SELECT *, CASE WHEN n < 180 AND content_type = 'text' AND lag(content_type) OVER o = 'text' AND page_number <= lag(page_end) OVER o + 1 AND parent = lag(parent) OVER o THEN 0 ELSE 1 END AS fresh FROM x WINDOW o AS (PARTITION BY document_id ORDER BY chunk_index, chunk_key)),
 z AS (SELECT *, sum(fresh) OVER (PARTITION BY document_id ORDER BY chunk_index, chunk_key) AS section FROM y) SELECT document_id, CAST(section AS BIGINT) AS section, count(*) AS parts, min(chunk_key) AS first_key, max(page_end) AS page_end FROM z GROUP BY ALL""")
@@ -297,7 +297,7 @@ def l24_novel_content(spark, d):
     return rows.select("chunk_key", novel.cast("long").alias("novel"), ((F.size("o") >= 12) & (novel >= 12) & (novel / F.size("o") >= 0.2)).alias("recovers"))
 
 
-# Affinity of names ----------------------------------------------------------------------------------
+# Affinity of names
 @query("t16_text_affinity", "T16")
 def t16_text_affinity(spark, d):
     """Headings of candidates against their question: 0.48 coverage, 0.18 Jaccard, 0.24 likeness of the sequences, 0.10 for containment."""
@@ -317,7 +317,7 @@ def t16_text_affinity(spark, d):
     return scored.select("qid", "chunk_key", F.round(c("cov") * 0.48 + c("jac") * 0.18 + c("seq") * 0.24 + c("within") * 0.10, 6).alias("affinity"))
 
 
-# Maintenance ----------------------------------------------------------------------------------------
+# Maintenance
 @query("s14_cascade_delete", "S14", sql=f"""WITH {S.FILES}, {S.CHUNKS}, gone AS (SELECT document_id FROM files WHERE status = 'failed') SELECT content_type, count(*) AS kept FROM chunks WHERE document_id NOT IN (SELECT document_id FROM gone) GROUP BY content_type""")
 def s14_cascade_delete(spark, d):
     """Chunks of failed documents go with them; what is left, by type."""
@@ -348,7 +348,7 @@ def s12_legacy_mirror(spark, d):
     return spark.read.parquet(path)
 
 
-# Lines ----------------------------------------------------------------------------------------------
+# Lines
 @query("l29_line_groups", "L29", sql=f"""WITH {S.PAGES}, lines AS (SELECT page_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM pages WHERE text IS NOT NULL), w AS (SELECT page_id, n, list_filter(string_split(line, ' '), lambda x: x != '') AS w, line FROM lines)
 SELECT page_id, n, array_to_string(w, ' ') AS line, CAST(20 * (length(line) - length(ltrim(line, ' '))) AS DOUBLE) AS x0, len(list_filter(w, lambda x: regexp_full_match(x, '[A-Z]{{2,}}'))) > 0 AS bold FROM w WHERE len(w) > 0""")
 def l29_line_groups(spark, d):

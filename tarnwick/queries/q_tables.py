@@ -33,7 +33,7 @@ def _words(spark, d):
     return rows.select("page_id", "n", "word", x0.alias("x0"), (x0 + 15).alias("x1"), y0.alias("y0"), (y0 + 10).alias("y1"))
 
 
-# Layout -------------------------------------------------------------------------------------------
+# Layout
 @query("l1_word_lines", "L1", sql=f"""WITH {LINES}, w AS (SELECT page_id, n, len(list_filter(string_split(line, ' '), lambda x: x != '')) AS words FROM lines)
 SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY n) - 1 AS line, words FROM w WHERE words > 0""")
 def l1_word_lines(spark, d):
@@ -92,7 +92,7 @@ def l20_needs_ocr(spark, d):
     return C.pages(spark, d).select("page_id", ((chars < 80) | (share > 0.55)).alias("ocr"))
 
 
-# Tables -------------------------------------------------------------------------------------------
+# Tables
 def _page_tables(spark, d):
     """(filename, page_id, page, columns, names): the table of each page of tables, its names where a row has no digits."""
     rows = _lines(spark, d).filter((c("content_type") == "table") & F.contains("line", F.lit("|")))
@@ -152,7 +152,7 @@ def t22_cell_pairs(spark, d):
     return pairs.select("chunk_key", "z.alias", "z.name").filter(c("alias").rlike("^[A-Z][A-Z0-9/-]{1,11}$") & c("name").rlike("[a-z]{2,} [A-Za-z]{2,}")).distinct()
 
 
-# Terminology --------------------------------------------------------------------------------------
+# Terminology
 _NAME = "[A-Z][A-Za-z]+(?:[ /-](?:[A-Z][A-Za-z]+|of|and|the|for|to|in|on)){1,7}"
 _SHAPES = ((f"({_NAME}) \\\\(([A-Z][A-Z0-9]{{1,9}})\\\\)", 2, 1, 0.98), (f"\\\\b([A-Z][A-Z0-9]{{1,9}}) \\\\(({_NAME})\\\\)", 1, 2, 0.98), ("\\\\b([A-Z][A-Z0-9]{1,9}) means ([A-Za-z]+(?: [A-Za-z]+){1,7})", 1, 2, 0.96), (f"\\\\b([A-Z][A-Z0-9]{{1,9}}) [-–:] ({_NAME})", 1, 2, 0.97))
 _SHAPES = tuple((p.replace("\\\\", "\\"), a, b, sure) for p, a, b, sure in _SHAPES)
@@ -177,7 +177,7 @@ def a1_dominant_terms(spark, d):
     return I.dominant_terms(I.terminology(C.chunks(spark, d, "text"), "chunk_key", "text"))
 
 
-# Numbers, states, scopes ---------------------------------------------------------------------------
+# Numbers, states, scopes
 _RULE = rf"(?i)([a-z]+(?: [a-z]+)?) (?:is |are |of |)({'|'.join(p for p, _ in I.COMPARISONS)}) ([0-9]+(?:\.[0-9]+)?) ?({I.UNIT})?"
 RULES = f"""r AS (SELECT chunk_key, lower(unnest(regexp_extract_all(text, '{_RULE}', 1))) AS subject, lower(unnest(regexp_extract_all(text, '{_RULE}', 2))) AS words, CAST(unnest(regexp_extract_all(text, '{_RULE}', 3)) AS DOUBLE) AS threshold, lower(unnest(regexp_extract_all(text, '{_RULE}', 4))) AS u FROM chunks),
 rules AS (SELECT chunk_key, subject, CASE words {' '.join(f"WHEN '{p}' THEN '{o}'" for p, o in I.COMPARISONS)} END AS operator, threshold, CASE u {' '.join(f"WHEN '{a}' THEN '{b}'" for a, b in I.UNITS.items())} END AS unit FROM r)"""
