@@ -34,7 +34,6 @@ CUT = re.compile(rf"([^\W\d_][\w{HYPHENS}]*|[^\W_]+)[{HYPHENS}]\s*$")
 START = re.compile(rf"^\s*([^\W_][\w]*(?:[{HYPHENS}][^\W_]\w*)*)")
 NUMBERED = re.compile(r"^\d+\.\s")
 PLAIN = re.compile(r"[^\W\d_]+")
-ENDED = re.compile(r"[.!?:;…][\"')\]]*\s*$")
 
 
 def is_page_number(line: str) -> bool:
@@ -84,6 +83,14 @@ def words_of(line: str) -> list[tuple[str, str]]:
     return [get(token) or _core(token) for token in line.split()]
 
 
+_DIGIT = re.compile(r"\d")
+
+
+def _ended(line: str) -> bool:
+    """Does a line end like a sentence, quotes and brackets aside?"""
+    return line.rstrip().rstrip("\"')]")[-1:] in tuple(".!?:;…")
+
+
 #: Numbers that describe a line between its neighbours.
 FEATURES = 15
 
@@ -104,14 +111,15 @@ def line_features(lines: list[str], i: int, again: int, voice: float) -> list[fl
         if lines[k].strip():
             after = lines[k]
             break
-    ended = bool(ENDED.search(line))
-    broken = bool(before) and after[:1].islower() and not ENDED.search(before)
-    digits = [t for t in tokens if t[-1:].isdigit() or any(map(str.isdigit, t))]
+    ended = _ended(line)
+    lower = after[:1].islower()
+    broken = lower and bool(before) and not _ended(before)
+    digits = [t for t in tokens if _DIGIT.search(t)] if _DIGIT.search(line) else []
     return [
         float(np.log1p(again)), voice, len(tokens), len(line) / 10, upper / max(1, len(some)), sum(map(str.isupper, some)) / max(1, len(some)),
         sum(not t.isdigit() and bool(CODE.match(t)) for t in digits), len(digits), float(ended), float(bool(NUMBERED.match(line))),
         float(broken), float(not before), float(not after), float(line.count("|") + line.count(" - ")),
-        float(not ended and not after[:1].islower()),
+        float(not ended and not lower),
     ]
 
 
