@@ -560,10 +560,11 @@ def _line_hashes(rows: DataFrame) -> DataFrame:
 
 def _settle_cuts(cuts: DataFrame, known: DataFrame, joins) -> DataFrame:
     """keep: whether the hyphen stays; null where neither form is a known word."""
-    out = cuts
-    for column, name in (("word", "nj"), ("raw", "nh"), ("before", "na"), ("after", "nb")):
-        out = out.join(known.select(F.col("word").alias(column), F.col("n").alias(name)).hint("merge"), column, "left")
-    out = out.select("table", "key", "line_no", "kind", "word", "raw", "before", "after", "more", *[F.coalesce(n, F.lit(0)).alias(n) for n in ("nj", "nh", "na", "nb")])
+    own = ["table", "key", "line_no", "kind", "word", "raw", "before", "after", "more"]
+    # The four forms of a cut are looked up in one join.
+    parts = cuts.select(*own, F.posexplode(F.array("word", "raw", "before", "after")).alias("slot", "form"))
+    met = parts.join(known.select(F.col("word").alias("form"), "n").hint("merge"), "form", "left")
+    out = met.groupBy(*own).agg(*[F.coalesce(F.max(F.when(F.col("slot") == i, F.col("n"))), F.lit(0)).alias(name) for i, name in enumerate(("nj", "nh", "na", "nb"))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
