@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tarnwick.functions import text as T
+from tarnwick.operators import block_search as K
 from tarnwick.operators import ranking as R
 from tarnwick.queries import registry_sql as S
 from tarnwick.queries.registry import query
@@ -34,6 +35,13 @@ def _scores(spark, d, most=None, pairs=None, tokens=T.bm25_tokens):
     return R.bm25(index, asked, "chunk_key", total, most, pairs)
 
 
+def _best_scores(spark, d, most):
+    """(qid, chunk_key, bm25) of the best `most` chunks of each question."""
+    made, frequency, total = K.blocks(C.chunks(spark, d, "text"), "chunk_key", T.bm25_tokens(F.col("text")))
+    asked = C.plans(spark, d).select("qid", F.explode(F.array_distinct(T.bm25_tokens(F.col("question")))).alias("term"), F.lit(1.0).alias("weight"))
+    return K.search(made, K.weigh(asked, frequency, total), "chunk_key", most).select("qid", "chunk_key", "bm25")
+
+
 @query("r1_bm25_top", "A9", "T8", sql=f"""WITH {INDEX_SQL}
 SELECT qid, chunk_key, round(bm25, 6) AS bm25, rank FROM (
   SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(bm25, 9) DESC, chunk_key) AS rank FROM scored) WHERE rank <= 10""")
@@ -53,7 +61,7 @@ SELECT qid, chunk_key, score, rank FROM (
   SELECT qid, chunk_key, round(score, 6) AS score, row_number() OVER (PARTITION BY qid ORDER BY {ORDER_SQL}) AS rank
   FROM scored2 JOIN chunks USING (chunk_key)) WHERE rank <= 20""")
 def r24_hybrid_chunk_search(spark, d):
-    keyword = _scores(spark, d, 40).select("qid", "chunk_key", R.squash(F.col("bm25")).alias("keyword"))
+    keyword = _best_scores(spark, d, 40).select("qid", "chunk_key", R.squash(F.col("bm25")).alias("keyword"))
     vector = C.candidates(spark, d).filter("vector_score IS NOT NULL").select("qid", "chunk_key", F.col("vector_score").alias("vector"))
     fused = keyword.join(vector, ["qid", "chunk_key"], "full").withColumn("score", F.round(R.fuse_two(F.col("vector"), F.col("keyword")), 9))
     named = fused.join(C.chunks(spark, d, "chunk_id", "filename", "page_number", "chunk_index"), "chunk_key")
