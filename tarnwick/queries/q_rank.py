@@ -35,18 +35,23 @@ def _scores(spark, d, most=None, pairs=None, tokens=T.bm25_tokens):
     return R.bm25(index, asked, "chunk_key", total, most, pairs)
 
 
-def _best_scores(spark, d, most):
-    """(qid, chunk_key, bm25) of the best `most` chunks of each question."""
-    made, frequency, total = K.blocks(C.chunks(spark, d, "text"), "chunk_key", T.bm25_tokens(F.col("text")))
-    asked = C.plans(spark, d).select("qid", F.explode(F.array_distinct(T.bm25_tokens(F.col("question")))).alias("term"), F.lit(1.0).alias("weight"))
-    return K.search(made, K.weigh(asked, frequency, total), "chunk_key", most).select("qid", "chunk_key", "bm25")
+def _best_scores(spark, d, most, **marks):
+    """(qid, chunk_key, bm25, met, met_first, having) of the best `most` chunks of each question; `marks` are columns of the plans and `most_having`, as in `search`."""
+    most_having = marks.pop("most_having", 0)
+    made, frequency, total = K.blocks(C.chunks(spark, d, "text"), "chunk_key", T.bm25_tokens(F.col("text")), T.terms_smart(F.col("text")) if marks else None)
+    plans = C.plans(spark, d)
+    asked = plans.select("qid", F.explode(F.array_distinct(T.bm25_tokens(F.col("question")))).alias("term"), F.lit(1.0).alias("weight"))
+    queries = K.weigh(asked, frequency, total)
+    if marks:
+        queries = plans.select("qid", *[K.hashed(terms).alias(name) for name, terms in marks.items()]).join(queries, "qid", "left")
+    return K.search(made, queries, "chunk_key", most, most_having)
 
 
 @query("r1_bm25_top", "A9", "T8", sql=f"""WITH {INDEX_SQL}
 SELECT qid, chunk_key, round(bm25, 6) AS bm25, rank FROM (
   SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(bm25, 9) DESC, chunk_key) AS rank FROM scored) WHERE rank <= 10""")
 def r1_bm25_top(spark, d):
-    best = R.rank_in(_scores(spark, d, 10), ["qid"], [F.round("bm25", 9).desc(), F.col("chunk_key")])
+    best = R.rank_in(_best_scores(spark, d, 10), ["qid"], [F.round("bm25", 9).desc(), F.col("chunk_key").asc_nulls_last()])
     return best.select("qid", "chunk_key", F.round("bm25", 6).alias("bm25"), F.col("rank").cast("long").alias("rank"))
 
 
