@@ -16,7 +16,7 @@ from tarnwick.operators import evidence_index as I
 from tarnwick.operators import ranking as R
 from tarnwick.operators import search as X
 from tarnwick.queries import registry_sql as S
-from tarnwick.queries.q_rank import INDEX_SQL, ORDER_SQL, _scores
+from tarnwick.queries.q_rank import INDEX_SQL, ORDER_SQL, _best_scores
 from tarnwick.queries.q_understanding import ANCHORS_SQL, anchors, required_coverage
 from tarnwick.queries.registry import query
 from tarnwick.session import cut_lineage, shared_folder
@@ -102,11 +102,18 @@ x AS (SELECT qid, chunk_key, kw, {S.terms_smart('question')} AS q, {S.terms_smar
 SELECT qid, chunk_key, round(least(1.0, 0.30 + len(list_intersect(q, b)) / greatest(len(q), 1) * 0.48 + kw * 0.14 + CASE WHEN length(n) >= 4 AND contains(t, n) THEN 0.08 ELSE 0 END) + 1e-10, 6) AS score FROM x WHERE len(list_intersect(q, b)) >= CASE WHEN len(q) <= 2 THEN 1 ELSE 2 END""")
 def r7_corpus_scan(spark, d):
     """All chunks by keyword, the best 120 of each query checked for two of its terms, scored by coverage, keyword and phrase."""
-    rows = _scores(spark, d, 120).select("qid", "chunk_key", R.squash(c("bm25"), 4.0).alias("kw")).join(C.plans(spark, d).select("qid", "question"), "qid").join(C.chunks(spark, d, "text"), "chunk_key")
-    rows = rows.select("qid", "chunk_key", "kw", T.terms_smart(c("question")).alias("q"), T.terms_smart(c("text")).alias("b"), T.phrase_match(c("question"), c("text")).alias("phrase"))
-    met = T.shared(c("q"), c("b"))
-    score = F.least(F.lit(1.0), 0.30 + met / F.greatest(F.size("q"), F.lit(1)) * 0.48 + c("kw") * 0.14 + c("phrase") * 0.08)
-    return rows.filter(met >= F.when(F.size("q") <= 2, 1).otherwise(2)).select("qid", "chunk_key", F.round(score + 1e-10, 6).alias("score"))
+    q, text = c("question"), c("text")
+    raw = T.tokens(q, "[a-z0-9]+")
+    # A phrase holds all its words but the first and last, which may be parts of words, and numbers, which may be written otherwise.
+    loose = 2 + F.size(F.filter(raw, lambda t: t.isin(W.NUMBER_WORDS) | t.rlike("^[0-9]+$")))
+    plans = C.plans(spark, d).select("qid", F.size(T.terms_smart(q)).alias("n"), loose.alias("loose"))
+    rows = _best_scores(spark, d, 120, every=T.terms_smart(q)).join(plans, "qid").filter(c("met") >= F.when(c("n") <= 2, 1).otherwise(2))
+    rows = cut_lineage(rows.select("qid", "chunk_key", "bm25", "met", "n", (c("met") >= c("n") - c("loose")).alias("maybe")))
+    near = rows.filter("maybe").select("qid", "chunk_key").join(C.plans(spark, d).select("qid", "question"), "qid").join(C.chunks(spark, d, "text"), "chunk_key")
+    phrases = near.filter(T.phrase_match(q, text) > 0).select("qid", "chunk_key", F.lit(1.0).alias("phrase"))
+    rows = rows.join(phrases, ["qid", "chunk_key"], "left")
+    score = F.least(F.lit(1.0), 0.30 + c("met") / F.greatest("n", F.lit(1)) * 0.48 + R.squash(c("bm25"), 4.0) * 0.14 + F.coalesce("phrase", F.lit(0.0)) * 0.08)
+    return rows.select("qid", "chunk_key", F.round(score + 1e-10, 6).alias("score"))
 
 
 # Routing by windows of neighbouring candidates
