@@ -10,9 +10,8 @@ from tarnwick.functions import patterns as P
 from tarnwick.functions import text as T
 from tarnwick.functions import words as W
 from tarnwick.operators import ranking as R
-from tarnwick.operators import search as X
 from tarnwick.queries import registry_sql as S
-from tarnwick.queries.q_rank import INDEX_SQL, ORDER_SQL, _scores
+from tarnwick.queries.q_rank import INDEX_SQL, ORDER_SQL, _best_scores, _scores
 from tarnwick.queries.registry import query
 from tarnwick.sources import corpus as C
 from tarnwick.sources import generations as G
@@ -101,16 +100,14 @@ s AS (SELECT qid, chunk_key, least(1.0, 0.42 + 0.38 * kw + 0.20 * coalesce(least
 SELECT qid, chunk_key, round(max(score) + 1e-10, 6) AS score FROM s GROUP BY qid, chunk_key""")
 def r9_corpus_scan(spark, d):
     """The reference's fallback over the whole corpus: its limits are 160 chunks by keyword and 80 with all of the first five priority terms."""
-    plans, chunks = C.plans(spark, d).select("qid", "question"), C.chunks(spark, d, "text")
     q, kw = c("question"), R.squash(c("bm25"), 4.0)
-    found = _scores(spark, d, 160).join(plans, "qid").join(chunks, "chunk_key")
-    lexical = T.weighted_lexical(T.terms_smart(q), T.priority_terms(q), T.terms_smart(c("text")))
-    found = found.select("qid", "chunk_key", F.least(F.lit(1.0), 0.42 + 0.38 * kw + 0.20 * lexical).alias("score"))
-    needed = plans.select("qid", F.slice(F.array_sort(T.priority_terms(q)), 1, 5).alias("terms"))
-    both = X.all_terms(needed, chunks, "chunk_key", T.terms_smart(c("text")))
-    both = both.join(_scores(spark, d, pairs=both), ["qid", "chunk_key"], "left").withColumn("bm25", F.coalesce("bm25", F.lit(0.0)))
-    best = R.top_in(both, ["qid"], [F.round("bm25", 9).desc(), c("chunk_key")], 80).select("qid", "chunk_key", F.least(F.lit(1.0), 0.82 + 0.16 * kw).alias("score"))
-    return found.unionByName(best).groupBy("qid", "chunk_key").agg(F.round(F.max("score") + 1e-10, 6).alias("score"))
+    first = T.priority_terms(q)
+    rows = _best_scores(spark, d, 160, every=T.terms_smart(q), first=first, need=F.slice(F.array_sort(first), 1, 5), most_having=80)
+    rows = rows.join(C.plans(spark, d).select("qid", F.size(T.terms_smart(q)).alias("n"), F.size(first).alias("n_first")), "qid")
+    every = F.when(c("n") > 0, c("met") / c("n")).otherwise(0.0)
+    lexical = F.when(c("n_first") > 0, F.least(F.lit(1.0), c("met_first") / c("n_first") * 0.74 + every * 0.26)).otherwise(every)
+    score = F.least(F.lit(1.0), F.when(c("having"), 0.82 + 0.16 * kw).otherwise(0.42 + 0.38 * kw + 0.20 * lexical))
+    return rows.groupBy("qid", "chunk_key").agg(F.round(F.max(score) + 1e-10, 6).alias("score"))
 
 
 @query("r18_scoped_candidates", "R18", sql=f"""WITH {S.CANDIDATES}, r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY {ORDER_SQL}) AS rank FROM candidates), d AS (SELECT qid, document_id, max(coalesce(vector_score, 0)) AS route FROM candidates GROUP BY ALL)
