@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 from tarnwick.functions import patterns as P
 from tarnwick.functions import text as T
 from tarnwick.functions import words as W
+from tarnwick.operators import block_search as K
 from tarnwick.operators import ranking as R
 from tarnwick.queries import registry_sql as S
-from tarnwick.queries.q_rank import INDEX_SQL, ORDER_SQL, _best_scores, _scores
+from tarnwick.queries.q_rank import INDEX_SQL, ORDER_SQL, _best_scores
 from tarnwick.queries.registry import query
 from tarnwick.sources import corpus as C
 from tarnwick.sources import generations as G
@@ -61,14 +62,18 @@ def _stemmed(text):
 # Scores have few decimals, so that half a unit of the last one kept may occur: 1e-10 settles how it is rounded.
 def _blend(spark, d, stemmed=False):
     candidates = C.candidates(spark, d).select("qid", "chunk_key", F.coalesce("vector_score", F.lit(0.0)).alias("v"))
-    rows, scores = candidates, {"kw": T.bm25_tokens} | ({"stem_kw": _stemmed} if stemmed else {})
-    for name, tokens in scores.items():
-        rows = rows.join(_scores(spark, d, pairs=candidates, tokens=tokens).select("qid", "chunk_key", R.squash(c("bm25"), 4.0).alias(name)), ["qid", "chunk_key"], "left")
-    rows = rows.join(C.plans(spark, d).select("qid", "question"), "qid").join(C.chunks(spark, d, "text", "section_path"), "chunk_key")
+    asked, scores = C.plans(spark, d).select("qid", "question"), {"kw": T.bm25_tokens} | ({"stem_kw": _stemmed} if stemmed else {})
     q, text = c("question"), c("text")
+    for name, tokens in scores.items():
+        terms = C.plans(spark, d).select("qid", F.explode(F.array_distinct(tokens(q))).alias("term"), F.lit(1.0).alias("weight"))
+        weighed = K.weigh(terms, *K.frequencies(C.chunks(spark, d, "text"), tokens(text)))
+        asked = asked.join(weighed.select("qid", *[c(x).alias(f"{name}_{x}") for x in ("terms", "weights", "avgdl")]), "qid", "left")
+    rows = candidates.join(asked, "qid").join(C.chunks(spark, d, "text", "section_path"), "chunk_key")
     lex = T.coverage(T.terms_smart(q), T.terms_smart(text))
     more = [T.phrase_match(q, text).alias("phrase"), T.section_match(q, c("section_path")).alias("section")] if stemmed else []
-    return rows.select("qid", "chunk_key", "v", *[F.coalesce(name, F.lit(0.0)).alias(name) for name in scores], lex.alias("lex"), *more)
+    given = [column for name, tokens in scores.items() for column in (K.hashed(tokens(text)).alias(f"{name}_words"), *(f"{name}_{x}" for x in ("terms", "weights", "avgdl")))]
+    scored = K.pair_scores(rows.select("qid", "chunk_key", "v", lex.alias("lex"), *more, *given), *scores)
+    return scored.select("qid", "chunk_key", "v", *[R.squash(c(name), 4.0).alias(name) for name in scores], "lex", *(["phrase", "section"] if stemmed else []))
 
 
 def _five_arms():

@@ -9,7 +9,6 @@ from tarnwick.operators import block_search as K
 from tarnwick.operators import ranking as R
 from tarnwick.queries import registry_sql as S
 from tarnwick.queries.registry import query
-from tarnwick.session import cut_lineage
 from tarnwick.sources import corpus as C
 
 ORDER_SQL = "score DESC NULLS LAST, lower(filename), page_number, coalesce(chunk_index, -1), chunk_id"
@@ -27,14 +26,6 @@ scored AS (
 """
 
 
-def _scores(spark, d, most=None, pairs=None, tokens=T.bm25_tokens):
-    split = cut_lineage(C.chunks(spark, d, "text").select("chunk_key", tokens(F.col("text")).alias("terms")))  # texts are tokenised once
-    index = R.postings(split, "chunk_key", F.col("terms"))
-    total = split.select(F.size("terms").alias("n")).agg(F.count("*").alias("chunks"), F.avg("n").alias("avgdl"))
-    asked = C.plans(spark, d).select("qid", F.explode(F.array_distinct(tokens(F.col("question")))).alias("term"), F.lit(1.0).alias("weight"))
-    return R.bm25(index, asked, "chunk_key", total, most, pairs)
-
-
 def _best_scores(spark, d, most, **marks):
     """(qid, chunk_key, bm25, met, met_first, having) of the best `most` chunks of each question; `marks` are columns of the plans and `most_having`, as in `search`."""
     most_having = marks.pop("most_having", 0)

@@ -38,6 +38,6 @@ def test_best_rows_equal_those_of_the_joins(spark):
     assert len(rows(found)) == 60 and rows(found) == rows(expected)
 
 
-@pytest.mark.parametrize("name", ["r24_hybrid_chunk_search", "r1_bm25_top", "r7_corpus_scan", "r9_corpus_scan"])
+@pytest.mark.parametrize("name", ["r24_hybrid_chunk_search", "r1_bm25_top", "r7_corpus_scan", "r9_corpus_scan", "r5_five_arm_blend"])
 def test_no_row_for_each_shared_term(spark, name):
     assert not pairs_of_terms(QUERIES[name].run(spark, SMALL))
