@@ -21,7 +21,7 @@ def plan(df):
 
 def pairs_of_terms(df):
     """Joins of queries with postings, which write a row for each term that a query and a chunk share."""
-    return [line for line in plan(df).splitlines() if "Join [term" in line]
+    return [line for line in plan(df).splitlines() if "Join [term" in line or "Join [word" in line]
 
 
 def test_best_rows_equal_those_of_the_joins(spark):
@@ -38,6 +38,6 @@ def test_best_rows_equal_those_of_the_joins(spark):
     assert len(rows(found)) == 60 and rows(found) == rows(expected)
 
 
-@pytest.mark.parametrize("name", ["r24_hybrid_chunk_search", "r1_bm25_top", "r7_corpus_scan", "r9_corpus_scan", "r5_five_arm_blend"])
+@pytest.mark.parametrize("name", ["r24_hybrid_chunk_search", "r1_bm25_top", "r7_corpus_scan", "r9_corpus_scan", "r5_five_arm_blend", "f5_prefix_or"])
 def test_no_row_for_each_shared_term(spark, name):
     assert not pairs_of_terms(QUERIES[name].run(spark, SMALL))
