@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tarnwick.functions import text as T
 from tarnwick.functions import words as W
 from tarnwick.operators import evidence_index as I
+from tarnwick.operators import phrase_search as Z
 from tarnwick.operators import ranking as R
 from tarnwick.operators import search as X
 from tarnwick.queries import registry_sql as S
@@ -50,30 +51,22 @@ def _quality(spark, d, most=80):
     said = variants.select("qid", F.explode(T.bm25_tokens(c("v"))).alias("term"), (1 / (1 + c("at") * 0.2)).alias("w"))
     named = plans.select("qid", F.explode("concepts").alias("k")).select("qid", F.explode(T.bm25_tokens(c("k"))).alias("term"), F.lit(1.4).alias("w"))
     weights = cut_lineage(said.unionByName(named).groupBy("qid", "term").agg(F.sum("w").alias("w")))
-    split = chunks.select("chunk_key", T.bm25_tokens(c("text")).alias("terms"))
-    index = cut_lineage(R.postings(split, "chunk_key", c("terms")))  # texts are tokenised once
-    lengths = index.groupBy("chunk_key").agg(F.max("dl").alias("dl")).agg(F.sum("dl").alias("words"))
-    total = chunks.agg(F.count("*").alias("chunks")).crossJoin(lengths).select("chunks", (c("words") / c("chunks")).alias("avgdl"))  # one row each
-    vocabulary = index.select("term").distinct()
+    made, frequency, total = Z.blocks(chunks, "chunk_key", "text", T.bm25_tokens(c("text")))
+    vocabulary = cut_lineage(chunks.select(F.explode(F.array_distinct(T.bm25_tokens(c("text")))).alias("term")).distinct())
     odd = weights.select("term").distinct().filter(F.length("term") >= 4).join(vocabulary, "term", "left_anti")
     near = X.fuzzy_matches(odd, vocabulary.filter(F.length("term") >= 4), "term", 1)
     near = near.select(c("token").alias("asked"), c("candidate").alias("term"), (1 - 1 / F.greatest(F.length("token"), F.length("candidate"))).alias("ratio"))
     guessed = weights.withColumnRenamed("term", "asked").join(near, "asked").select("qid", "term", (c("w") * c("ratio") * 0.8).alias("w"), F.lit(0.0).alias("own"))
     expanded = weights.select("qid", "term", "w", c("w").alias("own")).unionByName(guessed).groupBy("qid", "term").agg(F.max("w").alias("w"), F.max("own").alias("own"))
-    frequency = index.join(expanded.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log(1 + (c("chunks") - c("df") + 0.5) / (c("df") + 0.5))
-    weighed = expanded.join(frequency, "term").join(F.broadcast(total)).select("qid", "term", (c("w") * idf).alias("w"), "own", "avgdl")  # total: one row
-    part = c("w") * (c("tf") * (R.K1 + 1) / (c("tf") + R.K1 * (1 - R.B + R.B * c("dl") / F.greatest("avgdl", F.lit(1.0)))))
-    raw = cut_lineage(index.join(weighed, "term").groupBy("qid", "chunk_key").agg(F.sum(part).alias("bm25"), F.sum("own").alias("met")))
-    # A phrase that is anywhere in a chunk: its first word is one of the chunk's terms, so the pair is among the raw ones.
-    phrases = variants.filter(F.length("v") >= 4).select("qid", F.lower("v").alias("v"))
-    rare = raw.select("qid", "chunk_key").join(phrases, "qid").join(chunks, "chunk_key").filter(F.contains(F.lower("text"), c("v"))).select("qid", "chunk_key", F.lit(1.0).alias("phrase")).distinct()
-    scored = raw.join(rare, ["qid", "chunk_key"], "left").withColumn("raw", c("bm25") + F.coalesce("phrase", F.lit(0.0)))
+    weighed = expanded.withColumn("hash", F.xxhash64("term")).join(frequency, "hash").crossJoin(F.broadcast(total))  # total: one row
+    held = F.array_sort(F.collect_list(F.struct("hash", (c("w") * idf).alias("w"), "own")))  # one query's terms
+    queries = weighed.groupBy("qid").agg(held.alias("held"), F.first("avgdl").alias("avgdl")).select("qid", c("held.hash").alias("terms"), c("held.w").alias("weights"), c("held.own").alias("own"), "avgdl")
+    phrases = variants.filter(F.length("v") >= 4).groupBy("qid").agg(F.collect_set(F.lower("v")).alias("phrases"))
     sums = weights.groupBy("qid").agg(F.greatest(F.sum("w"), F.lit(1.0)).alias("all_w"))
-    best = F.max("raw").over(Window.partitionBy("qid"))
-    keyword = F.least(F.lit(1.0), c("raw") / best * 0.65 + F.least(F.lit(1.0), c("met") / c("all_w")) * 0.35)
-    rows = scored.join(sums, "qid").select("qid", "chunk_key", F.round(keyword, 9).alias("keyword"))
-    return R.rank_in(rows, ["qid"], [c("keyword").desc(), c("chunk_key")], "place").filter(c("place") <= most)
+    queries = cut_lineage(queries.join(sums, "qid").join(phrases, "qid", "left"))
+    rows = Z.quality(made, queries, "chunk_key", most).select("qid", "chunk_key", F.round("keyword", 9).alias("keyword"))
+    return R.rank_in(rows, ["qid"], [c("keyword").desc(), c("chunk_key").asc_nulls_last()], "place").filter(c("place") <= most)
 
 
 @query("r1_keyword_quality", "R1", sql=f"WITH {QUALITY_SQL} SELECT qid, chunk_key, round(keyword, 6) AS keyword FROM top WHERE place <= 20")
